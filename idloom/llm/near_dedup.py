@@ -96,14 +96,70 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return saved(nodes.join(roots, nodes["comp"] == roots["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+    sizes = [len(s) for s in sets]
+    cols = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["rep", "comp", "h"])
+
+
+def _possible(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, rep, comp) of here that may still have a link to another group of their bucket.
+
+    Of a set of n shingles let s be those that some set of another group here also has. A pair from two groups
+    shares at most the smaller s, so it can reach the similarity p only if (1 + p) * s >= p * (n + other n) holds
+    for both. Each bucket keeps the members that meet this with its least n and with its greatest reach; n and
+    reach (the largest other n) stay with them.
+    """
+    active = here.select("rep", "comp").distinct()
+    rows = map_batches(active.join(sets, active["rep"] == sets["id"]).select("rep", "comp", "shingles"), _unpacked, "rep bigint, comp bigint, h bigint")
+    rows = saved(rows, "shingles")
+    shared = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    common = rows.join(shared, "h").groupBy("rep").agg(F.count("*").alias("s"))
+    n = sets.select(F.col("id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    reach = n.join(common, "rep").select("rep", "n", F.expr(f"floor({100 + percent} * s / {percent}) - n").alias("reach")).where("reach > 0")
+    now = saved(here.join(reach, "rep"), "reach")
+    ends = now.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+    return saved(now.join(ends, "key").where("reach >= least and n <= most").select("key", "rep", "comp", "n", "reach"), "reach")
+
+
+def _narrowed(here: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """_possible repeated: members that left no longer share shingles with those that stay."""
+    for _ in range(rounds):
+        here = _possible(here.select("key", "rep", "comp"), sets, percent)
+    return here
+
+
+def _star_pairs(here: DataFrame, weight: DataFrame, t: int) -> DataFrame:
+    """Each member of a bucket of several groups with the bucket's centre, if that is of another group.
+
+    The first centre is the member that meets most others in buckets; later ones are more and more random.
+    """
+    luck = F.pmod(F.xxhash64("rep", F.lit(t)), F.lit(1000)) / 1000
+    rank = F.col("weight") * (1 + t * t * luck)
+    centre = here.join(weight, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "comp"), F.struct(rank, "rep")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
+    return here.join(centre, "key").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+
+
+def _cross_pairs(here: DataFrame) -> DataFrame:
+    """All pairs of a bucket from two groups that may reach the similarity."""
+    parts = here.select("key", "comp").distinct()
+    two = parts.select("key", F.col("comp").alias("c1")).join(parts.select("key", F.col("comp").alias("c2")), "key").where("c1 < c2")
+    one = two.join(here.select("key", F.col("comp").alias("c1"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("reach").alias("e1")), ["key", "c1"])
+    right = here.select("key", F.col("comp").alias("c2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("reach").alias("e2"))
+    both = one.join(right, (one["key"] == right["key"]) & (one["c2"] == right["c2"]) & (F.col("e1") >= F.col("n2")) & (F.col("e2") >= F.col("n1")))
+    return both.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id of the group).
 
     Rows that share a doc_id count as one document. A null doc_id is linked with nothing (component_id null).
     Documents of equal sets are one node; only one of them goes through banding. Members of a band bucket
     are first compared with one centre, in star_rounds rounds with other centres and only across groups
-    not yet joined; then all pairs of a bucket that are still in different groups are compared, so no
-    candidate pair is lost and pairs inside a group are never all formed. Extra columns are ignored.
+    not yet joined; then all pairs of a bucket that are still in different groups are compared, but for those
+    whose shingles rule a link out. So no candidate pair is lost and pairs inside a group are never all formed.
+    Extra columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -114,28 +170,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     member = profile.drop("bands").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
 
     reps = real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    buckets = saved(reps.join(shared, "key").select("key", "rep"), "buckets")
-    nodes = saved(buckets.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
+    shared = reps.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    sized = saved(reps.join(shared, "key").select("key", "rep", "size"), "buckets")
+    buckets = sized.select("key", "rep")
+    weight = saved(sized.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    nodes = saved(weight.select("rep", F.col("rep").alias("comp")), "labels")
     sets = saved(map_batches(text.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _set_bytes(shingle), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
 
     tried: DataFrame | None = None
     for t in range(star_rounds + 1):
-        here = buckets.join(nodes, "rep")
-        if t < star_rounds:
-            centre = here.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(t))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
-            pairs = here.join(centre, "key").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-        else:
-            parts = here.select("key", "comp").distinct()
-            two = parts.select("key", F.col("comp").alias("c1")).join(parts.select("key", F.col("comp").alias("c2")), "key").where("c1 < c2")
-            one = two.join(here.select("key", F.col("comp").alias("c1"), F.col("rep").alias("r1")), ["key", "c1"])
-            pairs = one.join(here.select("key", F.col("comp").alias("c2"), F.col("rep").alias("r2")), ["key", "c2"]).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
-        pairs = pairs.distinct()
+        mixed = buckets.join(nodes, "rep")
+        open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        here = saved(mixed.join(open_keys, "key"), "open")
+        pairs = (_star_pairs(here, weight, t) if t < star_rounds else _cross_pairs(_narrowed(here, sets, percent))).distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
-        tried = pairs if tried is None else tried.union(pairs)
+        if not pairs.isEmpty():
+            nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
+            tried = pairs if tried is None else tried.union(pairs)
     return member.join(nodes, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
