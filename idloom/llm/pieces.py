@@ -46,6 +46,13 @@ class Pieces:
         for b, i in enumerate(self.bytes):
             self.text[i] = bytes([b])
         self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Neighbouring characters of one piece: between any other two all paths meet.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            lengths.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end in two given characters, longest first.
+        self.lengths = {e: sorted(n, reverse=True) for e, n in lengths.items()}
         self._agree: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -116,12 +123,12 @@ class StreamingViterbi:
         return ids
 
     def _extend(self, text: str) -> None:
-        known, agree, longest, back = self.pieces.ids, self.pieces.agree, self.pieces.longest, self.back
+        known, agree, lengths, back = self.pieces.ids, self.pieces.agree, self.pieces.lengths, self.back
         at = len(self.window)
         w = self.window = self.window + text
         for i in range(at + 1, len(w) + 1):
-            for n in range(min(longest, i), 0, -1):
-                piece = w[i - n : i]
+            for n in (*lengths.get(w[max(0, i - 2) : i], ()), 1):
+                piece = w[i - n : i] if n <= i else ""
                 if n == 1 or piece in known:
                     j = i - n
                     if agree(w[j - back[j] : j] if j else self.left, piece):
@@ -157,7 +164,8 @@ class Codec:
         self.pieces = Pieces(path)
         self.code = "H" if len(self.pieces.text) <= 1 << 16 else "I"
         self.viterbi = StreamingViterbi(self.pieces)
-        self.cache = SegmentCache(self._segments if self.pieces.cuts_at_spaces else lambda t: [t], lambda part: map(self._ids, part))
+        words = SegmentCache(self._parts, lambda part: map(self._ids, part))
+        self.cache = SegmentCache(self._segments if self.pieces.cuts_at_spaces else lambda t: [t], words.encode)
 
     @staticmethod
     def _segments(text: str) -> list[str]:
@@ -165,8 +173,15 @@ class Codec:
             return _SEGMENT.findall(" " + text)
         return [" " + p for p in text.split(" ")] if text else []
 
-    def _ids(self, segment: str) -> bytes:
-        text = segment.replace(" ", SPACE)
+    def _parts(self, segment: str) -> list[str]:
+        """Cut where no piece holds both neighbours."""
+        text, inside = segment.replace(" ", SPACE), self.pieces.inside
+        if text.isascii() and text.isalpha():
+            return [text]
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def _ids(self, text: str) -> bytes:
         if SPACE * 2 in text:  # pieces of blanks all score alike, which merging resolves from the left
             ids = [x for p in self.pieces.merge(text) for x in self.pieces.to_ids(p)]
         else:

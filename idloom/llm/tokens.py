@@ -11,7 +11,8 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
 #: Segments kept in each of a cache's two generations (about 200 bytes each).
 CACHE_SEGMENTS = 300_000
@@ -58,14 +59,63 @@ class Encoder(SegmentCache):
             spec = json.load(f)
         self.code = code = "H" if library.get_vocab_size() <= 1 << 16 else "I"
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] or t["content"].isalpha() for t in spec.get("added_tokens", []))
+        segments, cut, lower = _whole, _whole, False
         if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            segments = _before_spaces
+            segments, cut = _before_spaces, _spaced_parts
         elif plain and spec["model"].get("end_of_word_suffix") and [p.get("behavior") for p in pre.get("pretokenizers", [])][:1] == ["Removed"]:
-            segments = _between_spaces
-        else:
-            segments = _whole  # no known safe place to cut
-        super().__init__(segments, lambda part: (array(code, e.ids).tobytes() for e in library.encode_batch_fast(part, add_special_tokens=False)))
+            segments, cut, lower = _between_spaces, _parts, True
+        merges, letters = library.model.tokenize, _byte_letters()
+        names = [t["content"] for t in spec.get("added_tokens", [])]
+
+        def parts(segment: str) -> list[str]:  # a special token's string stays whole
+            return [segment] if any(n in segment for n in names) else cut(segment)
+
+
+        def compute(new: list[str]) -> Iterator[bytes]:
+            """A word of letters alone is one pre-token: the model takes it straight, in its byte alphabet."""
+            simple = [cut is not _whole and (s[1:] if s[:1] == " " and not lower else s).isalpha() and (not lower or s.isascii()) for s in new]
+            rest = iter(library.encode_batch_fast([s for s, ok in zip(new, simple, strict=True) if not ok], add_special_tokens=False))
+            for s, ok in zip(new, simple, strict=True):
+                if ok:
+                    s = s.lower() if lower else s
+                    yield array(code, [t.id for t in merges(s if s.isascii() and s[0] != " " else s.encode().decode("latin-1").translate(letters))]).tobytes()
+                else:
+                    yield array(code, next(rest).ids).tobytes()
+
+        super().__init__(segments, SegmentCache(parts, compute).encode)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+# Inside a segment a pre-token ends wherever letters end, and around a single line break between other characters.
+_SPACED_PART = re.compile(r" ?[^\W\d_]+|\n| ?[^\w\s]+")
+_PART = re.compile(r"[^\W\d_]+|[^\w\s]+")
+_ODD_BREAK = re.compile(r"\s\s|\s$|^\n")
+
+
+def _spaced_parts(segment: str) -> list[str]:
+    if "'" in segment or "\n" in segment and _ODD_BREAK.search(segment):
+        return [segment]
+    parts = _SPACED_PART.findall(segment)
+    return parts if sum(map(len, parts)) == len(segment) and all(_plain(p) for p in parts) else [segment]
+
+
+def _parts(segment: str) -> list[str]:
+    if "'" in segment or not (segment.isascii() or is_normalized("NFC", segment)):
+        return [segment]
+    parts = _PART.findall(segment.replace("\n", " "))
+    return parts if sum(map(len, parts)) == len(segment) - segment.count("\n") and all(_plain(p) and _plain(p.lower()) for p in parts) else [segment]
+
+
+def _plain(part: str) -> bool:
+    """Letters alone, or no letter and no number at all."""
+    return part.strip(" ").isalpha() or not any(c.isalnum() for c in part)
 
 
 def _before_spaces(text: str) -> list[str]:
