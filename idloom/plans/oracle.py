@@ -41,13 +41,13 @@ WITH scans AS ({X.MRZ}),
 norm AS (SELECT scan_id, list_filter(list_transform(string_split(mrz_text, chr(10)), lambda x: regexp_replace(regexp_replace(upper(x), '\\s+', '<', 'g'), '[^A-Z0-9<]', '<', 'g')), lambda x: length(x) >= 40) AS ls FROM scans),
 found AS (SELECT scan_id, rpad(list_filter(ls, lambda x: regexp_matches(x, '{M.LINE1}'))[1], 44, '<') AS a, rpad(list_filter(ls, lambda x: regexp_matches(x, '{M.LINE2}'))[1], 44, '<') AS b FROM norm),
 pair AS (SELECT scan_id, CASE WHEN b IS NOT NULL THEN a END AS l1, CASE WHEN a IS NOT NULL THEN b END AS l2 FROM found),
-parts AS (SELECT *, substr(l1, 6, 39) AS f, instr(substr(l1, 6, 39), '<<') AS at,
+parts AS (SELECT *, substr(l1, 6, 39) AS f, instr(substr(l1, 6, 39), '<<') AS pos,
   {_ok("l2", 1, 9)} AS ok_doc, {_ok("l2", 14, 6)} AS ok_dob, {_ok("l2", 22, 6)} AS ok_exp FROM pair),
-given AS (SELECT *, list_filter(string_split(substr(f, at + 2), '<'), lambda x: x <> '') AS g FROM parts),
+given AS (SELECT *, list_filter(string_split(substr(f, pos + 2), '<'), lambda x: x <> '') AS g FROM parts),
 named AS (SELECT *,
-  CASE WHEN at > 0 THEN {_title(_cyr("replace(substr(f, 1, at - 1), '<', '')"))} END AS sn,
-  CASE WHEN at > 0 THEN {_title(_cyr("coalesce(g[1], '')"))} END AS nm,
-  CASE WHEN at > 0 THEN {_title(_cyr("coalesce(g[2], '')"))} END AS pt FROM given)
+  CASE WHEN pos > 0 THEN {_title(_cyr("replace(substr(f, 1, pos - 1), '<', '')"))} END AS sn,
+  CASE WHEN pos > 0 THEN {_title(_cyr("coalesce(g[1], '')"))} END AS nm,
+  CASE WHEN pos > 0 THEN {_title(_cyr("coalesce(g[2], '')"))} END AS pt FROM given)
 """
 _SCANNER_DOB = _date("substr(l2, 14, 6)", f"CASE WHEN 2000 + {_YY} > {YEAR + 1} THEN 1900 + {_YY} ELSE 2000 + {_YY} END")
 _APP_DOB = _date("substr(l2, 14, 6)", f"CASE WHEN {_YY} > {YEAR % 100 + 10} THEN 1900 + {_YY} ELSE 2000 + {_YY} END")

@@ -65,10 +65,11 @@ def stable_frames(df: DataFrame, session: str, order: list[str], frame: str, key
     return slim.groupBy("session_id").applyInPandas(run, "session_id bigint, frame_id bigint, stable_key string")
 
 
-def stable_stream(frames: DataFrame, required: int = 2, ttl: str = "10 minutes") -> DataFrame:
+def stable_stream(frames: DataFrame, required: int = 2, ttl: str = "10 minutes", late: str | None = "1 minute") -> DataFrame:
     """stable_frames for a stream of (session_id, ts, frame_id, key); a session without frames for ttl is forgotten.
 
     Frames of one micro-batch are taken by time; later batches go on with the kept history of 2 * required keys.
+    Frames later than `late` are dropped; with None, frames carries its own watermark on ts.
     """
     prepare(frames.sparkSession)
     millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
@@ -81,10 +82,13 @@ def stable_stream(frames: DataFrame, required: int = 2, ttl: str = "10 minutes")
         history = list(state.get[0]) if state.exists else []
         out, history = _fold(zip(pdf["frame_id"], pdf["key"].fillna(""), strict=True), history, required)
         state.update((history,))
-        state.setTimeoutDuration(millis)
+        last = int(pdf["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame([(key[0], f, k) for f, k in out], columns=["session_id", "frame_id", "stable_key"])
 
-    return frames.select("session_id", "ts", "frame_id", "key").groupBy("session_id").applyInPandasWithState(run, "session_id bigint, frame_id bigint, stable_key string", "history array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = frames if late is None else frames.withWatermark("ts", late)
+    slim = marked.select("session_id", "ts", "frame_id", "key")
+    return slim.groupBy("session_id").applyInPandasWithState(run, "session_id bigint, frame_id bigint, stable_key string", "history array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def frame_gate(frames: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -109,4 +113,4 @@ def stream_scan(frames: DataFrame, as_of_year: int, required: int = 2, late: str
     """A stream of frames(session_id, ts, frame_id, feedback, mrz_text) to frames with a stable document key."""
     clear = frames.withWatermark("ts", late).where(F.coalesce("feedback", F.lit("ok")) != "glare_strong")
     read = parse_mrz(clear, "mrz_text", as_of_year).where("mrz.mrzLine1 is not null").withColumn("key", document_key(merged(F.col("mrz"), None)))
-    return stable_stream(read, required)
+    return stable_stream(read, required, late=None)
