@@ -86,7 +86,7 @@ def stable_stream(frames: DataFrame, required: int = 2, ttl: str = "10 minutes",
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame([(key[0], f, k) for f, k in out], columns=["session_id", "frame_id", "stable_key"])
 
-    marked = frames if late is None else frames.withWatermark("ts", late)
+    marked = frames if late is None else frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     slim = marked.select("session_id", "ts", "frame_id", "key")
     return slim.groupBy("session_id").applyInPandasWithState(run, "session_id bigint, frame_id bigint, stable_key string", "history array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
