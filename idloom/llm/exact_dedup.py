@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from idloom.llm.common import documents, map_batches, prepare, raw_texts, saved, scratch
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store keeps its entries on disk; many small stores do without reserved space and whole snapshots.
+_STORE = "spark.sql.streaming.stateStore"
+STORE_CONF = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: What one micro-batch of the stream reads.
 BATCH_BYTES = 256 << 30
 
@@ -47,8 +52,9 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     spark = stream.sparkSession
     digests = map_batches(stream, _digests(False), "doc_id bigint, file string, row bigint, digest binary")
     state = digests.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies"))
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE_CONF}
+    for k, v in STORE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -56,7 +62,8 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
         keep, copies = [f for f in found.schema["value"].dataType.names]
         return saved(found.select(F.col("key.digest").alias("digest"), F.col(f"value.{keep}").alias("keep"), F.col(f"value.{copies}").alias("copies")), "state")
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _decisions(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFrame:
