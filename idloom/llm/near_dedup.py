@@ -20,7 +20,7 @@ from idloom.llm.superminhash import band_keys, signatures
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 42, 6
 #: Rounds in which the members of a bucket are compared with one centre only, before what is left is compared in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -96,59 +96,72 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return saved(nodes.join(roots, nodes["comp"] == roots["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
-def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-    sizes = [len(s) for s in sets]
-    cols = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("rep", "comp")]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["rep", "comp", "h"])
+def _differences(percent: int):
+    """Of each member and its centre: the shingles that only one of them has, and what a link costs the member.
 
-
-def _possible(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (key, rep, comp) of here that may still have a link to another group of their bucket.
-
-    Of a set of n shingles let s be those that some set of another group here also has. A pair from two groups
-    shares at most the smaller s, so it can reach the similarity p only if (1 + p) * s >= p * (n + other n) holds
-    for both. Each bucket keeps the members that meet this with its least n and with its greatest reach; n and
-    reach (the largest other n) stay with them.
+    Let d be their number and n the size of the member's set. Two members x and y that have `both` of these shingles
+    in common are linked if and only if 2 * (100 + percent) * both >= cost x + cost y, where
+    cost = (100 + percent) * d - (100 - percent) * n. Near members are linked with the centre itself.
     """
-    active = here.select("rep", "comp").distinct()
-    rows = map_batches(active.join(sets, active["rep"] == sets["id"]).select("rep", "comp", "shingles"), _unpacked, "rep bigint, comp bigint, h bigint")
-    rows = saved(rows, "shingles")
-    shared = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    common = rows.join(shared, "h").groupBy("rep").agg(F.count("*").alias("s"))
-    n = sets.select(F.col("id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    reach = n.join(common, "rep").select("rep", "n", F.expr(f"floor({100 + percent} * s / {percent}) - n").alias("reach")).where("reach > 0")
-    now = saved(here.join(reach, "rep"), "reach")
-    ends = now.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
-    return saved(now.join(ends, "key").where("reach >= least and n <= most").select("key", "rep", "comp", "n", "reach"), "reach")
 
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mine, centre = (batch.column(c).to_pylist() for c in ("x", "y"))
+        apart, cost, near = [], np.empty(len(mine), np.int64), np.empty(len(mine), bool)
+        for i, (x, y) in enumerate(zip(mine, centre, strict=True)):
+            a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            apart.append(np.setxor1d(a, b, assume_unique=True))
+            cost[i] = (100 + percent) * len(apart[-1]) - (100 - percent) * len(a)
+            near[i] = cost[i] <= (100 - percent) * len(b)
+        sizes = [len(a) for a in apart]
+        cols = [np.repeat(c, sizes) for c in (*(batch.column(c).to_numpy() for c in ("c", "rep", "comp")), cost, near)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64))], names=["c", "rep", "comp", "cost", "near", "h"])
 
-def _narrowed(here: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """_possible repeated: members that left no longer share shingles with those that stay."""
-    for _ in range(rounds):
-        here = _possible(here.select("key", "rep", "comp"), sets, percent)
-    return here
+    return fn
 
 
-def _star_pairs(here: DataFrame, weight: DataFrame, t: int) -> DataFrame:
-    """Each member of a bucket of several groups with the bucket's centre, if that is of another group.
+def _centres(here: DataFrame, weight: DataFrame, t: int = 0) -> DataFrame:
+    """The centre c (rep, comp) of each bucket of several groups.
 
     The first centre is the member that meets most others in buckets; later ones are more and more random.
     """
     luck = F.pmod(F.xxhash64("rep", F.lit(t)), F.lit(1000)) / 1000
     rank = F.col("weight") * (1 + t * t * luck)
-    centre = here.join(weight, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "comp"), F.struct(rank, "rep")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
-    return here.join(centre, "key").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+    return here.join(weight, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "comp"), F.struct(rank, "rep")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
 
 
-def _cross_pairs(here: DataFrame) -> DataFrame:
-    """All pairs of a bucket from two groups that may reach the similarity."""
-    parts = here.select("key", "comp").distinct()
-    two = parts.select("key", F.col("comp").alias("c1")).join(parts.select("key", F.col("comp").alias("c2")), "key").where("c1 < c2")
-    one = two.join(here.select("key", F.col("comp").alias("c1"), F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("reach").alias("e1")), ["key", "c1"])
-    right = here.select("key", F.col("comp").alias("c2"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("reach").alias("e2"))
-    both = one.join(right, (one["key"] == right["key"]) & (one["c2"] == right["c2"]) & (F.col("e1") >= F.col("n2")) & (F.col("e2") >= F.col("n1")))
-    return both.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
+def _star_pairs(here: DataFrame, weight: DataFrame, t: int) -> DataFrame:
+    """Each member of a bucket of several groups with the bucket's centre, if that is of another group."""
+    return here.join(_centres(here, weight, t), "key").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+
+
+def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a bucket from two groups that can be linked, after round 0 has tried all pairs with first centres.
+
+    Members are described by their differences from the bucket's first centre. Two members that are near it are in
+    its group, so one of each pair is far, and then the costs of both sum to more than 0: they must share `need`
+    differences, (cost x + cost y) / (2 * (100 + percent)) of them. So they share one of the rarest
+    u - need + 1 of each, u being those differences of a member that some other group of that centre also has.
+    Both ends' costs are bounded by the least ones of the near and of the far members of that centre.
+    """
+    whole = 2 * (100 + percent)
+    family = here.join(_centres(here, weight), "key").where("rep <> c.rep").select("c.rep", "rep", "comp").toDF("c", "rep", "comp").distinct()
+    full = family.join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("x")), "rep").join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("y")), "c").select("c", "rep", "comp", "x", "y")
+    apart = saved(map_batches(full, _differences(percent), "c bigint, rep bigint, comp bigint, cost bigint, near boolean, h bigint"), "differences")
+    common = apart.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c", "h", "df")
+    member = apart.join(common, ["c", "h"]).groupBy("c", "rep", "comp", "cost", "near").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
+    member = saved(member.withColumn("u", F.size("own").cast("long")).withColumn("reach", whole * F.col("u") - F.col("cost")), "members")
+    least = member.groupBy("c").agg(F.min(F.expr("if(near, cost, null)")).alias("least_near"), F.min(F.expr("if(near, null, cost)")).alias("least_far"))
+    bound = member.join(least, "c")
+
+    def prefixes(rows: DataFrame, other: str, tag: str) -> DataFrame:
+        need = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col(other)) / whole))
+        few = rows.where(F.col(other).isNotNull()).withColumn("take", (F.col("u") - need + 1).cast("int")).where("take > 0")
+        return few.select("c", F.col("rep").alias(f"r{tag}"), F.col("comp").alias(f"g{tag}"), F.col("cost").alias(f"cost{tag}"), F.col("reach").alias(f"reach{tag}"), F.explode(F.expr("transform(slice(own, 1, take), e -> e.h)")).alias("h"))
+
+    far, fits = bound.where("not near"), (F.col("g1") != F.col("g2")) & (F.col("reach1") >= F.col("cost2")) & (F.col("reach2") >= F.col("cost1"))
+    mixed = prefixes(far, "least_near", "1").join(prefixes(bound.where("near"), "least_far", "2"), ["c", "h"]).where(fits)
+    outer = prefixes(far, "least_far", "1").join(prefixes(far, "least_far", "2"), ["c", "h"]).where(fits & (F.col("r1") < F.col("r2")))
+    return mixed.select("r1", "r2").union(outer.select("r1", "r2")).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -158,7 +171,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     Documents of equal sets are one node; only one of them goes through banding. Members of a band bucket
     are first compared with one centre, in star_rounds rounds with other centres and only across groups
     not yet joined; then all pairs of a bucket that are still in different groups are compared, but for those
-    whose shingles rule a link out. So no candidate pair is lost and pairs inside a group are never all formed.
+    whose differences from the bucket's first centre rule a link out. So no candidate pair is lost and pairs inside
+    a group are never all formed. star_rounds is 1 at least.
     Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -178,11 +192,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     sets = saved(map_batches(text.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _set_bytes(shingle), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
 
     tried: DataFrame | None = None
+    star_rounds = max(1, star_rounds)
     for t in range(star_rounds + 1):
         mixed = buckets.join(nodes, "rep")
         open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         here = saved(mixed.join(open_keys, "key"), "open")
-        pairs = (_star_pairs(here, weight, t) if t < star_rounds else _cross_pairs(_narrowed(here, sets, percent))).distinct()
+        pairs = (_star_pairs(here, weight, t) if t < star_rounds else _rest_pairs(here, weight, sets, percent)).distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
