@@ -71,6 +71,28 @@ def test_near_dedup_equals_brute_force(spark, docs, rows):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_edited_copies_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.choice(len(base), int(rng.integers(1, 9)), replace=False):
+            words[at] = f"e{rng.integers(40)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and root[x] != root[y]:
+                lo, hi = sorted((root[x], root[y]))
+                root = [lo if r == hi else r for r in root]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table, shingle=2, star_rounds=1).collect()}
+    assert got == dict(enumerate(root))
+    assert 1 < len(set(root)) < len(root)
+
+
 def test_components(spark):
     from idloom.llm.components import components
 
