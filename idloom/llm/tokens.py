@@ -7,17 +7,18 @@ word BPE that drops white space at every blank. Segments recur, so each worker k
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 #: Segments kept in each of a cache's two generations (about 200 bytes each).
 CACHE_SEGMENTS = 300_000
 
-_AT_SPACE = re.compile(r" \s|\s ")
+_AT_SPACE = re.compile(r" (?:\s|(?<=\s ))")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -27,24 +28,36 @@ class SegmentCache:
 
     def __init__(self, segments: Callable[[str], list[str]], compute: Callable[[list[str]], Iterable[bytes]], most: int = CACHE_SEGMENTS):
         self.segments, self.compute, self.most = segments, compute, most
-        self.new: dict[str, bytes] = {"": b""}
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # many lists live at once here, and none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.segments(t) for t in texts]
-        missing = set().union(*cut).difference(self.new)
+        found = [list(map(self.new.get, c)) for c in cut]
+        gaps = [(c, f, [i for i, x in enumerate(f) if x is None]) for c, f in zip(cut, found, strict=True) if None in f]
+        missing = {c[i] for c, _, at in gaps for i in at}
         if len(self.new) + len(missing) > self.most:
-            self.old, self.new = self.new, {"": b""}
-            missing = set().union(*cut)
+            self.old, self.new = self.new, {}
         if missing:
-            old = self.old
-            self.new.update((s, old[s]) for s in missing if s in old)
-            rest = [s for s in missing if s not in self.new]
+            old, new = self.old, self.new
+            new.update((s, old[s]) for s in missing if s in old)
+            rest = [s for s in missing if s not in new]
             for i in range(0, len(rest), 8192):
                 part = rest[i : i + 8192]
-                self.new.update(zip(part, self.compute(part), strict=True))
-        get = self.new.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+                new.update(zip(part, self.compute(part), strict=True))
+            for c, f, at in gaps:
+                for i in at:
+                    f[i] = new[c[i]]
+        return [b"".join(f) for f in found]
 
 
 class Encoder(SegmentCache):
@@ -62,24 +75,32 @@ class Encoder(SegmentCache):
         plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] or t["content"].isalpha() for t in spec.get("added_tokens", []))
         segments, cut, lower = _whole, _whole, False
         if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            segments, cut = _before_spaces, _spaced_parts
+            segments, cut = _space_keys, _spaced_parts
         elif plain and spec["model"].get("end_of_word_suffix") and [p.get("behavior") for p in pre.get("pretokenizers", [])][:1] == ["Removed"]:
             segments, cut, lower = _between_spaces, _parts, True
         merges, letters = library.model.tokenize, _byte_letters()
-        names = [t["content"] for t in spec.get("added_tokens", [])]
-
-        def parts(segment: str) -> list[str]:  # a special token's string stays whole
-            return [segment] if any(n in segment for n in names) else cut(segment)
+        special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)").search
 
+        def parts(key: str) -> list[str]:
+            segment = key if segments is not _space_keys else key[1:] if key[:1] == " " else " " + key
+            if cut is _whole or key.isalpha():
+                return [segment]
+            return [segment] if special(segment) else cut(segment)  # a special token's string stays whole
 
         def compute(new: list[str]) -> Iterator[bytes]:
             """A word of letters alone is one pre-token: the model takes it straight, in its byte alphabet."""
-            simple = [cut is not _whole and (s[1:] if s[:1] == " " and not lower else s).isalpha() and (not lower or s.isascii()) for s in new]
+            if cut is _whole:
+                simple = [False] * len(new)
+            elif lower:
+                simple = [s.isalpha() and (s.isascii() or _latin(s)) for s in new]
+            else:
+                simple = [s.isalpha() or s[:1] == " " and s[1:].isalpha() for s in new]
             rest = iter(library.encode_batch_fast([s for s, ok in zip(new, simple, strict=True) if not ok], add_special_tokens=False))
             for s, ok in zip(new, simple, strict=True):
                 if ok:
                     s = s.lower() if lower else s
-                    yield array(code, [t.id for t in merges(s if s.isascii() and s[0] != " " else s.encode().decode("latin-1").translate(letters))]).tobytes()
+                    s = s.replace(" ", letters[0x20]) if s.isascii() else s.encode().decode("latin-1").translate(letters)
+                    yield array(code, [t.id for t in merges(s)]).tobytes()
                 else:
                     yield array(code, next(rest).ids).tobytes()
 
@@ -103,24 +124,36 @@ def _spaced_parts(segment: str) -> list[str]:
     if "'" in segment or "\n" in segment and _ODD_BREAK.search(segment):
         return [segment]
     parts = _SPACED_PART.findall(segment)
-    return parts if sum(map(len, parts)) == len(segment) and all(_plain(p) for p in parts) else [segment]
+    if sum(map(len, parts)) != len(segment):
+        return [segment]
+    return parts if segment.isascii() or all(map(_plain, parts)) else [segment]
 
 
 def _parts(segment: str) -> list[str]:
-    if "'" in segment or not (segment.isascii() or is_normalized("NFC", segment)):
+    simple = segment.isascii()
+    if "'" in segment or not (simple or is_normalized("NFC", segment)):
         return [segment]
     parts = _PART.findall(segment.replace("\n", " "))
-    return parts if sum(map(len, parts)) == len(segment) - segment.count("\n") and all(_plain(p) and _plain(p.lower()) for p in parts) else [segment]
+    if sum(map(len, parts)) != len(segment) - segment.count("\n"):
+        return [segment]
+    return parts if simple or all(_plain(p) and _plain(p.lower()) for p in parts) else [segment]
 
 
 def _plain(part: str) -> bool:
-    """Letters alone, or no letter and no number at all."""
-    return part.strip(" ").isalpha() or not any(c.isalnum() for c in part)
+    """Letters alone, or no letter, number or code point that Unicode may yet make one."""
+    return part.strip(" ").isalpha() or part.isascii() or not any(c.isalnum() or category(c) == "Cn" for c in part)
+
+
+def _latin(word: str) -> bool:
+    """Letters that are their own normal form and have one lower-case letter each, the same in any library."""
+    return max(word) < "\u0250" and "\u0130" not in word
 
 
-def _before_spaces(text: str) -> list[str]:
+def _space_keys(text: str) -> list[str]:
+    """A key for each segment, cut before blanks: a segment less its leading blank, the first one with a blank more."""
     parts = _SAFE_SPACE.split(text) if _AT_SPACE.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    parts[0] = " " + parts[0]
+    return parts
 
 
 def _between_spaces(text: str) -> list[str]:

@@ -116,7 +116,7 @@ def test_segment_ids_equal_the_library(name):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
-    parts = ["the", "An", " ", "  ", "\n", ",", ".", "é", "É", "é", "日", "1", "²", "'s", "'", "_", "\t", "$$$", "İ", "Σ", "<|endoftext|>", "\x1c", "\xa0", "😀"]
+    parts = ["the", "An", " ", "  ", "\n", ",", ".", "é", "É", "é", "日", "1", "²", "'s", "'", "_", "\t", "$$$", "İ", "Σ", "<|endoftext|>", "ſ", "ª", "ẞ", "\u1c89", "ñdo.\nAl.", "\x1c", "\xa0", "😀"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     enc, lib = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
     assert [array(enc.code, x).tolist() for x in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
