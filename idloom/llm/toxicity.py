@@ -7,6 +7,7 @@ rows in three parts: one for the lexicon, one for the trees, one for the calibra
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -44,12 +45,12 @@ class Lexicon:
 
 
 def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4) -> Lexicon:
-    """Words and stems whose log odds of being in a toxic text are high; near copies (same opening) count once."""
-    seen: set[tuple[bool, str]] = set()
+    """Words and stems whose log odds of being in a toxic text are high; equal texts (case apart) count once."""
+    seen: set[tuple[bool, bytes]] = set()
     words, stems = (Counter(), Counter()), (Counter(), Counter())
     n = [0, 0]
     for text, t in zip(texts, toxic.tolist(), strict=True):
-        key = (bool(t), text[:40])
+        key = (bool(t), hashlib.blake2b(text.lower().encode(), digest_size=16).digest())
         if key in seen:
             continue
         seen.add(key)

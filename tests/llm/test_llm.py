@@ -202,6 +202,16 @@ def test_toxicity(spark):
     assert (np.diff(to) >= 0).all() and (np.diff(at) >= 0).all()
 
 
+def test_toxicity_lexicon_reads_whole_texts():
+    head = "A header of more than forty characters stands before every text of this source. "
+    bad = [f"{head}note {i} {w}" for i, w in enumerate(["jerkface", "dumbo"] * 4)]
+    fine = [f"{head}note {i} plain" for i in range(40)]
+    copies = [f"{c} blether" for c in ("Once more", "ONCE MORE", "once MORE", "once more") for _ in range(3)]
+    texts = [*bad, *fine, *copies]
+    lexicon = toxicity.learn_lexicon(texts, np.array([1] * 8 + [0] * 40 + [1] * 12))
+    assert set(lexicon.words) == {"jerkface", "dumbo"}
+
+
 def test_pii(docs, spark):
     fixed = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
