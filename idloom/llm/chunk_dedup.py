@@ -1,7 +1,8 @@
 """Repeated substrings by content-defined chunking with a gear rolling hash.
 
-A chunk ends where the gear hash of the last 32 bytes has BITS leading zeros (never before LEAST bytes, always
-after MOST), so an insertion moves only the boundaries near it. Chunks are told apart by a 128-bit digest; of
+A chunk ends where the gear hash of the last NARROW bytes is the largest within REACH bytes on both sides (never before
+LEAST bytes, always after MOST), so an insertion moves only the boundaries near it, and two copies of a passage fall into
+step at once: but for ties, a boundary hangs on the NARROW + REACH bytes before and the REACH bytes after it alone. Chunks are told apart by a 128-bit digest; of
 each distinct chunk the document with the least doc_id keeps its copy (and within a document the first place). Runs of
 later copies of at least min_words words are what deduplication cuts.
 """
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from idloom.llm.common import SPACE, documents, map_batches, prepare, raw_texts, saved
 
-LEAST, BITS, MOST = 24, 5, 512
-_WINDOW = 32
-#: Words in a run of repeated chunks from which it is cut. A repeated passage loses up to about 100 bytes at each
-#: end to chunks that also hold other text, so this is far below the length of passages to be caught.
+LEAST, REACH, MOST = 24, 24, 512
+_WINDOW, NARROW = 32, 16
+#: Words in a run of repeated chunks from which it is cut. A repeated passage keeps its ends, up to the first and after the
+#: last boundary that hangs on its own bytes only, so this is far below the length of passages to be caught.
 MIN_WORDS = 12
 
 
@@ -47,11 +48,24 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def peaks(data: np.ndarray) -> np.ndarray:
+    """The places whose hash of NARROW bytes (the low bits of the gear hash) is the largest, or ties, within REACH bytes."""
+    h = np.zeros(len(data) + 2 * REACH, np.uint16)
+    h[REACH : REACH + len(data)] = gear_hashes(data) & np.uint32((1 << NARROW) - 1)
+    top, width, span = h, 1, 2 * REACH + 1
+    while 2 * width <= span:
+        top = np.maximum(top[:-width], top[width:])
+        width *= 2
+    top = np.maximum(top[: len(data)], top[span - width : span - width + len(data)])
+    return np.flatnonzero(h[REACH : REACH + len(data)] == top)
+
+
 def boundaries(texts: list[bytes]) -> list[list[int]]:
     """The ends of each text's chunks."""
-    fill = b"\0" * _WINDOW
+    gap = _WINDOW + REACH
+    fill = b"\0" * gap
     data = np.frombuffer(fill.join(texts) + fill, np.uint8)
-    found = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - BITS) == 0) + 1
+    found = peaks(data) + 1
     out, start = [], 0
     for t in texts:
         n, ends, last = len(t), [], 0
@@ -69,7 +83,7 @@ def boundaries(texts: list[bytes]) -> list[list[int]]:
         if n > last:
             ends.append(n)
         out.append(ends)
-        start += n + _WINDOW
+        start += n + gap
     return out
 
 

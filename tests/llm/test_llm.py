@@ -257,6 +257,20 @@ def test_chunks(spark, docs):
     assert all(len(cut[i]) < len(t) - 150 if i in got else cut[i] == t for i, t in made)
 
 
+def test_chunks_catch_every_passage_of_51_words(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    made = []
+    for i in range(500):
+        passage = pick(51)
+        made += [(2 * i, f"{pick(40)} {passage} {pick(40)}"), (2 * i + 1, f"{pick(40)} {passage} {pick(40)}")]
+    got = {r.doc_id: r.source_ids for r in chunk_dedup.repeated_spans(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert got == {2 * i + 1: [2 * i] for i in range(500)}
+    ends = chunk_dedup.boundaries([("a line of words " * 300).encode(), b"ab" * 3000])
+    assert all(len(set(np.diff(e[1:-1]).tolist())) == 1 for e in ends)  # text in periods is cut in step with them
+
+
 def test_quality(docs, rows):
     got = quality.judge(docs).collect()
     for r, (_, text, *_rest) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
