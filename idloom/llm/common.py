@@ -51,6 +51,16 @@ def id_bucket(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string")) % 4
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, after which a worker gives back the memory that Arrow keeps for later batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """Apply fn to Arrow batches of df, each cut to about BLOCK_BYTES of string and binary data."""
 
@@ -61,7 +71,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
+
+
+def binary_column(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of runs of values, sizes[k] of them in row k."""
+    ends = np.concatenate(([0], np.cumsum(sizes))) * values.itemsize
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def blocks(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,15 +9,18 @@ import numpy as np
 #: One place in every so many set bits of the upper part is kept, so that select counts few bytes.
 SAMPLE = 256
 _HEAD = struct.Struct("<QQB")
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+#: The place of the k-th set bit of each byte.
+_PLACES = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 def encode(values: np.ndarray) -> bytes:
-    """Header (count, universe, low bits), packed low bits, upper bits in unary, 32-bit select samples."""
+    """Header (count, last number, low bits), packed low bits, upper bits in unary, 32-bit select samples."""
     v = np.asarray(values, np.uint64)
     n = len(v)
-    universe = int(v[-1]) + 1 if n else 0
-    low = max(0, (universe // n).bit_length() - 1) if n else 0
+    last = int(v[-1]) if n else 0
+    low = max(0, ((last + 1) // n).bit_length() - 1) if n else 0
     bits = (v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
     lows = np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
     ones = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
@@ -25,14 +28,14 @@ def encode(values: np.ndarray) -> bytes:
     upper[ones] = 1
     uppers = np.packbits(upper, bitorder="little").tobytes()
     samples = ones[::SAMPLE].astype("<u4").tobytes()
-    return _HEAD.pack(n, universe, low) + struct.pack("<QQQ", len(lows), len(uppers), len(samples)) + lows + uppers + samples
+    return _HEAD.pack(n, last, low) + struct.pack("<QQQ", len(lows), len(uppers), len(samples)) + lows + uppers + samples
 
 
 class EliasFano:
     """A view of an encoded sequence that starts at byte `at`; `end` is the byte after it."""
 
     def __init__(self, data: bytes | memoryview, at: int = 0):
-        self.n, self.universe, self.low = _HEAD.unpack_from(data, at)
+        self.n, self.last, self.low = _HEAD.unpack_from(data, at)
         a, b, c = struct.unpack_from("<QQQ", data, at + _HEAD.size)
         at += _HEAD.size + 24
         self.lows = np.frombuffer(data, np.uint8, a, at)
@@ -61,10 +64,24 @@ class EliasFano:
         bit = np.flatnonzero(np.unpackbits(self.uppers[byte : byte + 1], bitorder="little"))[left]
         return (byte * 8 + int(bit) - i) << self.low | self._low_bits(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.uppers, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at many places: one count of set bits by bytes finds the byte of each, a table its bit there."""
+        at = np.asarray(at, np.int64)
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        before = np.concatenate(([0], np.cumsum(_ONES[self.uppers])))
+        byte = np.searchsorted(before, at, "right") - 1
+        bit = _PLACES[self.uppers[byte], at - before[byte]]
+        high = (byte * 8 + bit - at).astype(np.uint64) << np.uint64(self.low)
         if not self.low:
             return high
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return high | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        # The low bits lie in nine bytes at most.
+        first = at * self.low
+        padded = np.concatenate((self.lows, np.zeros(9, np.uint8)))
+        word = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            word |= padded[first // 8 + i].astype(np.uint64) << np.uint64(8 * i)
+        shift = (first % 8).astype(np.uint64)
+        over = padded[first // 8 + 8].astype(np.uint64)
+        word = word >> shift | np.where(shift > 0, over << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return high | word & np.uint64((1 << self.low) - 1)

@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idloom.llm.common import blocks, documents, prepare, scratch
-from idloom.llm.tokens import encoder, tokenizer_path
+from idloom.llm.common import binary_column, blocks, documents, map_arrow, prepare, scratch
+from idloom.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 
 #: Rank offsets are broadcast up to this many bytes (16 for each task and size) and joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
@@ -90,46 +90,47 @@ def _slots(bins: list[tuple[int, list[int]]], size: int) -> dict[int, tuple[np.n
     return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in runs.items()}
 
 
+_PIECE = ("doc_id", "piece", "start", "length", "ids", "part", "rank")
+
+
 def _pieces(path: str, end_id: int, size: int):
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         enc = encoder(path)
-        width = 2 if enc.code == "H" else 4
-        end = end_id.to_bytes(width, "little")
         for batch in batches:
-            for b in blocks(batch):
-                rows = []
-                for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // width
-                    head = (n - 1) % size + 1
-                    cuts = [0, *range(head, n, size), n]
-                    for i in range(len(cuts) - 1):
-                        length = cuts[i + 1] - cuts[i]
-                        rows.append((doc, i, cuts[i], length, ids[cuts[i] * width : cuts[i + 1] * width], part, int(seen[length])))
-                        seen[length] += 1
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "part", "rank"])
+            for b in blocks(batch, TEXT_BYTES):
+                ids, ends = with_end(*enc.arrays(b.column(1)), end_id)
+                n = np.diff(ends, prepend=0)
+                count = (n + size - 1) // size
+                doc = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+                head = ((n - 1) % size + 1)[doc]
+                length = np.where(piece == 0, head, size)
+                order = np.argsort(length, kind="stable")  # rank among the task's pieces of that length
+                kinds, at, many = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(length)) - np.repeat(at, many) + np.repeat(seen[kinds], many)
+                seen[kinds] += many
+                cols = [b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(np.where(piece == 0, 0, head + (piece - 1) * size)), pa.array(length), binary_column(ids, length), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(cols, names=list(_PIECE))
 
     return run
 
 
-def _place(slots: dict[int, tuple[np.ndarray, ...]], size: int, width: int):
+def _place(slots: dict[int, tuple[np.ndarray, ...]], width: int):
     def run(batches):
-        for b in batches:
-            length = b.column("length").to_numpy()
-            rank = b.column("rank").to_numpy() + b.column("before").to_numpy()
-            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for s in np.unique(length):
-                at = np.flatnonzero(length == s)
-                lo, first, offset = slots[int(s)]
-                k = np.searchsorted(lo, rank[at], "right") - 1
-                seq[at], off[at] = first[k] + rank[at] - lo[k], offset[k]
-            ids = b.column("ids")
-            if width == 2:
-                ids = pa.array([np.frombuffer(x, np.uint16).astype(np.uint32).tobytes() for x in ids.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length")), ids, pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+        for batch in batches:
+            for b in blocks(batch, TEXT_BYTES):
+                length = b.column("length").to_numpy()
+                rank = b.column("rank").to_numpy() + b.column("before").to_numpy()
+                seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+                for s in np.unique(length):
+                    at = np.flatnonzero(length == s)
+                    lo, first, offset = slots[int(s)]
+                    k = np.searchsorted(lo, rank[at], "right") - 1
+                    seq[at], off[at] = first[k] + rank[at] - lo[k], offset[k]
+                ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2" if width == 2 else "<u4").astype("<u4")
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _PIECE[:4]), binary_column(ids, length), pa.array(seq), pa.array(off)], names=[*_PIECE[:5], "sequence_id", "offset"])
 
     return run
 
@@ -139,14 +140,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> Data
 
     A null or empty text is the end id alone. Documents longer than size are cut into pieces of that size, the
     first of which may be shorter; nothing else is cut or dropped. Rows that share a doc_id, or have none, are
-    packed like any other. Within a sequence the offsets have no gap. An empty table gives no rows.
+    packed like any other; extra columns are ignored. Within a sequence the offsets have no gap. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     width = 2 if encoder(tokenizer).code == "H" else 4
     path = scratch(spark, "pieces")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, rank bigint"
-    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, end_id, size), schema).write.option("compression", "zstd").parquet(path)
+    map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, end_id, size), schema).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(schema).parquet(path)
     counts = pieces.groupBy("length", "part").count()
     total = counts.groupBy("length").agg(F.sum("count").alias("n"))
@@ -157,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> Data
     if tasks is not None and (tasks + 1) * size * 16 <= BROADCAST_BYTES:
         before = F.broadcast(before)
     placed = pieces.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids", "rank", "before")
-    return placed.mapInArrow(_place(slots, size, width), "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
+    return map_arrow(placed, _place(slots, width), "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

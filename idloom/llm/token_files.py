@@ -13,18 +13,20 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idloom.llm import eliasfano
-from idloom.llm.common import blocks, documents, prepare, scratch
+from idloom.llm.common import binary_column, blocks, documents, map_arrow, prepare, scratch
 from idloom.llm.eliasfano import EliasFano
-from idloom.llm.tokens import encoder, tokenizer_path
+from idloom.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 
 MAGIC = b"IDEF1"
 _HEAD = struct.Struct("<5sBQq")
 #: Bytes of ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_BYTES = 1 << 20
+#: Where each task's ids begin is broadcast up to this many bytes (16 for each task) and joined by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 SHARD_SCHEMA = "part int, shard int, start_in_part bigint, n_docs bigint, n_tokens bigint, payload binary"
 
 
@@ -33,7 +35,7 @@ def shard_bytes(doc_ids: list[int | None], ids: list[bytes], width: int) -> byte
     named = [d for d in doc_ids if d is not None]
     least = named[0] if named else 0
     ends = np.cumsum([len(x) // width for x in ids])
-    gaps = np.array([d - least for d in named], np.uint64)
+    gaps = np.array(named, np.int64).view(np.uint64) - np.int64(least).view(np.uint64)  # 64 bits hold any difference
     return _HEAD.pack(MAGIC, width, len(doc_ids) - len(named), least) + eliasfano.encode(gaps) + eliasfano.encode(ends) + b"".join(ids)
 
 
@@ -58,15 +60,15 @@ class Shard:
         return self.ids[self.ends.select(k - 1) if k else 0 : self.ends.select(k)]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + [self.least + int(g) for g in self.names.all()]
+        named = self.names.select_many(np.arange(len(self.names)))
+        return [None] * self.unnamed + (np.int64(self.least).view(np.uint64) + named).view(np.int64).tolist()
 
 
 def _write(path: str, end_id: int, shard_size: int):
     def run(batches):
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         enc = encoder(path)
-        width = 2 if enc.code == "H" else 4
-        end = end_id.to_bytes(width, "little")
+        width = enc.dtype.itemsize
         docs: list[int | None] = []
         ids: list[bytes] = []
         held = 0
@@ -81,13 +83,15 @@ def _write(path: str, end_id: int, shard_size: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["part", "shard", "start_in_part", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for b in blocks(batch):
-                for doc, x in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    if held and held + len(x) > shard_size:
+            for b in blocks(batch, TEXT_BYTES):
+                flat, ends = with_end(*enc.arrays(b.column(1)), end_id)
+                raw, cuts = flat.tobytes(), (ends * width).tolist()
+                for doc, x, y in zip(b.column(0).to_pylist(), [0, *cuts], cuts, strict=False):
+                    if held and held + y - x > shard_size:
                         yield close()
                     docs.append(doc)
-                    ids.append(x + end)
-                    held += len(x) + width
+                    ids.append(raw[x:y])
+                    held += y - x
         if docs:
             yield close()
 
@@ -97,36 +101,40 @@ def _write(path: str, end_id: int, shard_size: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_size: int = SHARD_BYTES) -> None:
     """Encode every whole text (null: empty), append end_id and write shards in ascending doc_id order.
 
-    Rows without a doc_id come first; rows that share one stand side by side, ordered by text.
+    Rows without a doc_id come first; rows that share one stand side by side, ordered by text. Extra columns are
+    ignored; an empty table gives no shards.
     """
     prepare(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write(tokenizer, end_id, shard_size), SHARD_SCHEMA).write.parquet(path)
+    map_arrow(ordered, _write(tokenizer, end_id, shard_size), SHARD_SCHEMA).write.parquet(path)
 
 
-def _read(first: dict[int, int]):
-    def run(batches):
-        for batch in batches:
-            for part, start, data in zip(batch.column("part").to_pylist(), batch.column("start_in_part").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                s = Shard(data)
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                ids = [s.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), pa.array(starts + first[part] + start), pa.array(ends - starts), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return run
+def _read(batches):
+    for batch in batches:
+        for start, data in zip(batch.column("start").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            s = Shard(data)
+            ends = s.ends.select_many(np.arange(len(s))).astype(np.int64)
+            sizes = np.diff(ends, prepend=0)
+            cols = [pa.array(s.doc_ids(), pa.int64()), pa.array(ends - sizes + start), pa.array(sizes), binary_column(s.ids.astype("<u4"), sizes)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the shards: doc_id, start (ids before it), n_tokens, ids (little-endian 32-bit)."""
+    """One row per document of the shards: doc_id, start (ids before it), n_tokens, ids (little-endian 32-bit).
+
+    Each document's place in its shard comes from select on the coded boundaries.
+    """
     prepare(spark)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    first, at = {}, 0
-    for part, n in sorted(shards.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row for each task that wrote
-        first[part] = at
-        at += n
-    return shards.select("part", "start_in_part", "payload").mapInArrow(_read(first), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    # One row for each task that wrote; what earlier tasks wrote is summed in one small window and joined back.
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    last = shards.agg(F.max("part")).first()[0]
+    if last is not None and (last + 1) * 16 <= BROADCAST_BYTES:
+        first = F.broadcast(first)
+    placed = shards.join(first, "part").select((F.col("first") + F.col("start_in_part")).alias("start"), "payload")
+    return map_arrow(placed, _read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,10 +163,10 @@ def test_packing(docs, rows):
 
 
 def test_token_files(spark, docs, rows, tmp_path):
-    for n, u in ((0, 1), (1, 5), (700, 10), (900, 2**40)):
+    for n, u in ((0, 1), (1, 5), (700, 10), (900, 2**40), (3, 2**63 - 1)):
         v = np.sort(np.random.default_rng(n).integers(0, u, n)).astype(np.uint64)
         e = eliasfano.EliasFano(eliasfano.encode(v))
-        assert (e.all() == v).all() and all(e.select(i) == int(v[i]) for i in range(0, n, 13))
+        assert (e.select_many(np.arange(n)) == v).all() and all(e.select(i) == int(v[i]) for i in range(0, n, 13))
     path, name = str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json")
     token_files.write_token_files(docs, path, name, 2, shard_size=300)
     got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
