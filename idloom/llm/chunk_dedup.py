@@ -174,7 +174,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunks = saved(chunk_table(docs), "chunks")
     # Least and greatest document of each digest, combined before the shuffle: no group meets in one task.
     shared = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("first_here").alias("once"))
-    shared = shared.where("source < last or not once").drop("last", "once")
+    # They are written before the join, so that Spark can split the places of a hot chunk among tasks.
+    shared = saved(shared.where("source < last or not once").drop("last", "once"), "shared")
     again = chunks.join(shared, ["d1", "d2"]).where("doc_id > source or not first_here")
     by_doc = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "start", "end", "words", "source"))).alias("found"))
     return map_batches(by_doc, _runs(min_words), "doc_id bigint, n_spans bigint, cut_bytes bigint, cut_words bigint, spans array<struct<start:bigint,end:bigint>>, source_ids array<bigint>")

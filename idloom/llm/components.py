@@ -38,12 +38,13 @@ def _contract(edges: DataFrame) -> DataFrame:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges with u > v."""
+    """One large-star and one small-star step over edges with u > v. Least neighbours are written before they are joined,
+    so that Spark can split the edges of a root with many children."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
     large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = large.union(edges.join(low, "u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
-    least = kept.groupBy("u").agg(F.min("v").alias("m"))
+    kept = saved(large.union(edges.join(low, "u").select("u", F.col("m").alias("v"))).where("u > v").distinct(), "kept")
+    least = saved(kept.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = kept.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -52,16 +53,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the least node that it reaches.
 
     Null ends and loops are left out; an empty table gives an empty one. Each round writes its edges to the
-    shared folder; the last round changed nothing.
+    shared folder; the last round changed nothing, which is found by comparing all edges.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
-    now, mark = saved(_contract(now), "edges"), None
+    now = saved(_contract(now).distinct(), "edges")
     for _ in range(most_rounds):
-        now = saved(_contract(_stars(now)), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if now.isEmpty():
+            break
+        before, now = now, saved(_contract(_stars(now)).distinct(), "edges")
+        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        mark = seen
     else:
         raise RuntimeError("components: not settled")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -2,7 +2,11 @@
 
 Documents are compared by their sets of word shingles: A-Z are lower-cased, words are runs without white
 space, a shingle is `shingle` words in a row (all words of a shorter text; none of an empty or null text).
-Two documents are linked if 100 * intersection >= percent * union; a group is what links connect.
+Two documents are linked if 100 * intersection >= percent * union; a group is what links connect. Sets are kept, and
+links confirmed, as sets of 64-bit hashes of whole shingles.
+
+Nodes are distinct sets, told apart by a 128-bit digest and their size. Tables that an aggregate and a join need by one key
+are written in between, so that Spark can split the rows of a hot key among the tasks of the join.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from idloom.llm.superminhash import band_keys, signatures
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 42, 6
+#: What one pass over Arrow data reads: a signature takes room for a permutation of its places for each word.
+PROFILE_BYTES = 1 << 19
+#: What tells distinct sets apart.
+SET = ["d1", "d2", "n_shingles"]
 #: Rounds in which the members of a bucket are compared with one centre only, before what is left is compared in full.
 STAR_ROUNDS = 2
 
@@ -45,16 +53,18 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return sets
 
 
+def _digests(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    with np.errstate(over="ignore"):
+        d1, d2 = (pa.array(np.fromiter((mix(s * f).sum() if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)) for f in (np.uint64(1), _GOLD))
+    return {"n_shingles": pa.array(np.fromiter((len(s) for s in sets), np.int64, len(sets))), "d1": d1, "d2": d2}
+
+
 def _profile(k: int, bands: int, rows: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(raw_texts(batch.column(1), lower=True), k)
         keys = band_keys(signatures(sets, bands * rows), bands).view(np.int64)
-        n = np.fromiter((len(s) for s in sets), np.int64, len(sets))
-        with np.errstate(over="ignore"):
-            d1 = np.fromiter((mix(s).sum() if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
-            d2 = np.fromiter((mix(s * _GOLD).sum() if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **_digests(sets), "bands": lists})
 
     return fn
 
@@ -62,7 +72,7 @@ def _profile(k: int, bands: int, rows: int):
 def _set_bytes(k: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(raw_texts(batch.column(1), lower=True), k)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+        return pa.RecordBatch.from_pydict({**_digests(sets), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return fn
 
@@ -90,10 +100,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (rep, comp) after links (a, b) have joined components."""
-    ends = links.join(nodes.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(nodes.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    return saved(nodes.join(roots, nodes["comp"] == roots["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp")), "labels")
+    """nodes (node, comp) after links (a, b) have joined components."""
+    ends = links.join(nodes.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(nodes.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    roots = saved(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()).withColumnRenamed("node", "comp"), "roots")
+    return saved(nodes.join(roots, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
 def _differences(percent: int):
@@ -113,25 +123,25 @@ def _differences(percent: int):
             cost[i] = (100 + percent) * len(apart[-1]) - (100 - percent) * len(a)
             near[i] = cost[i] <= (100 - percent) * len(b)
         sizes = [len(a) for a in apart]
-        cols = [np.repeat(c, sizes) for c in (*(batch.column(c).to_numpy() for c in ("c", "rep", "comp")), cost, near)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64))], names=["c", "rep", "comp", "cost", "near", "h"])
+        cols = [np.repeat(c, sizes) for c in (*(batch.column(c).to_numpy() for c in ("c", "node", "comp")), cost, near)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64))], names=["c", "node", "comp", "cost", "near", "h"])
 
     return fn
 
 
 def _centres(here: DataFrame, weight: DataFrame, t: int = 0) -> DataFrame:
-    """The centre c (rep, comp) of each bucket of several groups.
+    """The centre c (node, comp) of each bucket of several groups.
 
     The first centre is the member that meets most others in buckets; later ones are more and more random.
     """
-    luck = F.pmod(F.xxhash64("rep", F.lit(t)), F.lit(1000)) / 1000
+    luck = F.pmod(F.xxhash64("node", F.lit(t)), F.lit(1000)) / 1000
     rank = F.col("weight") * (1 + t * t * luck)
-    return here.join(weight, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "comp"), F.struct(rank, "rep")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
+    return here.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct(rank, "node")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
 
 
 def _star_pairs(here: DataFrame, weight: DataFrame, t: int) -> DataFrame:
     """Each member of a bucket of several groups with the bucket's centre, if that is of another group."""
-    return here.join(_centres(here, weight, t), "key").where("comp <> c.comp").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
+    return here.join(saved(_centres(here, weight, t), "centres"), "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
 def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,19 +154,20 @@ def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: in
     Both ends' costs are bounded by the least ones of the near and of the far members of that centre.
     """
     whole = 2 * (100 + percent)
-    family = here.join(_centres(here, weight), "key").where("rep <> c.rep").select("c.rep", "rep", "comp").toDF("c", "rep", "comp").distinct()
-    full = family.join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("x")), "rep").join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("y")), "c").select("c", "rep", "comp", "x", "y")
-    apart = saved(map_batches(full, _differences(percent), "c bigint, rep bigint, comp bigint, cost bigint, near boolean, h bigint"), "differences")
+    family = here.join(saved(_centres(here, weight), "centres"), "key").where("node <> c.node").select("c.node", "node", "comp").toDF("c", "node", "comp").distinct()
+    full = family.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("x")), "node").join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("y")), "c").select("c", "node", "comp", "x", "y")
+    apart = saved(map_batches(full, _differences(percent), "c bigint, node bigint, comp bigint, cost bigint, near boolean, h bigint"), "differences")
     common = apart.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c", "h", "df")
-    member = apart.join(common, ["c", "h"]).groupBy("c", "rep", "comp", "cost", "near").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
+    common = saved(common, "common")
+    member = apart.join(common, ["c", "h"]).groupBy("c", "node", "comp", "cost", "near").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
     member = saved(member.withColumn("u", F.size("own").cast("long")).withColumn("reach", whole * F.col("u") - F.col("cost")), "members")
     least = member.groupBy("c").agg(F.min(F.expr("if(near, cost, null)")).alias("least_near"), F.min(F.expr("if(near, null, cost)")).alias("least_far"))
-    bound = member.join(least, "c")
+    bound = saved(member.join(saved(least, "least"), "c"), "bound")
 
     def prefixes(rows: DataFrame, other: str, tag: str) -> DataFrame:
         need = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col(other)) / whole))
         few = rows.where(F.col(other).isNotNull()).withColumn("take", (F.col("u") - need + 1).cast("int")).where("take > 0")
-        return few.select("c", F.col("rep").alias(f"r{tag}"), F.col("comp").alias(f"g{tag}"), F.col("cost").alias(f"cost{tag}"), F.col("reach").alias(f"reach{tag}"), F.explode(F.expr("transform(slice(own, 1, take), e -> e.h)")).alias("h"))
+        return few.select("c", F.col("node").alias(f"r{tag}"), F.col("comp").alias(f"g{tag}"), F.col("cost").alias(f"cost{tag}"), F.col("reach").alias(f"reach{tag}"), F.explode(F.expr("transform(slice(own, 1, take), e -> e.h)")).alias("h"))
 
     far, fits = bound.where("not near"), (F.col("g1") != F.col("g2")) & (F.col("reach1") >= F.col("cost2")) & (F.col("reach2") >= F.col("cost1"))
     mixed = prefixes(far, "least_near", "1").join(prefixes(bound.where("near"), "least_far", "2"), ["c", "h"]).where(fits)
@@ -167,42 +178,56 @@ def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: in
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id of the group).
 
-    Rows that share a doc_id count as one document. A null doc_id is linked with nothing (component_id null).
-    Documents of equal sets are one node; only one of them goes through banding. Members of a band bucket
+    Rows that share a doc_id are one document of several texts: what any of them is linked with, the document is
+    linked with. A row without text or words is linked with nothing; a null doc_id too (component_id null).
+    Equal sets are one node, which goes through banding once. Members of a band bucket
     are first compared with one centre, in star_rounds rounds with other centres and only across groups
     not yet joined; then all pairs of a bucket that are still in different groups are compared, but for those
     whose differences from the bucket's first centre rule a link out. So no candidate pair is lost and pairs inside
     a group are never all formed. star_rounds is 1 at least.
-    Extra columns are ignored.
+    Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = saved(map_batches(text, _profile(shingle, bands, rows), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"), "profiles")
+    profile = saved(map_batches(text, _profile(shingle, bands, rows), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>", PROFILE_BYTES), "profiles")
     real = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    member = profile.drop("bands").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-
-    reps = real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    sized = saved(reps.join(shared, "key").select("key", "rep", "size"), "buckets")
-    buckets = sized.select("key", "rep")
-    weight = saved(sized.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    nodes = saved(weight.select("rep", F.col("rep").alias("comp")), "labels")
-    sets = saved(map_batches(text.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _set_bytes(shingle), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
+    classes = real.groupBy(SET).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    known = classes.select(*SET, "node", "rep")
+    member = saved(profile.drop("bands").join(known, SET, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
+
+    reps = classes.select("node", F.explode("bands").alias("key"))
+    shared = saved(reps.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "shared")
+    sized = saved(reps.join(shared, "key").select("key", "node", "size"), "buckets")
+    buckets = sized.select("key", "node")
+    weight = saved(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    several = saved(member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
+    same = saved(member.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct(), "same")
+    ends = same.select("a").union(same.select("b")).toDF("node").union(weight.select("node")).distinct()
+    nodes = saved(ends.select("node", F.col("node").alias("comp")), "labels")
+    if not same.isEmpty():
+        nodes = _relabel(nodes, same)
+    wanted = saved(weight.join(known, "node").select(*SET, "node", "rep"), "wanted")
+    found = map_batches(text.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _set_bytes(shingle), "n_shingles bigint, d1 bigint, d2 bigint, shingles binary", PROFILE_BYTES)
+    sets = saved(found.dropDuplicates(SET).join(wanted, SET).select(F.col("node").alias("id"), "shingles"), "sets")
 
     tried: DataFrame | None = None
     star_rounds = max(1, star_rounds)
     for t in range(star_rounds + 1):
-        mixed = buckets.join(nodes, "rep")
-        open_keys = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        mixed = buckets.join(nodes, "node")
+        open_keys = saved(mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open-keys")
         here = saved(mixed.join(open_keys, "key"), "open")
+        if here.isEmpty():
+            break
         pairs = (_star_pairs(here, weight, t) if t < star_rounds else _rest_pairs(here, weight, sets, percent)).distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
             tried = pairs if tried is None else tried.union(pairs)
-    return member.join(nodes, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    top = saved(nodes.join(known.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "components")
+    named = saved(nodes.join(top, "comp").select("node", "component_id"), "named")
+    return member.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,18 @@ def test_near_dedup_of_edited_copies_equals_brute_force(spark):
     assert 1 < len(set(root)) < len(root)
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    pick = lambda: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(60)]
+    a, b, c = pick(), pick(), pick()
+    rows = [(1, a), (1, b), (2, [*a, "end"]), (3, [*b, "end"]), (4, c), (5, [*c, "end"]), (5, None), (6, pick()), (6, pick())]
+    rows = [(i, w and " ".join(w)) for i, w in rows]
+    want = Counter([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 5), (6, 6), (6, 6)])
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        table = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        assert Counter((r.doc_id, r.component_id) for r in near_dedup.near_groups(table, shingle=2).collect()) == want
+
+
 def test_components(spark):
     from idloom.llm.components import components
 
