@@ -11,8 +11,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about this much text.
@@ -48,12 +49,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_bucket(col: str = "doc_id"):
-    """crc32 of the id as text, modulo 4: 2 marks held-out rows."""
+def id_bucket(col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 4: 2 marks held-out rows; null without an id, whose rows neither train nor are held out."""
     return F.crc32(F.col(col).cast("string")) % 4
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Of a longer text, training reads a window of this many characters, at a place drawn by hash. Scoring reads all of it.
+TRAIN_CHARS = 20_000
+_DRAWS = 1 << 62
+
+
+def drawn(share: float, *key: Column | str) -> Column:
+    """Whether a row is in a sample of about that share, drawn by a 62-bit hash of its key."""
+    return F.pmod(F.xxhash64(*key), F.lit(_DRAWS)) < F.lit(draws(share))
+
+
+def draws(share: float) -> int:
+    return int(min(1.0, share) * _DRAWS)
+
+
+def training_window(most: int = TRAIN_CHARS) -> Column:
+    """text, or a window of it."""
+    spare = F.greatest(F.length("text") - most, F.lit(0))
+    return F.substr("text", (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(most))
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, after which a worker gives back the memory that Arrow keeps for later batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +84,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, most: int = BLOCK_BYTES) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, most: int = BLOCK_BYTES) -> DataFrame:
     """Apply fn to Arrow batches of df, each cut to about `most` bytes of string and binary data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

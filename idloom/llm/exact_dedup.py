@@ -2,16 +2,17 @@
 
 The stream reads documents file by file and keeps, in a disk-backed state store without expiry, one entry
 per digest of the normalised text (A-Z lower-cased, null as empty): the stable identifier of the copy that
-stays, its content locator (file and row in it) and the number of copies. A digest seen again is a hit;
-the full bytes of all hits are compared before a copy is called a copy.
+stays, its content locator (file and row in it) and the number of copies. A digest seen again, in this batch or
+an earlier one, is a hit; the full bytes of all hits are compared before a copy is called a copy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.llm.common import documents, map_batches, prepare, raw_texts, saved, scratch
@@ -23,8 +24,11 @@ STORE_CONF = {
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: What one micro-batch of the stream reads.
-BATCH_BYTES = 256 << 30
+#: What one micro-batch of the stream reads; a file larger than that is a batch of its own.
+BATCH_BYTES = 4 << 30
+#: Digests of repeated texts are broadcast up to this many bytes, so that no other body is shuffled; beyond, all bodies are.
+BROADCAST_BYTES = 64 << 20
+_ROW = "doc_id bigint, file string, row bigint, digest binary"
 
 
 def _digests(with_text: bool):
@@ -39,9 +43,17 @@ def _digests(with_text: bool):
     return fn
 
 
-def _located(docs: DataFrame) -> DataFrame:
+def _locator(table: DataFrame, path: str) -> tuple[Column, Column]:
+    """The file, as its path below the table's folder, and the row in it."""
+    meta = table.metadataColumn("_metadata")
+    name = path.rstrip("/").rpartition("/")[2]
+    return F.regexp_replace(meta["file_path"], f"^.*?/{re.escape(name)}/", ""), meta["row_index"]
+
+
+def _located(table: DataFrame, path: str) -> DataFrame:
     """doc_id, text and the locator of each row of a Parquet table."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("row"))
+    file, row = _locator(table, path)
+    return table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), file.alias("file"), row.alias("row"))
 
 
 def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
@@ -50,8 +62,7 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     The state stays in the checkpoint: a later run over the same folder goes on with it, reading new files only.
     """
     spark = stream.sparkSession
-    digests = map_batches(stream, _digests(False), "doc_id bigint, file string, row bigint, digest binary")
-    state = digests.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies"))
+    state = map_batches(stream, _digests(False), _ROW).groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies"))
     before = {k: spark.conf.get(k, None) for k in STORE_CONF}
     for k, v in STORE_CONF.items():
         spark.conf.set(k, v)
@@ -66,7 +77,7 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _decisions(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFrame:
+def _decisions(spark: SparkSession, path: str, bytes_per_batch: int, checkpoint: str | None) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(path)
     files = docs.inputFiles()
@@ -74,45 +85,52 @@ def _decisions(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFram
     # A stream takes a folder or a pattern: the path of one file becomes a pattern that only it fits.
     source = f"{path[:-1]}[{path[-1]}]" if single else path
     stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
-    state = stream_state(_located(stream), scratch(spark, "exact-dedup"))
-    schema = "doc_id bigint, file string, row bigint, digest binary"
-    rows = map_batches(_located(docs), _digests(False), schema)
-
-    bodies = map_batches(_located(docs), _digests(True), f"{schema}, body binary")
-    hits = bodies.join(state.where("copies > 1").select("digest"), "digest")
-    # The least and the greatest body of a digest are equal only if all are; partial results keep a hot digest small.
-    clash = saved(hits.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "clashes")
-
-    out = rows.join(state, "digest", "left")
+    state = stream_state(_located(stream, path), checkpoint or scratch(spark, "exact-dedup"))
+    rows = map_batches(_located(docs, path), _digests(False), _ROW)
+    shape = ["file", "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size")]
     mine = F.struct("doc_id", "file", "row")
-    shape = ["file", "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.col("keep").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
-    if clash.isEmpty():
+    shape += [F.col("keep").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+
+    bodies = map_batches(_located(docs, path), _digests(True), f"{_ROW}, body binary")
+    hits = state.where("copies > 1").select("digest")
+    n = hits.count()
+    if n * 40 <= BROADCAST_BYTES:
+        checked = bodies.join(F.broadcast(hits), "digest", "left_semi")
+    else:
+        checked = bodies
+    # The least and the greatest body of a digest are equal only if all are; each task first reduces its own rows.
+    clash = checked.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest")
+    out = rows.join(state, "digest", "left")
+    if not n or (clash := saved(clash, "clashes")).isEmpty():
         return out.select(shape)
     apart = saved(bodies.join(clash, "digest", "left_semi"), "apart")
     groups = apart.groupBy("digest", "body").agg(F.max(mine).alias("keep"), F.count("*").alias("copies"))
     return out.join(clash, "digest", "left_anti").select(shape).union(apart.join(groups, ["digest", "body"]).select(shape))
 
 
-def exact_duplicates(spark: SparkSession, path: str, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
+def exact_duplicates(spark: SparkSession, path: str, bytes_per_batch: int = BATCH_BYTES, checkpoint: str | None = None) -> DataFrame:
     """One row per row of the Parquet documents at path: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (of rows that share it, the last file's last row; a
     null doc_id is the smallest). Null and empty texts are equal. Texts of one digest that differ in their
     bytes are separated again. Extra columns are ignored; an empty table gives no rows. bytes_per_batch is
-    what one micro-batch reads.
+    what one micro-batch reads. checkpoint keeps the state: a later call for the same path and checkpoint reads
+    only files that are new there into the state and decides on all rows.
     """
-    return _decisions(spark, path, bytes_per_batch).drop("file", "row")
+    return _decisions(spark, path, bytes_per_batch, checkpoint).drop("file", "row")
 
 
 def drop_exact_duplicates(docs: DataFrame, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
-    """docs without the rows whose text another row keeps; the columns stay as they are."""
+    """docs without the rows whose text another row keeps (see exact_duplicates); all columns stay as they are, whatever
+    their names."""
     spark = docs.sparkSession
     path = scratch(spark, "docs")
     docs.write.parquet(path)
-    gone = _decisions(spark, path, bytes_per_batch).where("not kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    gone = saved(_decisions(spark, path, bytes_per_batch, None).where("not kept").select("file", "row"), "gone")
     again = spark.read.schema(docs.schema).parquet(path)
-    at = again.withColumn("_at", F.struct(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("row")))
-    return at.join(gone, (F.col("_at.file") == F.col("_file")) & (F.col("_at.row") == F.col("_row")), "left_anti").drop("_at")
+    file, row = _locator(again, path)
+    every = again.select(F.struct("*").alias("all"), file.alias("file"), row.alias("row"))
+    return every.join(gone, ["file", "row"], "left_anti").select("all.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
