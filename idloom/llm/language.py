@@ -2,34 +2,37 @@
 
 A text's subwords are the byte n-grams (2 to 4) of its letters, with everything else as blanks. Since the softmax
 is linear in the averaged embeddings, scoring needs only each bucket's product with the output weights: one table
-look-up per n-gram. Training reads a bounded sample of labelled rows; scoring reads every whole text.
+look-up per n-gram. Training reads a bounded sample of labelled rows; scoring reads every whole text. A fifth of the
+sample calibrates: it sharpens the probabilities, and isotonic regression of right guesses on them tells which to reject.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from idloom.llm.common import BLOCK_BYTES, documents, id_bucket, map_batches, prepare
+from idloom.llm.boosting import isotonic
+from idloom.llm.common import documents, drawn, id_bucket, map_batches, prepare, training_window
 
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: Labelled rows of each language that training reads, at most (in expectation; never above twice as many).
 ROWS_PER_LANGUAGE = 500
-#: Share of well-labelled calibration rows that rejection may lose, and the score that it never asks to exceed.
-REJECT_SHARE, REJECT_MOST = 0.001, 0.5
+#: Scores at which a calibration row is rightly named with less than this probability are rejected.
+LEAST_RIGHT = 0.5
+#: Bytes of text that one numpy pass over n-grams sees.
+PASS_BYTES = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 256)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_GAP = b"   "  # between texts: no n-gram holds letters of two
+_GAP = b"   "  # before and after each text: no n-gram holds letters of two
 
 
 def _buckets(data: np.ndarray, n: int) -> np.ndarray:
@@ -67,11 +70,11 @@ def average(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """The mean table row over each text's n-grams."""
     sums = np.zeros((len(texts), table.shape[1]))
     counts = np.zeros(len(texts))
-    data = _FOLD[np.frombuffer(_GAP.join(texts) + _GAP, np.uint8)]
-    sizes = np.fromiter((len(t) + len(_GAP) for t in texts), np.int64, len(texts))
+    data = _FOLD[np.frombuffer(b"".join(p for t in texts for p in (_GAP, t, _GAP)), np.uint8)]
+    sizes = np.fromiter((len(t) + 2 * len(_GAP) for t in texts), np.int64, len(texts))
     start = np.cumsum(sizes) - sizes
-    for a in range(0, len(data), BLOCK_BYTES):
-        b = min(a + BLOCK_BYTES, len(data))
+    for a in range(0, len(data), PASS_BYTES):
+        b = min(a + PASS_BYTES, len(data))
         k0, k1 = int(np.searchsorted(start, a, "right")) - 1, int(np.searchsorted(start, b, "left"))
         cuts = np.maximum(start[k0:k1] - a, 0)
         for n in SIZES:
@@ -128,20 +131,19 @@ def train(texts: list[bytes], labels: list[str], dim: int = 16, epochs: int = 8,
             if best is None or loss < best:
                 best, model.sharpness = loss, float(s)
         guess, score = model.predict([texts[i] for i in held])
-        right = score[guess == y[held]]
-        model.least = float(min(REJECT_MOST, np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+        at, right = isotonic(score, (guess == y[held]).astype(float), np.ones(len(held)))
+        model.least = 0.0 if right[0] >= LEAST_RIGHT else float(at[np.argmax(right >= LEAST_RIGHT)]) if right[-1] >= LEAST_RIGHT else 1.0
     return model
 
 
 def training_rows(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """A bounded sample of labelled rows: text and lang, the same rows for the same table."""
+    """A bounded sample of labelled rows: text (a window of long ones) and lang, the same rows for the same table."""
     named = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # one row per language
-    draw = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")) % 1_000_000 + 1_000_000) % 1_000_000
-    share = F.lit(0)
+    picked = F.lit(False)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, rows_per_language / n))).otherwise(share)
-    rows = named.where(draw < share).select("text", "lang").limit(2 * rows_per_language * max(1, len(counts))).collect()
+        picked = F.when(F.col("lang") == lang, drawn(rows_per_language / n, F.col("doc_id").cast("string"), F.lit("language"))).otherwise(picked)
+    rows = named.where(picked).select(training_window().alias("text"), "lang").limit(2 * rows_per_language * max(1, len(counts))).collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
@@ -151,7 +153,8 @@ def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_
 
     usable marks the rows whose labels training may read. A null text or one without letters is `und`, score 0,
     rejected; so is every text when there is no labelled row. A score below the calibrated one is rejected but
-    keeps its language. Columns of the same names are replaced; an empty table gives no rows.
+    keeps its language. Columns of the same names are replaced, all others stay; an empty table gives no rows. Rows
+    that share a doc_id, or have none, are scored like any other.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -163,7 +166,7 @@ def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         m = box.value
-        real = [bool(t and m and _LETTER.search(t)) for t in texts]
+        real = [bool(t and m) and any(map(str.isalpha, t)) for t in texts]
         best, score = m.predict([(t or "").encode() for t in texts]) if m else (np.zeros(len(texts), int), np.zeros(len(texts)))
         lang = [m.languages[b] if ok else "und" for b, ok in zip(best, real, strict=True)]
         score = np.where(real, score, 0.0)
@@ -171,8 +174,8 @@ def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
     source = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in kept))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return map_batches(source, fn, f"{schema}, lang_pred string, score double, rejected boolean")
+    schema = StructType([*source.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return map_batches(source, fn, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from idloom.llm.common import binary_column, documents, map_batches, prepare
 from idloom.llm.tokens import BARE, BREAK, MARK, SegmentCoder, tokenizer_path
@@ -322,8 +323,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
         texts = [None if x is None else c.decode(x) for x in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(kept, fn, f"{schema}, text string")
+    return map_batches(kept, fn, StructType([*kept.schema.fields]).add("text", "string"))
 
 
 def _round_trip(model: str):
