@@ -26,29 +26,29 @@ class LabelModel:
         return 1 / (1 + math.exp(-max(-700, min(700, z))))
 
 
-def fit(patterns: Mapping[tuple[int, ...], int], rules: int, start_prior: float = 0.8, belief: float = 0.85, rounds: int = 200) -> LabelModel:
-    """Fit two classes to counts of vote patterns, starting from the majority vote.
+def fit(patterns: Mapping[tuple[int, ...], int], rules: int, start_prior: float = 0.8, belief: float | Sequence[float] = 0.85, strength: float = 20.0, rounds: int = 500) -> LabelModel:
+    """Fit two classes to counts of vote patterns by expectation-maximisation, starting from the majority vote.
 
-    Abstentions count for neither side. Each vote is believed beforehand to be right with probability
-    `belief`, as strongly as half of its own counts say otherwise, so that the classes cannot change places
-    and rules that never meet another rule keep a meaning. A vote for is worth at most half a unit of log
-    odds, since every rule has many ways to be content. Without patterns only these beliefs are used.
+    For each class and rule it estimates how often the rule votes for rather than against; an abstention says
+    nothing. Beforehand each vote is believed to be right with probability `belief` (one for all rules or one each), as if `strength` votes of each
+    class had shown it, and the share of positives to be start_prior, as if as many rows had; both fade as the counts
+    grow. The beliefs give the classes their names. Without patterns only they are used.
     """
     votes = np.array(list(patterns), np.int64).reshape(len(patterns), rules)
     n = np.array(list(patterns.values()), float)
-    p = 1 / (1 + np.exp(-(math.log(start_prior / (1 - start_prior)) + 1.5 * votes.clip(-1, 0).sum(axis=1))))
-    prior, weight = start_prior, np.tile([-2.0, 0.0, 0.2], (rules, 1))
+    is_for, against = votes == 1, votes == -1
+    sure = np.broadcast_to(np.asarray(belief, float), (rules,))
+    prior, weight = start_prior, np.stack([np.log((1 - sure) / sure), np.zeros(rules), np.log(sure / (1 - sure))], axis=1)
+    p = 1 / (1 + np.exp(-(math.log(start_prior / (1 - start_prior)) + 1.5 * against.sum(axis=1) * -1.0)))
     for _ in range(rounds if len(n) else 0):
-        prior = float(np.clip((n * p).sum() / n.sum(), 0.5, 0.99))
+        prior = float(((n * p).sum() + strength * start_prior) / (n.sum() + strength))
         new = np.zeros_like(weight)
-        for r in range(rules):
-            for v, right in ((-1, 1 - belief), (1, belief)):
-                at = votes[:, r] == v
-                good, every = (n * p)[at].sum(), n[at].sum()
-                share = (good + (every + 1) * right) / (2 * every + 1)
-                new[r, v + 1] = math.log(share / (1 - share)) - math.log(prior / (1 - prior))
-        new[:, 0] = np.clip(new[:, 0], -6, -0.2)
-        new[:, 2] = np.clip(new[:, 2], 0, 0.5)
+        shares = []
+        for rows, right in ((n * p, sure), (n * (1 - p), 1 - sure)):
+            yes, no = rows @ is_for, rows @ against
+            shares.append((yes + strength * right) / (yes + no + strength))
+        new[:, 0] = np.log((1 - shares[0]) / (1 - shares[1]))
+        new[:, 2] = np.log(shares[0] / shares[1])
         z = math.log(prior / (1 - prior)) + new[np.arange(rules), votes + 1].sum(axis=1)
         p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
         done = np.abs(new - weight).max() < 1e-6
