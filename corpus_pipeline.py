@@ -15,28 +15,47 @@ from idloom.llm.tokens import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or less sure of one than calibrated, go."""
-    return identify(docs, F.lit(True)).where("not rejected").select(docs.columns)
+    """Documents without a language, or less sure of one than calibrated, go.
+
+    A null or empty text, or one without letters, has no language. The model learns from the rows of docs that have a
+    lang; without any all documents go. All columns stay, whatever their names; rows that share a doc_id, or have none,
+    are judged one by one; an empty table gives an empty one.
+    """
+    found = identify(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang"), F.lit(True))
+    return found.where("not rejected").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased, null as empty) the document with the largest doc_id stays.
+
+    Of equal rows one stays; a null doc_id is the smallest. All columns stay; an empty table gives an empty one.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 the smallest doc_id stays."""
+    """Of each group linked by five-word shingles at 0.8 the smallest doc_id stays.
+
+    Texts without words, and rows without a doc_id, are linked with nothing and stay. Rows that share a doc_id are one
+    document, which stays or goes as a whole. All columns stay; an empty table gives an empty one.
+    """
     gone = near_groups(docs, shingle=5).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind, and n_chars counts the new text.
+
+    Null and empty texts stay as they are; all rows and columns stay; an empty table gives an empty one.
+    """
     return mask_pii(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences of 1024."""
+    """Token ids of every text (null as empty) in sequences of 1024: one row per piece, as packing.pack gives them.
+
+    Repeated rows and rows without a doc_id are packed like any other; an empty table gives no rows.
+    """
     return pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
@@ -53,6 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir, each written and read again; the pieces of the last one."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = scratch(spark, name)
