@@ -41,6 +41,61 @@ def test_exact_dedup(spark, docs, tmp_path):
     assert exact_dedup.exact_duplicates(spark, str(tmp_path / "none.parquet")).count() == 0
 
 
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    path, state = tmp_path / "documents.parquet", str(tmp_path / "state")
+    write = lambda rows, part: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(f"{path}/{part}")
+    write([(1, "a"), (2, "A"), (3, "b")], "source=x")
+    first = exact_dedup.exact_duplicates(spark, str(path), checkpoint=state)
+    assert {tuple(r)[:4] for r in first.collect()} == {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)}
+    write([(9, "a"), (2, "b"), (5, None), (5, "")], "source=y")  # a repeated id in a file of another folder
+    for checkpoint in (state, None):
+        again = exact_dedup.exact_duplicates(spark, str(path), checkpoint=checkpoint)
+        assert sorted(tuple(r)[:3] for r in again.collect()) == [(1, 9, 3), (2, 3, 2), (2, 9, 3), (3, 3, 2), (5, 5, 2), (5, 5, 2), (9, 9, 3)]
+        assert sorted(r.doc_id for r in again.collect() if r.kept) == [3, 5, 9]
+
+
+def test_columns_of_any_name_stay(spark, docs, rows):
+    names = ["_at", "_file", "_row", "row", "spans", "score", "rejected", "text_key", "_metadata"]
+    wide = docs.select("doc_id", "text", "lang", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    few = {"exact": exact_dedup.drop_exact_duplicates(wide), "pii": pii.mask_pii(wide), "cut": chunk_dedup.cut_spans(wide, chunk_dedup.repeated_spans(wide))}
+    import corpus_pipeline
+
+    few |= {name: stage(spark, wide, "") for name, stage in corpus_pipeline.STAGES[:4]}
+    for name, found in few.items():
+        assert found.columns == wide.columns, name
+        assert {tuple(r)[3:] for r in found.collect()} == {tuple(range(len(names)))}, name
+        assert (few[name].count() == len(rows)) == (name in ("pii", "cut")), name
+
+
+def test_empty_tables(spark, docs):
+    import corpus_pipeline
+
+    none, model = docs.limit(0), tokenizer_path("piece_bpe_32k.model")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    found = [pieces.encode_pieces(none, model), pieces.decode_pieces(pieces.encode_pieces(none, model), model), language.identify(none, F.lit(True)), toxicity.score_toxicity(none, labels, F.lit(True))]
+    spans = chunk_dedup.repeated_spans(none)
+    found += [spans, chunk_dedup.cut_spans(none, spans), pii.mask_pii(none), *(stage(spark, none, "") for _, stage in corpus_pipeline.STAGES)]
+    assert [f.count() for f in found] == [0] * len(found)
+
+
+def test_samples_do_not_end_at_any_size():
+    for n in (10**10, 10**13):
+        assert 0.99 < common.draws(500 / n) / 2**62 * n / 500 < 1.01
+    assert common.draws(2.0) == 2**62
+
+
+def test_training_reads_windows_of_long_texts(spark):
+    df = spark.createDataFrame([("ab" * 30_000,), ("short",), ("",)], "text string")
+    got = [r[0] for r in df.select(common.training_window()).collect()]
+    assert got[1:] == ["short", ""] and len(got[0]) == common.TRAIN_CHARS and set(got[0]) == {"a", "b"}
+
+
+def test_letters_decide_on_a_language(spark):
+    rows = [(i, "the and of that " * 3, "en") for i in range(20)] + [(100, "²½ Ⅷ ① 12", None), (101, "x² the", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True)).collect()}
+    assert (got[100].lang_pred, got[100].score) == ("und", 0) and got[101].lang_pred == "en"
+
+
 def test_near_dedup_equals_brute_force(spark, docs, rows):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
@@ -283,6 +338,49 @@ def test_chunks_catch_every_passage_of_51_words(spark):
     assert all(len(set(np.diff(e[1:-1]).tolist())) == 1 for e in ends)  # text in periods is cut in step with them
 
 
+def test_chunks_end_between_characters(spark):
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) + " " * (rng.random() < 0.2) for _ in range(n))
+    passage = han(400)
+    rows = [(1, han(50) + passage), (2, han(80) + passage + han(20)), (2, passage + han(30)), (3, "é" * 3000), (4, "😀" * 700 + passage), (4, "😀" * 700 + passage)]
+    for text in (t.encode() for _, t in rows):
+        assert all(text[e] & 0xC0 != 0x80 for e in chunk_dedup.boundaries([text])[0] if e < len(text))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = chunk_dedup.repeated_spans(df)
+    cut = Counter((r.doc_id, r.text) for r in chunk_dedup.cut_spans(df, spans).collect())
+    found = {(r.doc_id, r.text_key): r.spans for r in spans.collect()}
+    keys = {(r.doc_id, r.text): r.k for r in df.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    want = Counter()
+    for i, t in rows:
+        raw, out, at = t.encode(), b"", 0
+        for s in found.get((i, keys[i, t]), []):
+            out, at = out + raw[at : s.start], s.end
+        want[i, (out + raw[at:]).decode()] += 1
+    assert cut == want and sum(n for (i, t), n in cut.items() if (i, t) in rows) <= 2  # all but the first, or its own repeats
+
+
+def test_span_classifier_accepts_and_refuses(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = []
+    for i in range(300):
+        made += [f"write a mail to name{i}@site{i}.com or call the phone +44 {digits(4)} {digits(6)} now", f"the host ip address 10.{i % 250}.7.{i % 99} is up"]
+    made += [f"my mail is person{i} [at] site{i} [dot] org today" for i in range(40)] + [f"her phone is 00{i % 9 + 1}{digits(2)} {digits(3)} {digits(4)} today" for i in range(40)]
+    made += [f"the invoice number {digits(4)}-{digits(4)}-{digits(5)} of the order" for i in range(40)]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")).collect()
+    loose = Counter((s.kind, (r.doc_id - 600) // 40) for r in found if r.doc_id >= 600 for s in r.spans if not s.base)
+    assert loose["email", 0] == 40 and loose["phone", 1] == 40 and not any(k == "card" for k, _ in loose)
+    long = "x" * 100 + " [at] site [dot] com"
+    assert list(pii.loose_spans(long, [])) == [("email", 0, len(long))]
+    assert not list(pii.loose_spans("1 2 3 4 5 6 7 8 9 10 11", [("card", 0, 22), *(("ip", i, i + 1) for i in range(1, 9))]))
+
+
+def test_shard_holds_any_ids():
+    ids = [None, -(2**63), -5, 2**63 - 1]
+    shard = token_files.Shard(token_files.shard_bytes(ids, [b"\1\0"] * 4, 2))
+    assert shard.doc_ids() == [shard.doc_id(k) for k in range(4)] == ids
+
+
 def test_quality(docs, rows):
     got = quality.judge(docs).collect()
     for r, (_, text, *_rest) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
@@ -290,6 +388,8 @@ def test_quality(docs, rows):
         tri = Counter(zip(w, w[1:], w[2:], strict=False))
         cover = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        assert (r.n_symbols, r.n_dup_lines) == (sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r.kept and r.base_failed)
     assert weak.fit({}, 3).posterior((-1, -1, -1)) < 0.5 < weak.fit({}, 3).posterior((1, 1, 1))
     assert quality.judge(docs.limit(0)).count() == 0
