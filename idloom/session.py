@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[1])
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    """Let Python workers of this session import this package: by path on one machine, as an added archive on several."""
+    sc = spark.sparkContext
+    root = str(PACKAGE.parent)
+    env = sc.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    if sc.applicationId not in _shipped and not sc.master.startswith("local[") and sc.master != "local":
+        _shipped.add(sc.applicationId)
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{PACKAGE.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                z.write(file, str(file.relative_to(PACKAGE.parent)))
+        sc.addPyFile(str(archive))
