@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from idloom import session
+
+#: What Spark puts into one Arrow batch, unless the session says otherwise: rows may hold texts of any length.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about this much text.
 BLOCK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    """Let Python workers of this session import this package and hand them small Arrow batches."""
+    session.prepare(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, ARROW_BYTES)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,13 +41,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut and no step runs twice."""
+_clearing: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut and no step runs twice.
+
+    Inside clearing() the table goes at the end, unless it is kept.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if _clearing and not keep:
+        _clearing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables, wherever Hadoop finds them."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Tables that saved() writes inside are deleted at the end; what is returned must hang on kept ones only."""
+    paths: list[str] = []
+    _clearing.append(paths)
+    try:
+        yield
+    finally:
+        _clearing.pop()
+        discard(spark, *paths)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm.common import documents, map_batches, prepare, raw_texts, saved, scratch
+from idloom.llm.common import discard, documents, map_batches, prepare, raw_texts, saved, scratch
 
 #: The state store keeps its entries on disk; many small stores do without reserved space and whole snapshots.
 _STORE = "spark.sql.streaming.stateStore"
@@ -85,7 +85,10 @@ def _decisions(spark: SparkSession, path: str, bytes_per_batch: int, checkpoint:
     # A stream takes a folder or a pattern: the path of one file becomes a pattern that only it fits.
     source = f"{path[:-1]}[{path[-1]}]" if single else path
     stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
-    state = stream_state(_located(stream, path), checkpoint or scratch(spark, "exact-dedup"))
+    kept = checkpoint or scratch(spark, "exact-dedup")
+    state = stream_state(_located(stream, path), kept)
+    if not checkpoint:
+        discard(spark, kept)
     rows = map_batches(_located(docs, path), _digests(False), _ROW)
     shape = ["file", "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size")]
     mine = F.struct("doc_id", "file", "row")

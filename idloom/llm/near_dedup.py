@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm.common import _GOLD, _M2, Words, documents, map_batches, mix, prepare, raw_texts, saved
+from idloom.llm.common import _GOLD, _M2, Words, clearing, documents, map_batches, mix, prepare, raw_texts, saved
 from idloom.llm.components import components
 from idloom.llm.superminhash import band_keys, signatures
 
@@ -25,6 +25,8 @@ from idloom.llm.superminhash import band_keys, signatures
 BANDS, ROWS = 42, 6
 #: What one pass over Arrow data reads: a signature takes room for a permutation of its places for each word.
 PROFILE_BYTES = 1 << 19
+#: Ids of the documents whose sets are compared are broadcast up to this many bytes, so that no other text is shuffled.
+BROADCAST_BYTES = 64 << 20
 #: What tells distinct sets apart.
 SET = ["d1", "d2", "n_shingles"]
 #: Rounds in which the members of a bucket are compared with one centre only, before what is left is compared in full.
@@ -187,15 +189,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     a group are never all formed. star_rounds is 1 at least.
     Extra columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
+    with clearing(docs.sparkSession):
+        member, named = _grouped(docs, shingle, percent, bands, rows, max(1, star_rounds))
+    return member.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's node and its set's least doc_id; the least doc_id of each linked node's group."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = saved(map_batches(text, _profile(shingle, bands, rows), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>", PROFILE_BYTES), "profiles")
     real = profile.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy(SET).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     known = classes.select(*SET, "node", "rep")
-    member = saved(profile.drop("bands").join(known, SET, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
+    member = saved(profile.drop("bands").join(known, SET, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members", keep=True)
 
     reps = classes.select("node", F.explode("bands").alias("key"))
     shared = saved(reps.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "shared")
@@ -209,11 +217,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     if not same.isEmpty():
         nodes = _relabel(nodes, same)
     wanted = saved(weight.join(known, "node").select(*SET, "node", "rep"), "wanted")
-    found = map_batches(text.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _set_bytes(shingle), "n_shingles bigint, d1 bigint, d2 bigint, shingles binary", PROFILE_BYTES)
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    if wanted.count() * 16 <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    found = map_batches(text.join(ids, "doc_id", "left_semi"), _set_bytes(shingle), "n_shingles bigint, d1 bigint, d2 bigint, shingles binary", PROFILE_BYTES)
     sets = saved(found.dropDuplicates(SET).join(wanted, SET).select(F.col("node").alias("id"), "shingles"), "sets")
 
     tried: DataFrame | None = None
-    star_rounds = max(1, star_rounds)
     for t in range(star_rounds + 1):
         mixed = buckets.join(nodes, "node")
         open_keys = saved(mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open-keys")
@@ -226,8 +236,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
             nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
             tried = pairs if tried is None else tried.union(pairs)
     top = saved(nodes.join(known.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "components")
-    named = saved(nodes.join(top, "comp").select("node", "component_id"), "named")
-    return member.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return member, saved(nodes.join(top, "comp").select("node", "component_id"), "named", keep=True)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

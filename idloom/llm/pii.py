@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.llm import weak
-from idloom.llm.common import documents, map_batches, prepare, saved
+from idloom.llm.common import clearing, documents, map_batches, prepare, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the span classifier is trained on, at most.
@@ -257,7 +257,8 @@ def mask_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     null text keeps its n_chars); rows that share a doc_id, or have none, are masked like any other; all other columns
     stay, whatever their names; an empty table gives no rows.
     """
-    _, w = _found(docs)
+    with clearing(docs.sparkSession):
+        _, w = _found(docs)
     names, types = docs.columns, dict(docs.dtypes)
     least = float(np.log(accept / (1 - accept)))
 

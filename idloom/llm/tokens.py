@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of segments and their ids in each of a worker's two generations; longer segments than SEGMENT_CHARS are not kept.
-CACHE_BYTES, SEGMENT_CHARS = 48 << 20, 64
+CACHE_BYTES, SEGMENT_CHARS = 40 << 20, 64
 #: Texts are encoded in blocks of about this much.
 TEXT_BYTES = 2 << 20
 _ENTRY = 190  # bytes of a dictionary's entry, a string and a bytes object without their contents
