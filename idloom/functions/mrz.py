@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from idloom.functions.text import WS, text, to_title
 
 # Latin letter groups and the Cyrillic letter each stands for, the first that fits counts.
-LATIN = "SHCH ZHH KHH ZH KH TS TC CH SH IE IU IA JO YO YU YA A B V G D E Z I J K L M N O P R S T U F H C Y".split()
-CYRILLIC = "Щ Ж Х Ж Х Ц Ц Ч Ш Ъ Ю Я Ё Ё Ю Я А Б В Г Д Е З И Й К Л М Н О П Р С Т У Ф Х Ц Ы".split()
+PAIRS = """
+SHCH Щ, ZHH Ж, KHH Х, ZH Ж, KH Х, TS Ц, TC Ц, CH Ч, SH Ш, IE Ъ, IU Ю, IA Я, JO Ё, YO Ё, YU Ю, YA Я,
+A А, B Б, V В, G Г, D Д, E Е, Z З, I И, J Й, K К, L Л, M М, N Н, O О, P П, R Р, S С, T Т, U У, F Ф, H Х, C Ц, Y Ы
+"""
+LATIN, CYRILLIC = zip(*(p.split() for p in PAIRS.split(",")), strict=True)
 
 LINE1, LINE2 = "^P[A-Z<][A-Z]{3}", "^[A-Z0-9]{9}[0-9][A-Z]{3}[0-9]{6}"
 
@@ -40,6 +43,16 @@ def check_digit_ok(c: Column, expected: Column) -> Column:
     return F.coalesce(mrz_check_digit(c) == expected.try_cast("int"), F.lit(False))
 
 
+_VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _field_ok(line: Column, start: int, n: int) -> Column:
+    """check_digit_ok of n characters of a line from `start` and the one behind them, without a loop over characters."""
+    value = lambda i: F.greatest(F.position(F.substring(line, start + i, 1), F.lit(_VALUES)) - 1, F.lit(0))
+    total = sum((value(i) * (7, 3, 1)[i % 3] for i in range(1, n)), value(0) * 7)
+    return F.coalesce(total % 10 == F.substring(line, start + n, 1).try_cast("int"), F.lit(False))
+
+
 def mrz_to_cyrillic(c: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in zip(LATIN, CYRILLIC, strict=True) for x in pair))
     letters = F.regexp_replace(F.upper(c), "[<0-9]", "")
@@ -87,29 +100,53 @@ def is_valid_dob(d: Column, as_of_year: int, min_age: int = 14, max_age: int = 1
     return F.coalesce((F.size(parts) == 3) & (F.lit(as_of_year) - F.get(parts, F.lit(2)).try_cast("int")).between(min_age, max_age), F.lit(False))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: as rows of a one-element array they are copied into no later expression."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _zone(df: DataFrame, text_col: str) -> DataFrame:
+    """df with the lines _1 and _2 of its zone (null without both) and the names _s, _g, _p (null without a double filler)."""
+    lines = F.filter(F.transform(F.split(text(text_col), "\n", -1), normalize_mrz_line), lambda x: F.length(x) >= 40)
+    df = once(df, _z=lines)
+    one, two = (F.rpad(F.get(F.filter("_z", _fits(r)), F.lit(0)), 44, "<") for r in (LINE1, LINE2))
+    df = once(df, _a=one, _b=two).drop("_z")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    df = df.select("*", F.when(both, F.col("_a")).alias("_1"), F.when(both, F.col("_b")).alias("_2")).drop("_a", "_b")
+    field = F.substring("_1", 6, 39)
+    at = F.instr(field, "<<")
+    given = F.filter(F.split(F.substr(field, at + 2), "<", -1), lambda x: x != "")
+    parts = F.concat(F.array(F.replace(F.substring(field, F.lit(1), at - 1), F.lit("<"))), F.slice(given, 1, 2))
+    titles = F.transform(parts, lambda x: to_title(mrz_to_cyrillic(x)))
+    df = once(df, _t=F.when(at > 0, titles))
+    return df.select("*", *(F.when(F.col("_t").isNotNull(), F.coalesce(F.get("_t", F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(("_s", "_g", "_p")))).drop("_t")
+
+
+_WORK = ("_1", "_2", "_s", "_g", "_p")
+
+
 def parse_mrz(df: DataFrame, text_col: str, as_of_year: int, out: str = "mrz") -> DataFrame:
     """df with the struct `out` of the scanner's reading; null fields where the lines are missing."""
-    df = df.withColumn("_l", find_mrz_lines(text_col))
-    l1, l2 = F.col("_l.line1"), F.col("_l.line2")
-    df = df.withColumn("_c", F.struct(*(check_digit_ok(F.substring(l2, a, n), F.substring(l2, a + n, 1)).alias(k) for k, a, n in (("doc", 1, 9), ("dob", 14, 6), ("exp", 22, 6)))))
-    df = df.withColumn("_n", mrz_names(l1)).withColumn("_d", mrz_date(F.substring(l2, 14, 6), "dob", as_of_year))
+    l1, l2 = F.col("_1"), F.col("_2")
+    checks = {k: _field_ok(l2, a, n) for k, a, n in (("_doc", 1, 9), ("_dob", 14, 6), ("_exp", 22, 6))}
+    df = once(_zone(df, text_col), **checks, _d=mrz_date(F.substring(l2, 14, 6), "dob", as_of_year))
     there = l2.isNotNull()
     fields = {
         "documentType": F.lit("international_passport"),
-        "surname": F.col("_n.surname"), "name": F.col("_n.name"), "patronymic": F.col("_n.patronymic"),
-        "dateOfBirth": F.when(F.col("_c.dob") & is_valid_dob(F.col("_d"), as_of_year), F.col("_d")),
-        "gender": mrz_gender(l2), "documentNumber": mrz_document_number(l2, F.col("_c.doc")),
-        "expiryDate": F.when(F.col("_c.exp"), mrz_date(F.substring(l2, 22, 6), "expiry", as_of_year)),
-        "citizenship": mrz_citizenship(l2), "mrzValid": F.col("_c.dob"), "mrzLine1": l1, "mrzLine2": l2,
-        "confidence": mrz_confidence(F.col("_c.doc"), F.col("_c.dob"), F.col("_c.exp")),
+        "surname": F.col("_s"), "name": F.col("_g"), "patronymic": F.col("_p"),
+        "dateOfBirth": F.when(F.col("_dob") & is_valid_dob(F.col("_d"), as_of_year), F.col("_d")),
+        "gender": mrz_gender(l2), "documentNumber": mrz_document_number(l2, F.col("_doc")),
+        "expiryDate": F.when(F.col("_exp"), mrz_date(F.substring(l2, 22, 6), "expiry", as_of_year)),
+        "citizenship": mrz_citizenship(l2), "mrzValid": F.col("_dob"), "mrzLine1": l1, "mrzLine2": l2,
+        "confidence": mrz_confidence(F.col("_doc"), F.col("_dob"), F.col("_exp")),
     }
-    return df.withColumn(out, F.struct(*(F.when(there, v).alias(k) for k, v in fields.items()))).drop("_l", "_c", "_n", "_d")
+    return once(df, **{out: F.struct(*(F.when(there, v).alias(k) for k, v in fields.items()))}).drop(*_WORK, *checks, "_d")
 
 
 def parse_mrz_app(df: DataFrame, text_col: str, as_of_year: int, out: str = "mrz") -> DataFrame:
     """df with the struct `out` of the app's reading: valid, lines, names and date of birth ('' unless valid)."""
-    df = df.withColumn("_l", find_mrz_lines(text_col))
-    l1, l2 = F.col("_l.line1"), F.col("_l.line2")
-    df = df.withColumn("_v", l2.isNotNull() & check_digit_ok(F.substring(l2, 14, 6), F.substring(l2, 20, 1))).withColumn("_n", mrz_names(l1))
-    fields = {**{k: F.coalesce(F.col(f"_n.{k}"), F.lit("")) for k in ("surname", "name", "patronymic")}, "dob": mrz_date(F.substring(l2, 14, 6), "dob", as_of_year, "app")}
-    return df.withColumn(out, F.struct(F.col("_v").alias("valid"), l1.alias("line1"), l2.alias("line2"), *(F.when(F.col("_v"), v).otherwise("").alias(k) for k, v in fields.items()))).drop("_l", "_v", "_n")
+    l1, l2 = F.col("_1"), F.col("_2")
+    df = once(_zone(df, text_col), _v=l2.isNotNull() & _field_ok(l2, 14, 6))
+    names = {k: F.coalesce(F.col(c), F.lit("")) for k, c in (("surname", "_s"), ("name", "_g"), ("patronymic", "_p"))}
+    fields = {**names, "dob": mrz_date(F.substring(l2, 14, 6), "dob", as_of_year, "app")}
+    return once(df, **{out: F.struct(F.col("_v").alias("valid"), l1.alias("line1"), l2.alias("line2"), *(F.when(F.col("_v"), v).otherwise("").alias(k) for k, v in fields.items()))}).drop(*_WORK, "_v")

@@ -24,6 +24,8 @@ MONTHS = ["января", "февраля", "марта", "апреля", "ма
 WEEKDAYS = ["воскресенье", "понедельник", "вторник", "среда", "четверг", "пятница", "суббота"]
 ALPHABET = "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ.-"
 CUSTOM = "__custom__"
+# Scores of a match by distance, beyond those, at a label, and beside a label without a match.
+DIST_SCORES, FAR_SCORE, ANCHOR_BONUS, UNKNOWN_SCORE, NOT_IN_DICTIONARY = (1.0, 0.75, 0.5), 0.25, 0.2, 0.55, 99
 
 
 def text(c: Column | str) -> Column:
@@ -109,11 +111,14 @@ def detect_lang(c: Column) -> Column:
 
 
 def dist_to_score(d: Column) -> Column:
-    return F.when(d == 0, 1.0).when(d == 1, 0.75).when(d == 2, 0.5).otherwise(0.25)
+    score = F.lit(FAR_SCORE)
+    for dist, value in enumerate(DIST_SCORES):
+        score = F.when(d == dist, value).otherwise(score)
+    return score
 
 
 def anchor_score(d: Column) -> Column:
-    return F.when(d == 99, 0.55).otherwise(F.least(F.lit(1.0), dist_to_score(d) + 0.2))
+    return F.when(d == NOT_IN_DICTIONARY, UNKNOWN_SCORE).otherwise(F.least(F.lit(1.0), dist_to_score(d) + ANCHOR_BONUS))
 
 
 def full_name(*parts: Column) -> Column:

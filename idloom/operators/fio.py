@@ -19,7 +19,6 @@ from idloom.functions import text as T
 from idloom.operators.fuzzy import fuzzy_find
 from idloom.session import prepare
 
-NOT_IN_DICTIONARY = 99
 CANDIDATES = 8
 Hit = tuple[str, int]  # entry and distance
 
@@ -56,7 +55,11 @@ def _title(w: str) -> str:
 
 
 def _score(dist: int) -> float:
-    return {0: 1.0, 1: 0.75, 2: 0.5}.get(dist, 0.25)
+    return T.DIST_SCORES[dist] if dist < len(T.DIST_SCORES) else T.FAR_SCORE
+
+
+def _anchor_score(dist: int) -> float:
+    return T.UNKNOWN_SCORE if dist == T.NOT_IN_DICTIONARY else min(1.0, _score(dist) + T.ANCHOR_BONUS)
 
 
 @dataclass
@@ -98,7 +101,7 @@ class Page:
         if known:
             dist, entry, w = min(known, key=lambda x: x[0])
             return entry, dist, w
-        return near[0][1], NOT_IN_DICTIONARY, near[0][1]
+        return near[0][1], T.NOT_IN_DICTIONARY, near[0][1]
 
     def anchor(self, part: str, got: tuple[str, int, str], score: float) -> None:
         self.found[part] = (got[0].upper(), score)
@@ -108,25 +111,25 @@ class Page:
     def read_anchors(self) -> None:
         for i, line in enumerate(self.lines):
             if "surname" not in self.found and "ФАМИЛИ" in line and (got := self.beside(i, "ФАМИЛИ", "s", set())):
-                self.anchor("surname", got, 0.55 if got[1] == NOT_IN_DICTIONARY else min(1.0, _score(got[1]) + 0.2))
+                self.anchor("surname", got, _anchor_score(got[1]))
             if "name" not in self.found and _NAME.search(line) and "ФАМИЛИ" not in line:
                 without = {self.found["surname"][0]} if "surname" in self.found else set()
                 if got := self.beside(i, "ИМЯ", "mf", without):
-                    self.anchor("name", got, 0.55 if got[1] == NOT_IN_DICTIONARY else min(1.0, _score(got[1]) + 0.2))
+                    self.anchor("name", got, _anchor_score(got[1]))
             if "patronymic" not in self.found and "ОТЧЕСТВ" in line:
                 free = [w for _, j in self.around(i, (0, 1, -1, 2, -2)) for w in _words(self.lines[j]) if w not in self.taken()]
                 by_suffix = next((w for w in free if _is_patronymic(w)), None)
                 w = by_suffix or next((w for w in free if len(w) >= 5 and not _LABEL.search(w)), None)
                 if w:
                     h = self.hit(w, "p", most=3)
-                    self.anchor("patronymic", (h[0] if h else w, h[1] if h else NOT_IN_DICTIONARY, w), 0.9 if by_suffix else 0.6)
+                    self.anchor("patronymic", (h[0] if h else w, h[1] if h else T.NOT_IN_DICTIONARY, w), 0.9 if by_suffix else 0.6)
 
-    def scan(self, words: list[str], part: str, kinds: str) -> None:
-        """The nearest dictionary word of the whole text, the first in reading order of equals."""
+    def scan(self, words: list[str], part: str, kinds: str, *others: str) -> None:
+        """The nearest dictionary word of the whole text, the first in reading order of equals, but for the words of `others`."""
         if part in self.found or not self.kinds & set(kinds):
             return
-        taken = self.taken()
-        hits = [h for w in words if w not in taken and (h := self.hit(w, kinds))]
+        without = {self.found[o][0] for o in others if o in self.found}
+        hits = [h for w in words if w not in without and (h := self.hit(w, kinds))]
         if hits:
             entry, dist = min(hits, key=lambda h: h[1])
             self.found[part] = (entry.upper(), _score(dist))
@@ -137,8 +140,8 @@ class Page:
         words = [w for _, w in placed]
         self.candidates = words
         self.scan(words, "surname", "s")
-        self.scan(words, "name", "mf")
-        self.scan(words, "patronymic", "p")
+        self.scan(words, "name", "mf", "surname")
+        self.scan(words, "patronymic", "p", "surname", "name")
         if "patronymic" not in self.found and (w := next((w for w in words if w not in self.taken() and _is_patronymic(w)), None)):
             self.found["patronymic"] = (w, 0.8)
         if "surname" not in self.found and self.strategy == "scan" and 1 <= len(words) <= 8:
@@ -159,34 +162,42 @@ class Page:
             self.found.setdefault("name", (rest[1][0], 0.35))
 
 
-_SCHEMA = "scan_id bigint, surname string, name string, patronymic string, confidence int, strategy string, candidates array<string>"
+_ANCHORS = "anchors array<struct<part:string,word:string,dist:int,raw_word:string>>"
+_SCHEMA = f"scan_id bigint, surname string, name string, patronymic string, confidence int, strategy string, cleaned string, candidates array<string>, {_ANCHORS}"
 
 
 def _fold(kinds: frozenset[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for scan, lines, matches in zip(*(batch.column(c).to_pylist() for c in ("scan_id", "lines", "matches")), strict=True):
+            for scan, clean, lines, matches in zip(*(batch.column(c).to_pylist() for c in ("scan_id", "clean", "lines", "matches")), strict=True):
                 page = Page(lines, {(m["w"], m["kind"]): (m["match"], m["dist"]) for m in matches or []}, kinds)
                 page.read()
                 get = lambda p, page=page: page.found.get(p, ("", 0.0))
                 parts = [get(p) for p in ("surname", "name", "patronymic")]
-                rows.append([scan, *(_title(w) for w, _ in parts), math.floor(100 * sum(s for _, s in parts) / 3 + 0.5), page.strategy, page.candidates])
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
-            names = ["scan_id", "surname", "name", "patronymic", "confidence", "strategy", "candidates"]
+                rows.append([scan, *(_title(w) for w, _ in parts), math.floor(100 * sum(s for _, s in parts) / 3 + 0.5), page.strategy, clean, page.candidates, [{"part": k, "word": w, "dist": d, "raw_word": raw} for k, (w, d, raw) in sorted(page.anchors.items())]])
+            anchor = pa.struct([("part", pa.string()), ("word", pa.string()), ("dist", pa.int32()), ("raw_word", pa.string())])
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(anchor)]
+            names = ["scan_id", "surname", "name", "patronymic", "confidence", "strategy", "cleaned", "candidates", "anchors"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
 
 
 def extract_fio(scans: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """scan_id, surname, name, patronymic, confidence, strategy, candidates of scans(scan_id, full_text)."""
+    """Names of scans(scan_id, full_text): scan_id, surname, name, patronymic, confidence, strategy, cleaned, candidates, anchors.
+
+    cleaned is the text as searched, candidates its words outside label lines, anchors what stood at labels. Latin
+    pages have neither.
+    """
     prepare(scans.sparkSession)
     cleaned = scans.select("scan_id", T.clean_ocr_text(F.col("full_text")).alias("clean"))
-    read = cleaned.select("scan_id", T.split_lines(F.col("clean")).alias("lines"), T.detect_lang(F.col("clean")).alias("lang"))
-    latin = read.where("lang = 'latin'").select("scan_id", extract_fio_latin(F.col("lines")).alias("r"))
-    latin = latin.select("scan_id", "r.surname", "r.name", "r.patronymic", F.col("r.confidence").cast("int").alias("confidence"), F.lit("latin").alias("strategy"), F.array().cast("array<string>").alias("candidates"))
-    cyrillic = read.where("lang = 'cyrillic'").select("scan_id", "lines")
+    # A column of its own that no optimiser rule copies into its users: the clean text is computed once a row.
+    cleaned = cleaned.select("scan_id", F.explode(F.array("clean")).alias("clean"))
+    read = cleaned.select("scan_id", "clean", T.split_lines(F.col("clean")).alias("lines"), T.detect_lang(F.col("clean")).alias("lang"))
+    latin = read.where("lang = 'latin'").select("scan_id", "clean", extract_fio_latin(F.col("lines")).alias("r"))
+    latin = latin.select("scan_id", "r.surname", "r.name", "r.patronymic", F.col("r.confidence").cast("int").alias("confidence"), F.lit("latin").alias("strategy"), F.col("clean").alias("cleaned"), F.array().cast("array<string>").alias("candidates"), F.array().cast(_ANCHORS.partition(" ")[2]).alias("anchors"))
+    cyrillic = read.where("lang = 'cyrillic'").select("scan_id", "clean", "lines")
     words = cyrillic.select("scan_id", F.explode(F.array_distinct(F.flatten(F.transform("lines", T.cyr_words)))).alias("w"))
     near = fuzzy_find(words, dictionary, max_dist=3)
     matches = words.join(near, "w").groupBy("scan_id").agg(F.collect_list(F.struct("w", "kind", "match", "dist")).alias("matches"))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries up to which the length-blocked join is used; larger dictionaries are joined by segments.
-SMALL_DICTIONARY = 20_000
-
 
 def _part(c: Column, i: Column, k: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of k + 1 nearly equal ones of an entry of length(c)."""
@@ -17,17 +14,16 @@ def _part(c: Column, i: Column, k: int) -> tuple[Column, Column]:
     return (i * short + F.greatest(i - long_from, F.lit(0)) + 1).cast("int"), (short + F.when(i >= long_from, 1).otherwise(0)).cast("int")
 
 
-def fuzzy_find(words: DataFrame, dictionary: DataFrame, max_dist: int = 2, segments: bool | None = None) -> DataFrame:
+def fuzzy_find(words: DataFrame, dictionary: DataFrame, max_dist: int = 2, segments: bool = True) -> DataFrame:
     """The nearest dictionary entry of each distinct word: w, kind, match, dist, ord.
 
     words(w); dictionary(kind, ord, entry). Entries farther than max_dist do not count; of equally near ones the
     first in dictionary order wins. By segments: an entry within distance k shares, unchanged, one of its k + 1
-    segments with the word, shifted by at most k. Words and entries too short for that stay blocked by length.
+    segments with the word, shifted by at most k. Words and entries too short for that stay blocked by length,
+    as all do without segments, which is a check on them for small dictionaries.
     """
     w = words.select("w").where("w is not null and w <> ''").distinct()
     d = dictionary.select("kind", "ord", "entry").where("entry is not null and entry <> ''")
-    if segments is None:
-        segments = d.limit(SMALL_DICTIONARY + 1).count() > SMALL_DICTIONARY
     k = max_dist
     sized = w.withColumn("n", F.explode(F.sequence(F.greatest(F.length("w") - k, F.lit(1)), F.length("w") + k)))
     if segments:

@@ -63,3 +63,7 @@ def apply_person_patches(persons: DataFrame, patches: DataFrame, fields: tuple[s
 
 def staff_list(staff: DataFrame) -> DataFrame:
     return staff.select("sid", first_set(full_name(*(F.col(p) for p in PARTS)), F.lit("—")).alias("full_name"), first_set(F.col("phone")).alias("phone"))
+
+
+def staff_count(staff: DataFrame) -> DataFrame:
+    return staff.agg(F.count("*").alias("staff"))

@@ -69,7 +69,16 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '2024-0' || cas
 FROM customer
 """
 
-_NAMES = {"MRZ": MRZ, "SCANS": SCANS, "DICTIONARY": DICTIONARY, "WORDS": WORDS, "FRAMES": FRAMES, "PERSONS": PERSONS}
+#: Camera ticks: every third event measures glare, the others read a zone, one in five of them somebody else's.
+SCAN_FRAMES = f"""
+WITH zones AS ({MRZ})
+SELECT user_id AS session_id, ts, event_id AS frame_id,
+       CASE WHEN event_id % 3 = 0 THEN CASE WHEN value > 50 THEN 'glare_strong' ELSE 'ok' END END AS feedback,
+       CASE WHEN event_id % 3 <> 0 THEN mrz_text END AS mrz_text
+FROM events LEFT JOIN zones ON scan_id = CASE WHEN event_id % 5 = 4 THEN user_id + 1 ELSE user_id END
+"""
+
+_NAMES = {"MRZ": MRZ, "SCANS": SCANS, "DICTIONARY": DICTIONARY, "WORDS": WORDS, "FRAMES": FRAMES, "SCAN_FRAMES": SCAN_FRAMES, "PERSONS": PERSONS}
 _TABLES = ("customer", "part", "events", "embeddings")
 
 

@@ -104,7 +104,7 @@ SELECT w, kind, entry AS match, dist, ord FROM r WHERE n = 1
 """
 
 _DET = """
-WITH e AS (SELECT vec_id % 20 AS image_id, vec_id AS anchor_idx, 320 + 400 * embedding[1]::double AS cx, 320 + 400 * embedding[2]::double AS cy,
+WITH e AS (SELECT vec_id // 50 AS image_id, vec_id AS anchor_idx, 320 + 400 * embedding[1]::double AS cx, 320 + 400 * embedding[2]::double AS cy,
   60 + 100 * embedding[3]::double AS bw, 60 + 100 * embedding[4]::double AS bh, list_transform(embedding[5:26], lambda x: x::double) AS scores FROM embeddings),
 s AS (SELECT *, list_max(scores) AS score, list_position(scores, list_max(scores)) - 1 AS cls FROM e),
 best AS (SELECT image_id, anchor_idx, cls, score, cx - bw / 2 AS x1, cy - bh / 2 AS y1, cx + bw / 2 AS x2, cy + bh / 2 AS y2,
@@ -114,7 +114,7 @@ _BOXES = (
     _DET
     + """
 top AS (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY score DESC, anchor_idx) AS n FROM best),
-dims AS (SELECT i AS image_id, 800 + 37 * i AS w, 600 + 91 * i AS h FROM range(20) t(i)),
+dims AS (SELECT DISTINCT image_id, 800 + 37 * (image_id % 20) AS w, 600 + 91 * (image_id % 20) AS h FROM e),
 sc AS (SELECT *, least(640 / w, 640 / h) AS r FROM dims),
 lb AS (SELECT *, (640 - floor(w * r + 0.5)) / 2 AS dw, (640 - floor(h * r + 0.5)) / 2 AS dh FROM sc),
 boxes AS (SELECT t.image_id, field, cast(greatest(0, floor((x1 - dw) / r + 0.5)) AS bigint) AS x1, cast(greatest(0, floor((y1 - dh) / r + 0.5)) AS bigint) AS y1,
@@ -206,4 +206,22 @@ s AS (SELECT *, list_filter(h, lambda x: len(list_filter(h, lambda y: y = x)) >=
 s AS (SELECT *, coalesce(last_value(fb IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, mine ROWS UNBOUNDED PRECEDING), 'ok') AS feedback FROM a)
 SELECT session_id, frame_id, feedback FROM s WHERE mine = 1 AND feedback <> 'glare_strong'""",
     "frame_samples": f"WITH {_F} SELECT session_id, frame_id FROM fr QUALIFY row_number() OVER (PARTITION BY session_id, date_trunc('hour', ts) ORDER BY ts DESC, frame_id DESC) = 1",
+    "stable_frames": f"""WITH RECURSIVE {_F}, o AS (SELECT session_id, frame_id, k, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n FROM fr),
+r AS (SELECT DISTINCT session_id, 0::bigint AS n, []::varchar[] AS h, NULL::bigint AS frame_id, NULL::varchar AS stable_key FROM o
+  UNION ALL
+  SELECT session_id, n, CASE WHEN found IS NULL THEN seen ELSE [] END, frame_id, found
+  FROM (SELECT *, list_filter(seen, lambda x: len(list_filter(seen, lambda y: y = x)) >= 2)[1] AS found
+        FROM (SELECT o.session_id, o.n, o.frame_id, list_append(r.h, o.k)[-4:] AS seen FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)))
+SELECT session_id, frame_id, stable_key FROM r WHERE stable_key IS NOT NULL""",
 }
+
+ORACLE_SQL["staff_count"] = f"SELECT count(*) AS staff FROM ({ORACLE_SQL['staff']})"
+_DASH = lambda c: f"coalesce(nullif({c}, ''), '—')"
+ORACLE_SQL["diagnostic"] = f"""
+WITH z AS ({ORACLE_SQL["parse_mrz_app"]}), m AS ({X.MRZ}), s AS ({X.SCANS})
+SELECT scan_id, concat_ws(chr(10), 'strategy: mrz', {", ".join(f"'{k}: ' || {_DASH(k)}" for k in ("surname", "name", "patronymic", "dob"))},
+  'confidence: ' || CASE WHEN valid THEN '100' ELSE '0' END || '%', 'mrz: ' || CASE WHEN valid THEN 'found' ELSE 'not found' END,
+  'candidates: ' || coalesce(nullif(array_to_string(list_filter([surname, name], lambda x: x <> ''), ', '), ''), '(none)'),
+  'mrz text: ' || coalesce(nullif(trim(mrz_text), ''), '(empty)'), 'text: ' || coalesce(nullif(substr(trim(coalesce(full_text, '')), 1, 1000), ''), '(empty)')) AS report
+FROM z JOIN m USING (scan_id) LEFT JOIN s USING (scan_id)
+"""

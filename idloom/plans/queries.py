@@ -78,7 +78,8 @@ def q_fuzzy_find_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def q_fio(spark: SparkSession, d: str) -> DataFrame:
     found = fio.extract_fio(_scans(spark, d), X.table(spark, d, "DICTIONARY"))
-    return found.withColumn("candidates", F.array_join("candidates", " "))
+    shown = F.transform("anchors", lambda a: F.concat_ws(":", a["part"], a["word"], a["dist"].cast("string"), a["raw_word"]))
+    return found.withColumn("candidates", F.array_join("candidates", " ")).withColumn("anchors", F.array_join(shown, " "))
 
 
 def q_fio_latin(spark: SparkSession, d: str) -> DataFrame:
@@ -105,28 +106,33 @@ def q_merge_results(spark: SparkSession, d: str) -> DataFrame:
     return doc.select("scan_id", *(F.col(f"doc.{c}").alias(c) for c in ("documentType", "surname", "name", "patronymic", "dateOfBirth", "gender", "issuedDate", "mrzValid", "confidence")))
 
 
+#: Anchors of an image made of vectors: images grow in number with the table, not in size.
+ANCHORS = 50
+
+
 def _detections(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     at = lambda i: F.col("embedding")[i].cast("double")
     scores = F.transform(F.slice("embedding", 5, 22), lambda x: x.cast("double"))
-    return e.select((F.col("vec_id") % 20).alias("image_id"), F.col("vec_id").cast("int").alias("anchor_idx"), (320 + 400 * at(0)).alias("cx"), (320 + 400 * at(1)).alias("cy"), (60 + 100 * at(2)).alias("bw"), (60 + 100 * at(3)).alias("bh"), scores.alias("scores"))
+    return e.select(F.floor(F.col("vec_id") / ANCHORS).alias("image_id"), F.col("vec_id").cast("int").alias("anchor_idx"), (320 + 400 * at(0)).alias("cx"), (320 + 400 * at(1)).alias("cy"), (60 + 100 * at(2)).alias("bw"), (60 + 100 * at(3)).alias("bh"), scores.alias("scores"))
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
     return D.best_class(_detections(spark, d), least=0.2)
 
 
-def _dims(spark: SparkSession) -> DataFrame:
-    return spark.range(20).select(F.col("id").alias("image_id"), (800 + 37 * F.col("id")).cast("int").alias("w"), (600 + 91 * F.col("id")).cast("int").alias("h"))
+def _dims(spark: SparkSession, d: str) -> DataFrame:
+    ids = _detections(spark, d).select("image_id").distinct()
+    return ids.select("image_id", (800 + 37 * (F.col("image_id") % 20)).cast("int").alias("w"), (600 + 91 * (F.col("image_id") % 20)).cast("int").alias("h"))
 
 
 def q_best_boxes(spark: SparkSession, d: str) -> DataFrame:
-    boxes = D.unscale(D.best_box(_best(spark, d)), _dims(spark))
+    boxes = D.unscale(D.best_box(_best(spark, d)), _dims(spark, d))
     return boxes.withColumn("conf", F.round("conf", 6))
 
 
 def q_boxes_by_field(spark: SparkSession, d: str) -> DataFrame:
-    wide = D.fields_of_images(D.unscale(D.best_box(_best(spark, d)), _dims(spark)))
+    wide = D.fields_of_images(D.unscale(D.best_box(_best(spark, d)), _dims(spark, d)))
     return wide.select("image_id", *(F.col(f"{f}.{c}").alias(f"{f}_{c}") for f in D.FIELDS.values() for c in ("x1", "y2")))
 
 
@@ -212,6 +218,25 @@ def q_staff(spark: SparkSession, d: str) -> DataFrame:
     return roster.staff_list(roster.dismiss(staff, staff.where("sid % 7 = 3")))
 
 
+def q_staff_count(spark: SparkSession, d: str) -> DataFrame:
+    return roster.staff_count(q_staff(spark, d))
+
+
+def q_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    """The report on each scan whose zone was searched."""
+    zones = M.parse_mrz_app(X.table(spark, d, "MRZ"), "mrz_text", YEAR).join(_scans(spark, d), "scan_id", "left")
+    z = F.col("mrz")
+    names = {k: z[k] for k in ("surname", "name", "patronymic", "dob")}
+    candidates = F.filter(F.array(z["surname"], z["name"]), lambda x: x != "")
+    report = merge.diagnostic_text(F.lit("mrz"), names, F.when(z["valid"], 100).otherwise(0), z["valid"], candidates, F.col("mrz_text"), T.text("full_text"))
+    return zones.select("scan_id", report.alias("report"))
+
+
+def q_scan_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback ticks and frames of all sessions, sampled, gated, read, merged and voted on."""
+    return W.scan_frames(X.table(spark, d, "SCAN_FRAMES"), YEAR)
+
+
 def q_patches(spark: SparkSession, d: str) -> DataFrame:
     p = X.table(spark, d, "PERSONS")
     patches = X.table(spark, d, "FRAMES").select(F.col("session_id").alias("id"), F.col("frame_id").alias("seq"), F.when(F.col("frame_id") % 2 == 0, "surname").otherwise("specialty").alias("field"), F.col("k").alias("value"))
@@ -234,6 +259,7 @@ def q_stable_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event is a feedback tick; the others are frames (q_frame_gate)."""
     f = X.table(spark, d, "FRAMES").where("frame_id % 3 = 0")
     return f.select("session_id", "ts", F.when(F.col("value") > 50, "glare_strong").otherwise("ok").alias("feedback"))
 

@@ -109,8 +109,88 @@ def sample_frames(frames: DataFrame, tick: str = OCR_TICK) -> DataFrame:
     return last.select("session_id", F.col("w.start").alias("tick"), F.col("f.ts").alias("ts"), F.col("f.frame_id").alias("frame_id"))
 
 
-def stream_scan(frames: DataFrame, as_of_year: int, required: int = 2, late: str = "1 minute") -> DataFrame:
-    """A stream of frames(session_id, ts, frame_id, feedback, mrz_text) to frames with a stable document key."""
-    clear = frames.withWatermark("ts", late).where(F.coalesce("feedback", F.lit("ok")) != "glare_strong")
-    read = parse_mrz(clear, "mrz_text", as_of_year).where("mrz.mrzLine1 is not null").withColumn("key", document_key(merged(F.col("mrz"), None)))
-    return stable_stream(read, required, late=None)
+#: What a session remembers between frames: the latest feedback, the frame sampled in the running tick, the vote's history.
+_SESSION = "feedback string, tick bigint, frame_id bigint, key string, gate string, history array<string>"
+_FRESH = ("ok", None, None, None, None, [])
+
+
+def _ticks(rows: Iterable[tuple], state: tuple, required: int, tick_ms: int, ended: bool) -> tuple[list[tuple], tuple]:
+    """Votes on one session's rows (milliseconds, frame_id, feedback, key) in time order, and what it remembers.
+
+    A row with feedback sets it. Of the frames in a tick the last one is read, when the tick is over, unless the
+    feedback at its time was strong glare. Frames without a document (key null) are no votes.
+    """
+    feedback, tick, frame, key, gate, history = state
+    out: list[tuple] = []
+
+    def close() -> None:
+        nonlocal frame, history
+        if frame is not None and gate != "glare_strong" and key is not None:
+            found, history = _fold([(frame, key)], list(history), required)
+            out.extend(found)
+        frame = None
+
+    for at, frame_id, told, own in rows:
+        if tick is not None and at // tick_ms != tick:
+            close()
+        tick = at // tick_ms
+        if told is not None:
+            feedback = told
+        else:
+            frame, key, gate = frame_id, own, feedback
+    if ended:
+        close()
+    return out, (feedback, tick, frame, key, gate, history)
+
+
+def _rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Feedback comes before frames of the same time."""
+    pdf = pdf.assign(frames=pdf["feedback"].isna()).sort_values(["ts", "frames", "frame_id"], kind="stable")
+    blank = lambda c: pdf[c].astype(object).where(pdf[c].notna(), None)
+    return zip(pdf["ts"].astype("datetime64[ms]").astype("int64"), pdf["frame_id"], blank("feedback"), blank("key"), strict=True)
+
+
+def _keyed(frames: DataFrame, as_of_year: int) -> DataFrame:
+    """Zones read and merged; a struct column `visual`, if there, is the other side of the merge."""
+    read = parse_mrz(frames, "mrz_text", as_of_year)
+    doc = merged(F.col("mrz"), F.col("visual") if "visual" in frames.columns else None)
+    return read.select("session_id", "ts", "frame_id", "feedback", F.when(F.col("mrz.mrzLine1").isNotNull(), document_key(doc)).alias("key"))
+
+
+_VOTES = "session_id bigint, frame_id bigint, stable_key string"
+
+
+def scan_frames(frames: DataFrame, as_of_year: int, required: int = 2, tick: str = OCR_TICK) -> DataFrame:
+    """Stable documents of frames(session_id, ts, frame_id, feedback, mrz_text[, visual]): rows with feedback are glare ticks,
+    the others frames. One shuffle by session."""
+    prepare(frames.sparkSession)
+    millis = int(pd.Timedelta(tick).total_seconds() * 1000)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = _ticks(_rows(pdf), _FRESH, required, millis, ended=True)
+        return pd.DataFrame([(pdf["session_id"].iloc[0], f, k) for f, k in out], columns=["session_id", "frame_id", "stable_key"])
+
+    return _keyed(frames, as_of_year).groupBy("session_id").applyInPandas(run, _VOTES)
+
+
+def stream_scan(frames: DataFrame, as_of_year: int, required: int = 2, tick: str = OCR_TICK, late: str = "1 minute", ttl: str = "10 minutes") -> DataFrame:
+    """scan_frames of a stream. Rows later than `late` are dropped; a session without rows for ttl gives its last frame's
+    vote and is forgotten."""
+    prepare(frames.sparkSession)
+    millis, rest = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (tick, ttl))
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = tuple(state.get) if state.exists else _FRESH
+        if state.hasTimedOut:
+            out, _ = _ticks([], kept, required, millis, ended=True)
+            state.remove()
+        else:
+            pdf = pd.concat(list(parts))
+            out, kept = _ticks(_rows(pdf), kept, required, millis, ended=False)
+            state.update(kept)
+            last = int(pdf["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + rest)
+        yield pd.DataFrame([(key[0], f, k) for f, k in out], columns=["session_id", "frame_id", "stable_key"])
+
+    keyed = _keyed(frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), as_of_year)
+    return keyed.groupBy("session_id").applyInPandasWithState(run, _VOTES, _SESSION, "append", GroupStateTimeout.EventTimeTimeout)

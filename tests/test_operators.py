@@ -18,6 +18,7 @@ SF = "/root/testdata/sf0.001"
         ("ФАМИЛИЯ\nИВАН0В\nИМЯ\nПЕТР\nОТЧЕСТВО\nСИДОРОВИЧ", [("s", 0, "ИВАНОВ"), ("m", 0, "ПЕТР")], ("Иванов", "Петр", "Сидорович", 97, "anchor")),
         ("ПЕТРОВ\nИВАН\nСЕРГЕЕВИЧ", [], ("Петров", "Иван", "Сергеевич", 52, "positional")),
         ("KARIMOV\nJASUR\nBAHODIR OGLI", [], ("Karimov", "Jasur", "Ogli", 100, "latin")),
+        ("ОТЧЕСТВО\nПЕТРОВИЧ\nXX", [("s", 0, "ПЕТРОВИЧ")], ("Петрович", "", "Петрович", 63, "anchor")),
         ("", [], ("", "", "", 0, "scan")),
         (None, [], ("", "", "", 0, "scan")),
     ],
@@ -104,6 +105,88 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("stable").collect()} == {tuple(r) for r in batch.collect()}
 
 
+T0 = 1_700_000_000_000
+PAIR = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
+
+
+def _camera(spark, rows):
+    schema = "session_id bigint, ms bigint, frame_id bigint, feedback string, mrz_text string"
+    df = spark.createDataFrame([(1, T0 + t, i, f, z) for i, (t, f, z) in enumerate(rows)], schema)
+    return df.select("session_id", F.timestamp_millis("ms").alias("ts"), "frame_id", "feedback", "mrz_text")
+
+
+def test_scan_samples_gates_and_votes(spark):
+    start = -T0 % 900  # the first tick's beginning
+    rows = [(start, None, PAIR), (start + 800, None, "no zone"), (start + 900, None, PAIR), (start + 1000, "glare_strong", None), (start + 1900, None, PAIR), (start + 2600, "ok", None), (start + 2800, None, PAIR), (start + 3700, None, PAIR)]
+    # Tick 0 reads its last frame, which has no zone; tick 2 is gated; ticks 1 and 3 make the document stable; tick 4 begins anew.
+    got = stability.scan_frames(_camera(spark, rows), 2026).collect()
+    assert [(r.frame_id, r.stable_key) for r in got] == [(6, "Ерикссон|Анна|12.08.1974")]
+
+
+def test_stream_scan_equals_batch_and_drops_late_rows(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(450 * i, rng.choice(["ok", "glare_strong"]), None) if i % 4 == 0 else (450 * i, None, PAIR if rng.random() < 0.8 else "") for i in range(400)]
+    frames, path = _camera(spark, rows), str(tmp_path / "in")
+    for part in range(4):  # later files are later in time
+        frames.where(f"frame_id div 100 = {part}").coalesce(1).write.mode("append").parquet(path)
+    late = frames.where("frame_id < 40").withColumn("frame_id", F.col("frame_id") + 1000)
+    far = frames.where("frame_id = 399").withColumn("ts", F.col("ts") + F.expr("interval 1 hour")).withColumn("session_id", F.lit(2).cast("long"))
+    for more in (late, far, far.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))):
+        more.coalesce(1).write.mode("append").parquet(path)
+    stream = io.read_frames_stream(spark, path, files_per_batch=1)
+    query = stability.stream_scan(stream, 2026).writeStream.format("memory").queryName("scanned").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {tuple(r) for r in spark.table("scanned").where("session_id = 1").collect()}
+    assert got == {tuple(r) for r in stability.scan_frames(frames, 2026).collect()} and len(got) > 20
+
+
+def test_sources_and_sinks_round_trip(spark, tmp_path):
+    scans = spark.createDataFrame([(1, "a", None), (2, None, "z")], "scan_id bigint, full_text string, mrz_text string")
+    scans.write.parquet(str(tmp_path / "scans"))
+    scans.write.json(str(tmp_path / "json"))
+    for fmt, name in (("parquet", "scans"), ("json", "json")):
+        assert sorted(tuple(r) for r in io.read_scans(spark, str(tmp_path / name), fmt).collect()) == [(1, "a", ""), (2, "", "z")]
+    (tmp_path / "page.txt").write_text("line\nline", encoding="utf-8")
+    assert [tuple(r)[1:] for r in io.read_scans(spark, str(tmp_path / "page.txt"), "text").collect()] == [("line\nline", "")]
+    table = spark.createDataFrame([("05.03.2024", 1), ("", 1)], "arrival_date string, no int")
+    io.write_roster(table, str(tmp_path / "roster"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "roster")).select("arrival", "no").collect()} == {("05.03.2024", 1), ("undated", 1)}
+    (tmp_path / "image.ppm").write_bytes(b"P6\n2 1\n255\n" + bytes([255, 0, 0, 10, 20, 30]))
+    content = io.read_images(spark, str(tmp_path / "image.ppm"), "binaryFile").first().content
+    assert images.decoded(bytes(content)).tolist() == [[[255, 0, 0], [10, 20, 30]]]
+
+
+def test_suppression_equals_brute_force(spark):
+    from idloom.plans import queries
+
+    found = queries._best(spark, SF).collect()
+    kept = set()
+    for image, cls in {(r.image_id, r.cls) for r in found}:
+        left = sorted((r for r in found if (r.image_id, r.cls) == (image, cls)), key=lambda r: (-r.score, r.anchor_idx))
+        while left:
+            a, *left = left
+            kept.add((a.image_id, a.anchor_idx, a.cls))
+
+            def over(b, a=a):
+                w, h = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
+                both = max(0, w) * max(0, h)
+                union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - both
+                return both / union if union > 0 else 0
+
+            left = [b for b in left if over(b) < detections.OVERLAP]
+    got = detections.nms(queries._best(spark, SF)).collect()
+    assert len({(r.image_id, r.anchor_idx, r.field) for r in got}) == len(kept)
+    names = {f: c for c, f in detections.FIELDS.items()}
+    assert {(r.image_id, r.anchor_idx, names[r.field]) for r in got} == kept
+
+
+def test_mrz_plan_reads_lines_once(spark):
+    from idloom.plans import queries
+
+    plan = queries.q_parse_mrz(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 5 and plan.count("rpad(l") <= 4
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"s": ["А", "Б"], "m": [], "f": ["В"]}', encoding="utf-8")
     assert sorted(tuple(r) for r in io.read_fio_dict(spark, str(tmp_path / "d.json")).collect()) == [("f", 0, "В"), ("s", 0, "А"), ("s", 1, "Б")]
