@@ -19,6 +19,8 @@ from idloom import session
 #: What Spark puts into one Arrow batch, unless the session says otherwise: rows may hold texts of any length.
 ARROW_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: While an operator writes its scratch tables, Spark deletes the shuffle files of each query as it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about this much text.
 BLOCK_BYTES = 1 << 20
 
@@ -65,13 +67,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
-    """Tables that saved() writes inside are deleted at the end; what is returned must hang on kept ones only."""
+    """Tables that saved() writes inside are deleted at the end; what is returned must hang on kept ones only.
+
+    Shuffle files go as soon as the query that made them has ended, so disk follows the largest step and not their sum.
+    """
     paths: list[str] = []
     _clearing.append(paths)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
     try:
         yield
     finally:
         _clearing.pop()
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
         discard(spark, *paths)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm.common import discard, documents, map_batches, prepare, raw_texts, saved, scratch
+from idloom.llm.common import clearing, discard, documents, map_batches, prepare, raw_texts, saved, scratch
 
 #: The state store keeps its entries on disk; many small stores do without reserved space and whole snapshots.
 _STORE = "spark.sql.streaming.stateStore"
@@ -123,14 +123,29 @@ def exact_duplicates(spark: SparkSession, path: str, bytes_per_batch: int = BATC
     return _decisions(spark, path, bytes_per_batch, checkpoint).drop("file", "row")
 
 
+def _source(docs: DataFrame) -> str | None:
+    """The path of the Parquet table that docs is, if it is one as read, without partition columns or any further step."""
+    plan = docs._jdf.queryExecution().analyzed()
+    relation = plan.relation() if plan.getClass().getSimpleName() == "LogicalRelation" else None
+    if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    roots, format_name = relation.location().rootPaths(), relation.fileFormat().getClass().getSimpleName()
+    plain = roots.size() == 1 and format_name == "ParquetFileFormat" and relation.partitionSchema().isEmpty()
+    path = roots.head().toString() if plain else ""
+    return path if path and not set(path) & set("*?[]{}") else None
+
+
 def drop_exact_duplicates(docs: DataFrame, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
     """docs without the rows whose text another row keeps (see exact_duplicates); all columns stay as they are, whatever
-    their names."""
+    their names. A Parquet table as read is located where it lies; anything else is written to the shared folder first."""
     spark = docs.sparkSession
-    path = scratch(spark, "docs")
-    docs.write.parquet(path)
-    gone = saved(_decisions(spark, path, bytes_per_batch, None).where("not kept").select("file", "row"), "gone")
-    again = spark.read.schema(docs.schema).parquet(path)
+    with clearing(spark):
+        path = _source(docs)
+        if path is None:
+            path = scratch(spark, "docs")
+            docs.write.option("compression", "zstd").parquet(path)
+        again = spark.read.schema(docs.schema).parquet(path)
+        gone = saved(_decisions(spark, path, bytes_per_batch, None).where("not kept").select("file", "row"), "gone", keep=True)
     file, row = _locator(again, path)
     every = again.select(F.struct("*").alias("all"), file.alias("file"), row.alias("row"))
     return every.join(gone, ["file", "row"], "left_anti").select("all.*")

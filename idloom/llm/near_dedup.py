@@ -239,6 +239,19 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     return member, saved(nodes.join(top, "comp").select("node", "component_id"), "named", keep=True)
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows of a group whose doc_id is not the group's least (see near_groups).
+
+    Rows that share a doc_id stay or go as a whole; rows without one, or without words, stay. All columns stay; an empty
+    table gives an empty one. The ids that go are written, and broadcast if they are few, so that no text is shuffled then.
+    """
+    gone = near_groups(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = saved(gone, "gone", keep=True)
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), shingle=2).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
