@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from idloom.llm.common import documents, scratch
 from idloom.llm.exact_dedup import drop_exact_duplicates
 from idloom.llm.language import identify
-from idloom.llm.near_dedup import near_groups
+from idloom.llm.near_dedup import drop_near_duplicates
 from idloom.llm.packing import pack
 from idloom.llm.pii import mask_pii
 from idloom.llm.tokens import tokenizer_path
@@ -39,8 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words, and rows without a doc_id, are linked with nothing and stay. Rows that share a doc_id are one
     document, which stays or goes as a whole. All columns stay; an empty table gives an empty one.
     """
-    gone = near_groups(docs, shingle=5).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return drop_near_duplicates(docs, shingle=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
