@@ -225,3 +225,79 @@ SELECT scan_id, concat_ws(chr(10), 'strategy: mrz', {", ".join(f"'{k}: ' || {_DA
   'mrz text: ' || coalesce(nullif(trim(mrz_text), ''), '(empty)'), 'text: ' || coalesce(nullif(substr(trim(coalesce(full_text, '')), 1, 1000), ''), '(empty)')) AS report
 FROM z JOIN m USING (scan_id) LEFT JOIN s USING (scan_id)
 """
+
+# Fields of pages: each line beside its neighbours; of the lines at labels, the first that gives a value.
+_WHOLE = "[А-ЯЁ\\-]"
+
+
+def _set(*xs: str) -> str:
+    return f"coalesce({', '.join(f'''nullif({x}, '')''' for x in xs)}, '')"
+
+
+def _seen_words(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '[А-ЯЁа-яё\\-]{{2,}}'), lambda w: upper(w))"
+
+
+def _seen_label(x: str) -> str:
+    return f"regexp_matches(upper({x}), '{'|'.join('ПОЛ([^А-ЯЁ]|$)' if v == 'ПОЛ' else v for v in T.VISUAL_LABELS)}')"
+
+
+def _behind(x: str, label: str) -> str:
+    return _after(label).replace("full_text", x)
+
+
+def _lone(x: str) -> str:
+    return f"CASE WHEN {_seen_label(x)} THEN '' WHEN regexp_matches(upper({x}), '^{_WHOLE}{{3,}}$') THEN upper({x}) WHEN len({_seen_words(x)}) = 1 THEN {_seen_words(x)}[1] ELSE '' END"
+
+
+def _above(x: str) -> str:
+    return f"CASE WHEN regexp_matches(upper({x}), '^{_WHOLE}{{4,}}$') AND NOT {_seen_label(x)} THEN upper({x}) ELSE '' END"
+
+
+def _valid_in(x: str) -> str:
+    return _valid(_DATES.replace("full_text", x), 100)
+
+
+_FIELDS = {
+    "nw": (f"{_any('u', ['ИМЯ'], {'ИМЯ'})} AND NOT contains(u, 'ФАМИЛИ')", f"array_to_string({_seen_words(_set(_behind('s', 'ИМЯ'), 'near'))}, ' ')"),
+    "pt": ("contains(u, 'ОТЧЕСТВ')", _set(f"{_seen_words(_behind('s', 'ОТЧЕСТВ'))}[1]", *(_lone(x) for x in ("p1", "n1", "p2", "n2")))),
+    "sn": ("contains(u, 'ФАМИЛИ') OR regexp_matches(u, '^PNRU[S<]')", _set(_behind("s", "ФАМИЛИ"), _above("p1"), _above("p2"))),
+    "alone": (f"regexp_matches(u, '^{_WHOLE}{{4,25}}$') AND NOT {_seen_label('s')}", "s"),
+    "dob": ("regexp_matches(u, 'ДАТА.{0,6}РОЖ|РОЖ.{0,6}ДАТА|РОЖДЕН')", _valid_in("two")),
+    "best": ("true", _valid_in("s")),
+    "num": ("regexp_matches(u, 'СЕРИЯ|НОМЕР')", "regexp_replace(regexp_extract(two, '\\d{2}\\s*\\d{2}\\s*\\d{6}'), '\\s', '', 'g')"),
+    "sex": (_any("u", ["ПОЛ"], {"ПОЛ"}), "CASE WHEN contains(u, 'МУЖ') THEN 'М' WHEN contains(u, 'ЖЕН') THEN 'Ж' ELSE '' END"),
+    "issued": ("regexp_matches(u, 'ДАТА.{0,6}ВЫД|ВЫДАН')", f"coalesce({_DATES.replace('full_text', 'two')}[1], '')"),
+}
+_VISUAL = f"""
+WITH t AS (SELECT scan_id, {_lines('full_text')} AS ls FROM ({X.SCANS})),
+l AS (SELECT scan_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM t),
+b AS (SELECT *, upper(s) AS u, lag(s, 1, '') OVER o AS p1, lag(s, 2, '') OVER o AS p2, lead(s, 1, '') OVER o AS n1, lead(s, 2, '') OVER o AS n2 FROM l WINDOW o AS (PARTITION BY scan_id ORDER BY i)),
+c AS (SELECT *, s || ' ' || n1 AS two, array_to_string(list_filter([p2, p1, n1, n2], lambda x: x <> ''), ' ') AS near FROM b),
+v AS (SELECT scan_id, i, {", ".join(f"CASE WHEN {at} THEN {value} ELSE '' END AS {k}" for k, (at, value) in _FIELDS.items())} FROM c),
+f AS (SELECT scan_id, {", ".join(f"arg_min({k}, i) FILTER ({k} <> '') AS {k}" for k in _FIELDS)} FROM v GROUP BY 1)
+SELECT scan_id, 'passport_rf' AS "documentType", {_title(_set("sn", "alone"))} AS surname, {_title("split_part(coalesce(nw, ''), ' ', 1)")} AS name,
+  {_title(_set("split_part(coalesce(nw, ''), ' ', 2)", "pt"))} AS patronymic, {_set("dob", "best")} AS "dateOfBirth", coalesce(sex, '') AS gender, coalesce(num, '') AS "documentNumber", coalesce(issued, '') AS "issuedDate"
+FROM t LEFT JOIN f USING (scan_id)
+"""
+ORACLE_SQL["visual_passport"] = _VISUAL
+ORACLE_SQL["merge_results"] = f"""
+WITH m AS ({ORACLE_SQL["parse_mrz"]}), s AS ({_VISUAL})
+SELECT scan_id, CASE WHEN m."mrzValid" IS NOT NULL THEN 'international_passport' ELSE coalesce(s."documentType", 'unknown') END AS "documentType",
+  {", ".join(f'{_set(f"m.{c}", f"s.{c}")} AS {c}' for c in ("surname", "name", '"dateOfBirth"', "gender"))}, {_set("s.patronymic", "m.patronymic")} AS patronymic,
+  {_set('s."issuedDate"')} AS "issuedDate", coalesce(m."mrzValid", false) AS "mrzValid", coalesce(m.confidence, 0) AS confidence
+FROM m FULL JOIN s USING (scan_id)
+"""
+_LATIN_LABEL = "(?i)" + "|".join(T.LATIN_LABELS)
+_LATIN_LAST = f"(w IN ({', '.join(f'''{v!r}''' for v in T.LATIN_PATRONYMIC_WORDS)}) OR (length(w) >= 5 AND regexp_matches(w, '({'|'.join(T.LATIN_PATRONYMIC_ENDS)})$')))"
+ORACLE_SQL["fio_latin"] = f"""
+WITH t AS (SELECT scan_id, {_lines(_CLEAN)} AS ls FROM ({X.SCANS}) WHERE {_lang("full_text")} = 'latin'),
+w AS (SELECT scan_id, list_filter(list_transform(list_filter(ls, lambda x: NOT regexp_matches(x, '{_LATIN_LABEL}')),
+  lambda x: list_filter(regexp_extract_all(x, '[A-Z\\-]{{3,}}'), lambda w: length(w) <= 30 AND NOT regexp_matches(w, '{_LATIN_LABEL}'))), lambda ws: len(ws) > 0) AS ws FROM t),
+p AS (SELECT scan_id, ws, coalesce(list_position(list_transform(ws, lambda y: len(list_filter(y, lambda w: {_LATIN_LAST})) > 0), true), 0) AS aside, coalesce(list_filter(flatten(ws), lambda w: {_LATIN_LAST})[1], '') AS pt FROM w),
+r AS (SELECT *, list_filter(ws, lambda y, i: i <> aside) AS rest FROM p),
+n AS (SELECT scan_id, coalesce(rest[1][1], '') AS sn, coalesce(rest[2][1], rest[1][2], '') AS nm, pt FROM r)
+SELECT scan_id, {_title("sn")} AS surname, {_title("nm")} AS name, {_title("pt")} AS patronymic,
+  CASE WHEN length(sn) > 2 THEN 40 ELSE 0 END + CASE WHEN length(nm) > 2 THEN 35 ELSE 0 END + CASE WHEN length(pt) > 2 THEN 25 ELSE 0 END AS confidence
+FROM n
+"""
