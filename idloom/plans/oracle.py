@@ -301,3 +301,16 @@ SELECT scan_id, {_title("sn")} AS surname, {_title("nm")} AS name, {_title("pt")
   CASE WHEN length(sn) > 2 THEN 40 ELSE 0 END + CASE WHEN length(nm) > 2 THEN 35 ELSE 0 END + CASE WHEN length(pt) > 2 THEN 25 ELSE 0 END AS confidence
 FROM n
 """
+
+# Suppression: boxes of an image and class from the best down; one stays unless a box that stayed before covers it.
+_COVER = _INTER.replace("a.", "k.b."), _UNION.replace("a.", "k.b.")
+ORACLE_SQL["nms"] = f"""
+{_DET.rstrip().rstrip(",").replace("WITH e", "WITH RECURSIVE e", 1)},
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY score DESC, anchor_idx) AS n FROM best),
+r AS (SELECT DISTINCT image_id, cls, 0::bigint AS n, []::STRUCT(b STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE))[] AS kept, false AS stays, NULL::varchar AS field, NULL::bigint AS anchor_idx, NULL::double AS score FROM o
+  UNION ALL
+  SELECT image_id, cls, n, CASE WHEN stays THEN list_append(kept, {{'b': {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}}}) ELSE kept END, stays, field, anchor_idx, score
+  FROM (SELECT b.*, r.kept, len(list_filter(r.kept, lambda k: CASE WHEN {_COVER[1]} > 0 THEN {_COVER[0]} / {_COVER[1]} ELSE 0 END >= 0.2)) = 0 AS stays
+        FROM r JOIN o b ON b.image_id = r.image_id AND b.cls = r.cls AND b.n = r.n + 1))
+SELECT image_id, field, anchor_idx, round(score, 6) AS score FROM r WHERE stays
+"""
