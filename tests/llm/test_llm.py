@@ -393,3 +393,35 @@ def test_quality(docs, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r.kept and r.base_failed)
     assert weak.fit({}, 3).posterior((-1, -1, -1)) < 0.5 < weak.fit({}, 3).posterior((1, 1, 1))
     assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_locates_only_tables_as_read(spark, tmp_path):
+    """A table as read is not copied; what is filtered, limited in its columns or partitioned is judged as it stands."""
+    from idloom.llm.exact_dedup import _source, drop_exact_duplicates
+
+    rows = [(1, "Same", "a"), (2, "same", "a"), (3, "SAME", "b"), (4, None, "a"), (5, "", "b"), (6, "other", "b")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, part string")
+    plain, parted = str(tmp_path / "plain"), str(tmp_path / "parted")
+    made.repartition(3).write.parquet(plain)
+    made.write.partitionBy("part").parquet(parted)
+    read = spark.read.parquet(plain)
+    kept = lambda df: sorted(r.doc_id for r in drop_exact_duplicates(df).collect())
+    assert _source(read) and kept(read) == [3, 5, 6]
+    for df in (read.where("doc_id < 3 or doc_id = 4"), read.select("text", "doc_id"), read.withColumn("text", F.lit("x")), spark.read.parquet(parted), made):
+        assert _source(df) is None
+    assert kept(read.where("doc_id < 3 or doc_id = 4")) == [2, 4]
+    assert kept(spark.read.parquet(parted)) == kept(made) == [3, 5, 6]
+    assert kept(read.withColumn("text", F.lit("x"))) == [6]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") in ("false", False)
+
+
+def test_drop_near_duplicates_keeps_the_least_id(spark):
+    from idloom.llm.near_dedup import drop_near_duplicates
+
+    base = [f"word{i}" for i in range(60)]
+    rows = [(7, " ".join(base), 0), (3, " ".join([*base[:-1], "end"]), 1), (9, "quite another text that shares nothing at all", 2), (None, " ".join(base), 3), (5, None, 4), (3, " ".join(base), 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.component_id for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
