@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +46,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_clearing: list[list[str]] = []
+#: The tables to delete when the innermost clearing() of this thread ends.
+_clearing: ContextVar[list[str] | None] = ContextVar("clearing", default=None)
+#: How many clearing() blocks a session is in, over all threads, and what it had for _TIDY before them.
+_tidying: Counter[str] = Counter()
+_tidy_before: dict[str, str | None] = {}
+_tidy_lock = threading.Lock()
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read back: its lineage is cut and no step runs twice.
 
     Inside clearing() the table goes at the end, unless it is kept.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    if _clearing and not keep:
-        _clearing[-1].append(path)
+    df.write.option("compression", compression).parquet(path)
+    paths = _clearing.get()
+    if paths is not None and not keep:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,19 +76,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
-    """Tables that saved() writes inside are deleted at the end; what is returned must hang on kept ones only.
+    """Tables that saved() writes inside, in this thread, are deleted at the end; what is returned must hang on kept ones only.
 
     Shuffle files go as soon as the query that made them has ended, so disk follows the largest step and not their sum.
     """
     paths: list[str] = []
-    _clearing.append(paths)
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+    token, key = _clearing.set(paths), spark._jsparkSession.sessionUUID()
+    with _tidy_lock:
+        if not _tidying[key]:
+            _tidy_before[key] = spark.conf.get(_TIDY, None)
+            spark.conf.set(_TIDY, "true")
+        _tidying[key] += 1
     try:
         yield
     finally:
-        _clearing.pop()
-        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+        _clearing.reset(token)
+        with _tidy_lock:
+            _tidying[key] -= 1
+            if not _tidying[key]:
+                before = _tidy_before.pop(key)
+                spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
         discard(spark, *paths)
 
 
