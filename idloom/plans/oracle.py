@@ -206,14 +206,26 @@ s AS (SELECT *, list_filter(h, lambda x: len(list_filter(h, lambda y: y = x)) >=
 s AS (SELECT *, coalesce(last_value(fb IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, mine ROWS UNBOUNDED PRECEDING), 'ok') AS feedback FROM a)
 SELECT session_id, frame_id, feedback FROM s WHERE mine = 1 AND feedback <> 'glare_strong'""",
     "frame_samples": f"WITH {_F} SELECT session_id, frame_id FROM fr QUALIFY row_number() OVER (PARTITION BY session_id, date_trunc('hour', ts) ORDER BY ts DESC, frame_id DESC) = 1",
-    "stable_frames": f"""WITH RECURSIVE {_F}, o AS (SELECT session_id, frame_id, k, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n FROM fr),
+}
+
+# The vote over o(session_id, frame_id, k, n), frame by frame.
+_VOTE = """
 r AS (SELECT DISTINCT session_id, 0::bigint AS n, []::varchar[] AS h, NULL::bigint AS frame_id, NULL::varchar AS stable_key FROM o
   UNION ALL
   SELECT session_id, n, CASE WHEN found IS NULL THEN seen ELSE [] END, frame_id, found
   FROM (SELECT *, list_filter(seen, lambda x: len(list_filter(seen, lambda y: y = x)) >= 2)[1] AS found
         FROM (SELECT o.session_id, o.n, o.frame_id, list_append(r.h, o.k)[-4:] AS seen FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)))
-SELECT session_id, frame_id, stable_key FROM r WHERE stable_key IS NOT NULL""",
-}
+SELECT session_id, frame_id, stable_key FROM r WHERE stable_key IS NOT NULL"""
+ORACLE_SQL["stable_frames"] = f"WITH RECURSIVE {_F}, o AS (SELECT session_id, frame_id, k, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n FROM fr), {_VOTE}"
+ORACLE_SQL["scan_frames"] = f"""
+WITH RECURSIVE z AS ({ORACLE_SQL["parse_mrz"]}),
+f AS (SELECT user_id AS session_id, ts, event_id AS frame_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN value > 50 THEN 'glare_strong' ELSE 'ok' END END AS feedback,
+  CASE WHEN event_id % 5 = 4 THEN user_id + 1 ELSE user_id END AS scan_id FROM events),
+shots AS (SELECT * FROM f WHERE feedback IS NULL QUALIFY row_number() OVER (PARTITION BY session_id, epoch_us(ts) // 900000 ORDER BY ts DESC, frame_id DESC) = 1),
+b AS (SELECT *, 1 AS shot FROM shots UNION ALL SELECT *, 0 FROM f WHERE feedback IS NOT NULL),
+g AS (SELECT *, coalesce(last_value(feedback IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, shot, frame_id ROWS UNBOUNDED PRECEDING), 'ok') AS told FROM b),
+o AS (SELECT session_id, frame_id, coalesce(surname, '') || '|' || coalesce(name, '') || '|' || coalesce("dateOfBirth", '') AS k, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n
+  FROM g JOIN z USING (scan_id) WHERE shot = 1 AND told <> 'glare_strong' AND confidence IS NOT NULL), {_VOTE}"""
 
 ORACLE_SQL["staff_count"] = f"SELECT count(*) AS staff FROM ({ORACLE_SQL['staff']})"
 _DASH = lambda c: f"coalesce(nullif({c}, ''), '—')"

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -27,3 +27,19 @@ def prepare(spark: SparkSession) -> None:
             for file in sorted(PACKAGE.rglob("*.py")):
                 z.write(file, str(file.relative_to(PACKAGE.parent)))
         sc.addPyFile(str(archive))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that the cluster names in spark.checkpoint.dir, and read from there by all that follows.
+
+    Spark deletes the files when the table is no longer in use (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="spark-")  # a single machine, as in tests
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -59,5 +59,5 @@ def write_roster(roster: DataFrame, path: str, fmt: str = "parquet") -> None:
     dated.write.partitionBy("arrival").mode("overwrite").format(fmt).save(path)
 
 
-def read_frames_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_frames_stream(spark: SparkSession, path: str, files_per_batch: int = 100, schema: str = FRAMES) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

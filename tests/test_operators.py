@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from idloom.operators import detections, fio, fuzzy, images, roster
 from idloom.sources import io
-from idloom.streaming import stability
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,60 +85,6 @@ def test_roster_has_two_rows(spark):
     assert roster.build_roster(one.limit(0)).count() == 0
 
 
-def test_votes(spark):
-    frames = spark.createDataFrame([(1, i, k) for i, k in enumerate("ABAB")], "s bigint, i bigint, k string")
-    got = {r.i: r.stable_key for r in stability.stability_vote(frames, "s", ["i"], "k").collect()}
-    assert got == {0: None, 1: None, 2: "A", 3: "A"}
-    assert [(r.frame_id, r.stable_key) for r in stability.stable_frames(frames, "s", ["i"], "i", "k").collect()] == [(2, "A")]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from idloom.plans import fixtures
-
-    frames = fixtures.table(spark, SF, "FRAMES").withColumnRenamed("k", "key").repartition(1).sortWithinPartitions("ts")
-    frames.write.option("maxRecordsPerFile", 400).parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
-    q = stability.stable_stream(stream).writeStream.format("memory").queryName("stable").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    batch = stability.stable_frames(frames, "session_id", ["ts", "frame_id"], "frame_id", "key")
-    assert {tuple(r) for r in spark.table("stable").collect()} == {tuple(r) for r in batch.collect()}
-
-
-T0 = 1_700_000_000_000
-PAIR = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
-
-
-def _camera(spark, rows):
-    schema = "session_id bigint, ms bigint, frame_id bigint, feedback string, mrz_text string"
-    df = spark.createDataFrame([(1, T0 + t, i, f, z) for i, (t, f, z) in enumerate(rows)], schema)
-    return df.select("session_id", F.timestamp_millis("ms").alias("ts"), "frame_id", "feedback", "mrz_text")
-
-
-def test_scan_samples_gates_and_votes(spark):
-    start = -T0 % 900  # the first tick's beginning
-    rows = [(start, None, PAIR), (start + 800, None, "no zone"), (start + 900, None, PAIR), (start + 1000, "glare_strong", None), (start + 1900, None, PAIR), (start + 2600, "ok", None), (start + 2800, None, PAIR), (start + 3700, None, PAIR)]
-    # Tick 0 reads its last frame, which has no zone; tick 2 is gated; ticks 1 and 3 make the document stable; tick 4 begins anew.
-    got = stability.scan_frames(_camera(spark, rows), 2026).collect()
-    assert [(r.frame_id, r.stable_key) for r in got] == [(6, "Ерикссон|Анна|12.08.1974")]
-
-
-def test_stream_scan_equals_batch_and_drops_late_rows(spark, tmp_path):
-    rng = random.Random(5)
-    rows = [(450 * i, rng.choice(["ok", "glare_strong"]), None) if i % 4 == 0 else (450 * i, None, PAIR if rng.random() < 0.8 else "") for i in range(400)]
-    frames, path = _camera(spark, rows), str(tmp_path / "in")
-    for part in range(4):  # later files are later in time
-        frames.where(f"frame_id div 100 = {part}").coalesce(1).write.mode("append").parquet(path)
-    late = frames.where("frame_id < 40").withColumn("frame_id", F.col("frame_id") + 1000)
-    far = frames.where("frame_id = 399").withColumn("ts", F.col("ts") + F.expr("interval 1 hour")).withColumn("session_id", F.lit(2).cast("long"))
-    for more in (late, far, far.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))):
-        more.coalesce(1).write.mode("append").parquet(path)
-    stream = io.read_frames_stream(spark, path, files_per_batch=1)
-    query = stability.stream_scan(stream, 2026).writeStream.format("memory").queryName("scanned").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {tuple(r) for r in spark.table("scanned").where("session_id = 1").collect()}
-    assert got == {tuple(r) for r in stability.scan_frames(frames, 2026).collect()} and len(got) > 20
-
-
 def test_sources_and_sinks_round_trip(spark, tmp_path):
     scans = spark.createDataFrame([(1, "a", None), (2, None, "z")], "scan_id bigint, full_text string, mrz_text string")
     scans.write.parquet(str(tmp_path / "scans"))
