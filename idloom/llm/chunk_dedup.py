@@ -219,6 +219,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that another one has too: see repeated_spans."""
     return repeated_spans(documents(spark, sf_dir))
 
 

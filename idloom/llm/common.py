@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -35,15 +36,20 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, ARROW_BYTES)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir."""
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-")  # a single machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: The tables to delete when the innermost clearing() of this thread ends.
@@ -74,6 +80,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the scratch tables that df reads, once its rows are written elsewhere: it cannot be read any more."""
+    bare = lambda p: re.sub("^[a-z]+:/*", "/", p)
+    table = re.compile(rf"{re.escape(bare(_shared_folder(df.sparkSession)))}/[a-z_-]+-[0-9a-f]{{32}}(?=/)")
+    discard(df.sparkSession, *sorted({m[0] for f in df.inputFiles() if (m := table.match(bare(f)))}))
+
+
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
     """Tables that saved() writes inside, in this thread, are deleted at the end; what is returned must hang on kept ones only.
@@ -160,7 +173,7 @@ def binary_column(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def blocks(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     sizes = np.ones(batch.num_rows, np.int64)
-    for c in batch.columns:
+    for c in [x for c in batch.columns for x in (c.flatten() if pa.types.is_struct(c.type) else [c])]:
         if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
             sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes) // most

@@ -77,6 +77,17 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _outdated(rows: DataFrame, state: DataFrame) -> bool:
+    """Whether the state counts rows that are not there any more: files have gone or were changed."""
+    weight = F.xxhash64("digest").cast("decimal(38,0)")
+    there = rows.agg(F.count("*").alias("n"), F.sum(weight).alias("sum")).first()
+    counted = state.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.sum(weight * F.col("copies")).alias("sum"), F.count("*").alias("keepers")).first()
+    if (there["n"], there["sum"]) != (counted["n"], counted["sum"]):
+        return True
+    keepers = rows.join(state.select("digest", "keep"), "digest").where(F.col("keep").eqNullSafe(F.struct("doc_id", "file", "row")))
+    return keepers.count() != counted["keepers"]
+
+
 def _decisions(spark: SparkSession, path: str, bytes_per_batch: int, checkpoint: str | None) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(path)
@@ -90,6 +101,8 @@ def _decisions(spark: SparkSession, path: str, bytes_per_batch: int, checkpoint:
     if not checkpoint:
         discard(spark, kept)
     rows = map_batches(_located(docs, path), _digests(False), _ROW)
+    if checkpoint and _outdated(rows, state):
+        state = saved(rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies")), "state")
     shape = ["file", "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size")]
     mine = F.struct("doc_id", "file", "row")
     shape += [F.col("keep").eqNullSafe(mine).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
@@ -118,7 +131,9 @@ def exact_duplicates(spark: SparkSession, path: str, bytes_per_batch: int = BATC
     null doc_id is the smallest). Null and empty texts are equal. Texts of one digest that differ in their
     bytes are separated again. Extra columns are ignored; an empty table gives no rows. bytes_per_batch is
     what one micro-batch reads. checkpoint keeps the state: a later call for the same path and checkpoint reads
-    only files that are new there into the state and decides on all rows.
+    only files that are new there into the state and decides on all rows. Rows of files that have gone, or were changed, since
+    do not count: if the state holds any, the rows that are there are grouped anew, in this call and later ones, until a new
+    checkpoint is begun.
     """
     return _decisions(spark, path, bytes_per_batch, checkpoint).drop("file", "row")
 
@@ -137,7 +152,7 @@ def _source(docs: DataFrame) -> str | None:
 
 def drop_exact_duplicates(docs: DataFrame, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
     """docs without the rows whose text another row keeps (see exact_duplicates); all columns stay as they are, whatever
-    their names. A Parquet table as read is located where it lies; anything else is written to the shared folder first."""
+    their names. Null and empty texts are equal, of equal rows the last one stays, and an empty table gives no rows. A Parquet table as read is located where it lies; anything else is written to the shared folder first."""
     spark = docs.sparkSession
     with clearing(spark):
         path = _source(docs)
@@ -152,6 +167,7 @@ def drop_exact_duplicates(docs: DataFrame, bytes_per_batch: int = BATCH_BYTES) -
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of equal texts stays, for every document: see exact_duplicates."""
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +24,8 @@ BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: Labelled rows of each language that training reads, at most (in expectation; never above twice as many).
 ROWS_PER_LANGUAGE = 500
+#: Languages that are learned, the most frequent ones: a column of dirty names has no bound.
+MOST_LANGUAGES = 256
 #: Scores at which a calibration row is rightly named with less than this probability are rejected.
 LEAST_RIGHT = 0.5
 #: Bytes of text that one numpy pass over n-grams sees.
@@ -139,7 +142,7 @@ def train(texts: list[bytes], labels: list[str], dim: int = 16, epochs: int = 8,
 def training_rows(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
     """A bounded sample of labelled rows: text (a window of long ones) and lang, the same rows for the same table."""
     named = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # one row per language
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     picked = F.lit(False)
     for lang, n in counts.items():
         picked = F.when(F.col("lang") == lang, drawn(rows_per_language / n, F.col("doc_id").cast("string"), F.lit("language"))).otherwise(picked)
@@ -148,6 +151,15 @@ def training_rows(docs: DataFrame, usable: Column, rows_per_language: int = ROWS
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 
+def _named(texts: list[str | None], m: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each text."""
+    real = [bool(t and m) and any(map(str.isalpha, t)) for t in texts]
+    best, score = m.predict([(t or "").encode() for t in texts]) if m else (np.zeros(len(texts), int), np.zeros(len(texts)))
+    lang = [m.languages[b] if ok else "und" for b, ok in zip(best, real, strict=True)]
+    score = np.where(real, score, 0.0)
+    return lang, score, np.array([not ok for ok in real], bool) | (score < (m.least if m else 0))
+
+
 def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """docs with lang_pred, score (probability, 0 to 1) and rejected.
 
@@ -164,13 +176,7 @@ def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_
     box = spark.sparkContext.broadcast(model)  # 65,537 rows of one number per language
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        m = box.value
-        real = [bool(t and m) and any(map(str.isalpha, t)) for t in texts]
-        best, score = m.predict([(t or "").encode() for t in texts]) if m else (np.zeros(len(texts), int), np.zeros(len(texts)))
-        lang = [m.languages[b] if ok else "und" for b, ok in zip(best, real, strict=True)]
-        score = np.where(real, score, 0.0)
-        rejected = np.array([not ok for ok in real]) | (score < (m.least if m else 0))
+        lang, score, rejected = _named(batch.column("text").to_pylist(), box.value)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
     source = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in kept))
@@ -178,7 +184,24 @@ def identify(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_
     return map_batches(source, fn, schema)
 
 
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs that identify, trained on those of them that have a lang, does not reject: all columns, whatever their names."""
+    spark = docs.sparkSession
+    prepare(spark)
+    texts, labels = training_rows(docs.select("doc_id", "text", "lang"), F.lit(True))
+    box = spark.sparkContext.broadcast(train(texts, labels) if labels else None)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.column(0)
+        _, _, rejected = _named(pc.struct_field(row, "text").cast(pa.string()).to_pylist(), box.value)
+        return pa.RecordBatch.from_arrays([row.filter(pa.array(~rejected))], names=["row"])
+
+    whole = docs.select(F.struct("*").alias("row"))  # a text goes to Python once
+    return map_batches(whole, fn, whole.schema).select("row.*")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows whose id's remainder is not 2: see identify. A null doc_id has a null held_out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     found = identify(docs, id_bucket() != 2)
     return found.select("doc_id", (id_bucket() == 2).alias("held_out"), "lang_pred", "score", "rejected")

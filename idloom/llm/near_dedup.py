@@ -253,6 +253,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document by shingles of two words: see near_groups. Rows without a doc_id are kept."""
     return near_groups(documents(spark, sf_dir), shingle=2).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

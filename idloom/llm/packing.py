@@ -162,6 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> Data
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids: see pack."""
     packed = pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 

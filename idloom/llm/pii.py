@@ -23,7 +23,7 @@ from idloom.llm import weak
 from idloom.llm.common import clearing, documents, map_batches, prepare, saved
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the span classifier is trained on, at most.
+#: Candidates with different features that the span classifier is trained on, at most.
 TRAIN_CANDIDATES = 20_000
 #: Probability from which a candidate that is no base span is accepted.
 ACCEPT = 0.8
@@ -188,13 +188,13 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPAN_TYPE)], names=["doc_id", "found"])
 
 
-def train(features: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.5) -> np.ndarray:
-    """Weights (bias last) of a logistic classifier on soft targets, by gradient descent with a small penalty."""
+def train(features: np.ndarray, target: np.ndarray, count: np.ndarray, rounds: int = 300, rate: float = 0.5) -> np.ndarray:
+    """Weights (bias last) of a logistic classifier on soft targets, rows of which occur so often, by gradient descent with a small penalty."""
     x = np.hstack([features, np.ones((len(features), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= rate * (x.T @ (p - target) / len(x) + 1e-3 * w)
+        w -= rate * (x.T @ (count * (p - target)) / count.sum() + 1e-3 * w)
     if not len(x):
         w[-1] = -10.0
     return w
@@ -206,9 +206,11 @@ def _fit(every: DataFrame) -> np.ndarray:
     for r in every.groupBy("kind", "votes").count().collect():  # at most 3 ** labelers for each kind
         patterns[r["kind"]][tuple(r["votes"])] = r["count"]
     models = {k: weak.fit(v, len(LABELERS), start_prior=0.5, belief=BELIEFS) for k, v in patterns.items()}
-    sample = every.select("kind", "votes", "features", F.xxhash64("features", "start", "end").alias("o")).orderBy("o").limit(TRAIN_CANDIDATES).collect()
+    # Equal candidates, as of a line in many documents, are one row of the sample and count as often as they occur.
+    different = every.groupBy("kind", "votes", "features").count()
+    sample = different.orderBy(F.xxhash64("kind", "features"), "kind", "features").limit(TRAIN_CANDIDATES).collect()
     x = np.array([r["features"] for r in sample]).reshape(len(sample), FEATURES)
-    return train(x, np.array([models[r["kind"]].posterior(r["votes"]) for r in sample]))
+    return train(x, np.array([models[r["kind"]].posterior(r["votes"]) for r in sample]), np.array([r["count"] for r in sample], float))
 
 
 def _found(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -290,6 +292,7 @@ def _ordered(spans):
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, the base ones counted and hashed: see find_pii."""
     found = find_pii(documents(spark, sf_dir))
     base = F.filter("spans", lambda c: c["base"])
     counts = [F.size(_of(base, k)).cast("long").alias(f"n_{k}") for k in KINDS]

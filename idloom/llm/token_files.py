@@ -138,6 +138,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back from them: see write_token_files and read_token_files."""
     path = scratch(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -188,6 +188,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, threshold
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of rows whose id's remainder is not 2: see score_toxicity. A null doc_id has a null held_out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = score_toxicity(documents(spark, sf_dir), labels, id_bucket() != 2)
     return found.select("doc_id", (id_bucket() == 2).alias("held_out"), "score", "predicted")

@@ -1,7 +1,10 @@
 """Corpus operators: brute force, round trips, edge rows (nulls, empty and long texts, ties, clashing columns)."""
 
+import os
 import random
 import re
+import shutil
+import threading
 from collections import Counter
 
 import numpy as np
@@ -425,3 +428,65 @@ def test_drop_near_duplicates_keeps_the_least_id(spark):
     assert out.columns == docs.columns
     assert sorted(r.component_id for r in out.collect()) == [1, 2, 3, 4, 5]
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_does_not_count_files_that_have_gone(spark, tmp_path):
+    path, state = tmp_path / "documents.parquet", str(tmp_path / "state")
+    write = lambda rows, part: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}")
+    decided = lambda: sorted(tuple(r)[:4] for r in exact_dedup.exact_duplicates(spark, str(path), checkpoint=state).collect())
+    write([(1, "a"), (4, "b")], "part=x")
+    write([(2, "a")], "part=y")
+    assert decided() == [(1, 2, 2, False), (2, 2, 2, True), (4, 4, 1, True)]
+    shutil.rmtree(path / "part=y")
+    assert decided() == [(1, 1, 1, True), (4, 4, 1, True)]
+    write([(3, "b")], "part=z")  # as many rows as have gone
+    assert decided() == [(1, 1, 1, True), (3, 4, 2, False), (4, 4, 2, True)]
+
+
+def test_span_sample_is_of_different_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_CANDIDATES", 300)
+    seen = []
+    plain = pii.train
+    monkeypatch.setattr(pii, "train", lambda x, y, n: seen.append((x, n)) or plain(x, y, n))
+    row = lambda i: ("card", [1, 1, 0, 1, 1], [float(i)] * pii.FEATURES)
+    pii._fit(spark.createDataFrame([row(0)] * 600 + [row(i) for i in range(1, 201)], "kind string, votes array<int>, features array<double>"))
+    x, n = seen[0]
+    assert len(x) == len(np.unique(x, axis=0)) == 201 and n.max() == 600 and n.sum() == 800
+
+
+def test_release_deletes_what_a_table_reads(spark):
+    df = common.saved(spark.range(5), "some-rows").join(common.saved(spark.range(3), "others"), "id")
+    files = [f.removeprefix("file:").replace("//", "/") for f in df.inputFiles()]
+    assert all(os.path.exists(f) for f in files)
+    common.release(df)
+    assert not any(os.path.exists(f) for f in files)
+    common.release(spark.range(1))
+
+
+def test_clearing_in_two_threads(spark):
+    """One operator's end leaves another's tables, and the session's setting, alone."""
+    first_saved, second_done, out = threading.Event(), threading.Event(), {}
+    before = spark.conf.get(common._TIDY, None)
+
+    def slow():
+        with common.clearing(spark):
+            kept = common.saved(spark.range(7), "slow")
+            first_saved.set()
+            second_done.wait(60)
+            out["rows"], out["tidy"] = kept.count(), spark.conf.get(common._TIDY)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    first_saved.wait(60)
+    with common.clearing(spark):
+        common.saved(spark.range(2), "quick").count()
+    second_done.set()
+    thread.join()
+    assert out == {"rows": 7, "tidy": "true"} and spark.conf.get(common._TIDY, None) == before
+
+
+def test_languages_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, "the word " * 9, "en") for i in range(20)] + [(50 + i, "das wort " * 9, "de") for i in range(15)] + [(90 + i, "dirt", f"x{i}") for i in range(9)]
+    texts, labels = language.training_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert set(labels) == {"en", "de"} and len(texts) == 35
