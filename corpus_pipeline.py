@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from idloom.llm.common import documents, scratch
+from idloom.llm.common import documents, release, scratch
 from idloom.llm.exact_dedup import drop_exact_duplicates
-from idloom.llm.language import identify
+from idloom.llm.language import known_language
 from idloom.llm.near_dedup import drop_near_duplicates
 from idloom.llm.packing import pack
 from idloom.llm.pii import mask_pii
@@ -21,8 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     lang; without any all documents go. All columns stay, whatever their names; rows that share a doc_id, or have none,
     are judged one by one; an empty table gives an empty one.
     """
-    found = identify(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang"), F.lit(True))
-    return found.where("not rejected").select("row.*")
+    return known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the smallest doc_id stays.
 
-    Texts without words, and rows without a doc_id, are linked with nothing and stay. Rows that share a doc_id are one
+    doc_id must be a whole number, or text of one. Texts without words, and rows without a doc_id, are linked with nothing and stay. Rows that share a doc_id are one
     document, which stays or goes as a whole. All columns stay; an empty table gives an empty one.
     """
     return drop_near_duplicates(docs, shingle=5)
@@ -71,10 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written and read again; the pieces of the last one."""
+    """The stages over the documents of sf_dir, each written and read again; the pieces of the last one.
+
+    Once a stage is written, what it read of the shared folder goes, so that the result's table alone stays there.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        release(made)
         docs = spark.read.parquet(path)
     return docs
