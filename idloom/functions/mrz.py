@@ -100,11 +100,6 @@ def is_valid_dob(d: Column, as_of_year: int, min_age: int = 14, max_age: int = 1
     return F.coalesce((F.size(parts) == 3) & (F.lit(as_of_year) - F.get(parts, F.lit(2)).try_cast("int")).between(min_age, max_age), F.lit(False))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once a row: as rows of a one-element array they are copied into no later expression."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def _zone(df: DataFrame, text_col: str) -> DataFrame:
     """df with the lines _1 and _2 of its zone (null without both) and the names _s, _g, _p (null without a double filler)."""
     lines = F.filter(F.transform(F.split(text(text_col), "\n", -1), normalize_mrz_line), lambda x: F.length(x) >= 40)

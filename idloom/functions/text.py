@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as browsers see it: also no-break and other wide blanks.
@@ -13,7 +13,7 @@ CYR, CYR_ANY = "А-ЯЁ", "А-ЯЁа-яё"
 # Words and patterns of labels, patronymic endings, month and weekday names, recognition alphabet.
 LABELS = ["ДАТА", "ПОЛ", "МЕСТО", "ГРАЖД", "ОРГАН", "ВЫДАН", "СЕРИЯ", "НОМЕР", "ПОДПИС", "РОССИЙСК", "ФЕДЕРАЦ", "ПАСПОРТ", "МВД", "ФМС", "МИГРАЦ", "РЕСПУБЛ", "ОБЛАСТН", "РАЙОНН", "КОММУН", "МОСКВ", "КАЗАХСТАН", "КЫРГЫЗСТАН", "ТАДЖИКИСТАН", "БЕЛАРУС", "УЗБЕКИСТ", "РОЖДЕНИ", "ЗАРЕГИС", "ПРОПИС", "ПРОЖИВ", "СНИЛС", "ИНН"]
 WHOLE_LABELS = {"ПОЛ", "ИНН"}
-VISUAL_LABELS = LABELS[:15]
+VISUAL_LABELS = ["ДАТА", "ПОЛ", "МЕСТО", "ГРАЖД", "ОРГАН", "ВЫДАН", "СЕРИЯ", "НОМЕР", "ПОДПИС", "РОССИЙСК", "ФЕДЕРАЦ", "ПАСПОРТ", "МВД", "ФМС", "МИГРАЦ"]
 PLACES = ["РАЙОНА", "ГОРОДА", "УЛИЦА", "ОБЛАСТЬ", "ДЕРЕВНЯ", "ПОСЕЛО", "АУЛА", "КИШЛАК"]
 LATIN_LABELS = ["FAMILIY", "SURNAME", r"GIVEN\s*NAME", "PATRONY", "FATHER", "ISMI", "OTASIN", "BIRTH", "DATE", "PLACE", "GENDER", r"SEX\b", "NATIONALITY", "DOCUMENT", "PASSPORT", "REPUBLIC", "MINISTRY", "ISSUED", "VALID"]
 PATRONYMIC_WORDS = ["КЫЗЫ", "УУЛУ", "ОГЛЫ", "УГЛИ", "УЛЛИ", "ЗОДА", "ЗАДА", "ЗАДЕ"]
@@ -28,6 +28,11 @@ CUSTOM = "__custom__"
 DIST_SCORES, FAR_SCORE, ANCHOR_BONUS, UNKNOWN_SCORE, NOT_IN_DICTIONARY = (1.0, 0.75, 0.5), 0.25, 0.2, 0.55, 99
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: as rows of a one-element array they are copied into no later expression."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

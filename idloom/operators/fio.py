@@ -1,31 +1,31 @@
 """Surname, given name and patronymic from noisy text: label anchors, dictionary search, suffixes, position.
 
-The dictionary search is a distributed join over the distinct words of all scans; what remains for each scan is a
-short fold over its lines, with the words' matches at hand.
+The dictionary search is a distributed join over the distinct words of all scans; the rest are expressions over a
+scan's lines, with the words' matches at hand in a map. Rules that depend on what was found earlier compare line numbers: what
+a surname's line excludes is known once the first line with a surname is.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions import text as T
+from idloom.functions.text import once
 from idloom.operators.fuzzy import fuzzy_find
-from idloom.session import prepare
+from idloom.session import checkpointed
 
-CANDIDATES = 8
-Hit = tuple[str, int]  # entry and distance
-
-_LABEL = re.compile("|".join([T.whole(w) if w in T.WHOLE_LABELS else w for w in T.LABELS] + T.PLACES))
-_WORD = re.compile(rf"[{T.CYR}\-]{{3,}}")
-_NAME = re.compile(T.whole("ИМЯ"))
-_ENDS = tuple(T.PATRONYMIC_ENDS)
+#: Words beside a label that are looked up in the dictionary, and the largest page that is read by position.
+CANDIDATES, FEW_WORDS = 8, 8
+#: How far from an entry a word may be: names, and the patronymic at its label.
+NEAR, NEAR_PATRONYMIC = 2, 3
+#: Matches of words that are broadcast, in bytes; beyond, those of so many of the most common words are.
+MATCH_BYTES, FREQUENT = 64 << 20, 1000
+_SURNAME, _NAME, _PATRONYMIC = "ФАМИЛИ", "ИМЯ", "ОТЧЕСТВ"
+# Scores of a patronymic at its label by suffix and without, by suffix in the text and by position; of a surname and name by position.
+LABELLED_SUFFIX, LABELLED_WORD, SUFFIX, PLACED_PATRONYMIC, PLACED_SURNAME, PLACED_NAME = 0.9, 0.6, 0.8, 0.75, 0.4, 0.35
 
 
 def extract_fio_latin(lines: Column) -> Column:
@@ -42,165 +42,183 @@ def extract_fio_latin(lines: Column) -> Column:
     return F.struct(T.to_title(surname).alias("surname"), T.to_title(name).alias("name"), T.to_title(patronymic).alias("patronymic"), (long(surname, 40) + long(name, 35) + long(patronymic, 25)).alias("confidence"))
 
 
-def _words(line: str) -> list[str]:
-    return [w for w in _WORD.findall(line) if len(w) <= 30]
-
-
-def _is_patronymic(w: str) -> bool:
-    return w in T.PATRONYMIC_WORDS or len(w) >= 5 and w.endswith(_ENDS)
-
-
-def _title(w: str) -> str:
-    return w[:1].upper() + w[1:].lower()
-
-
-def _score(dist: int) -> float:
-    return T.DIST_SCORES[dist] if dist < len(T.DIST_SCORES) else T.FAR_SCORE
-
-
-def _anchor_score(dist: int) -> float:
-    return T.UNKNOWN_SCORE if dist == T.NOT_IN_DICTIONARY else min(1.0, _score(dist) + T.ANCHOR_BONUS)
-
-
-@dataclass
-class Page:
-    """The lines of one scan, with a search over the dictionary matches of its words."""
-
-    lines: list[str]
-    matches: dict[tuple[str, str], Hit]
-    kinds: frozenset[str]
-    labels: list[bool] = field(init=False)
-    found: dict[str, tuple[str, float]] = field(default_factory=dict)  # part: word in capitals, score
-    anchors: dict[str, tuple[str, int, str]] = field(default_factory=dict)
-    strategy: str = "scan"
-
-    def __post_init__(self) -> None:
-        self.labels = [bool(_LABEL.search(x)) for x in self.lines]
-
-    def hit(self, w: str, kinds: str, most: int = 2) -> Hit | None:
-        """The nearest entry among kinds; of equals that of the kind named first."""
-        hits = [h for k in kinds if (h := self.matches.get((w, k))) and h[1] <= most]
-        return min(hits, key=lambda h: h[1], default=None)
-
-    def taken(self) -> set[str]:
-        return {w for w, _ in self.found.values()}
-
-    def around(self, i: int, offsets: Iterable[int]) -> Iterator[tuple[int, int]]:
-        return ((abs(d), i + d) for d in offsets if 0 <= i + d < len(self.lines))
-
-    def beside(self, i: int, label: str, kinds: str, without: set[str]) -> tuple[str, int, str] | None:
-        """The word that belongs to the label on line i: entry or word, distance, word."""
-        tail = self.lines[i].partition(label)[2]
-        near = [(0, w) for w in _words(tail)]
-        near += [(d, w) for d, j in self.around(i, (1, -1, 2, -2, 3, -3)) if not self.labels[j] for w in _words(self.lines[j])]
-        near = [x for x in near if not _LABEL.search(x[1]) and x[1] not in without]
-        near.sort(key=lambda x: (x[0], -len(x[1])))
-        if not near:
-            return None
-        known = [(h[1], h[0], w) for _, w in near[:CANDIDATES] if (h := self.hit(w, kinds))]
-        if known:
-            dist, entry, w = min(known, key=lambda x: x[0])
-            return entry, dist, w
-        return near[0][1], T.NOT_IN_DICTIONARY, near[0][1]
-
-    def anchor(self, part: str, got: tuple[str, int, str], score: float) -> None:
-        self.found[part] = (got[0].upper(), score)
-        self.anchors[part] = got
-        self.strategy = "anchor"
-
-    def read_anchors(self) -> None:
-        for i, line in enumerate(self.lines):
-            if "surname" not in self.found and "ФАМИЛИ" in line and (got := self.beside(i, "ФАМИЛИ", "s", set())):
-                self.anchor("surname", got, _anchor_score(got[1]))
-            if "name" not in self.found and _NAME.search(line) and "ФАМИЛИ" not in line:
-                without = {self.found["surname"][0]} if "surname" in self.found else set()
-                if got := self.beside(i, "ИМЯ", "mf", without):
-                    self.anchor("name", got, _anchor_score(got[1]))
-            if "patronymic" not in self.found and "ОТЧЕСТВ" in line:
-                free = [w for _, j in self.around(i, (0, 1, -1, 2, -2)) for w in _words(self.lines[j]) if w not in self.taken()]
-                by_suffix = next((w for w in free if _is_patronymic(w)), None)
-                w = by_suffix or next((w for w in free if len(w) >= 5 and not _LABEL.search(w)), None)
-                if w:
-                    h = self.hit(w, "p", most=3)
-                    self.anchor("patronymic", (h[0] if h else w, h[1] if h else T.NOT_IN_DICTIONARY, w), 0.9 if by_suffix else 0.6)
-
-    def scan(self, words: list[str], part: str, kinds: str, *others: str) -> None:
-        """The nearest dictionary word of the whole text, the first in reading order of equals, but for the words of `others`."""
-        if part in self.found or not self.kinds & set(kinds):
-            return
-        without = {self.found[o][0] for o in others if o in self.found}
-        hits = [h for w in words if w not in without and (h := self.hit(w, kinds))]
-        if hits:
-            entry, dist = min(hits, key=lambda h: h[1])
-            self.found[part] = (entry.upper(), _score(dist))
-
-    def read(self) -> None:
-        self.read_anchors()
-        placed = [(i, w) for i, line in enumerate(self.lines) if not self.labels[i] for w in _words(line)]
-        words = [w for _, w in placed]
-        self.candidates = words
-        self.scan(words, "surname", "s")
-        self.scan(words, "name", "mf", "surname")
-        self.scan(words, "patronymic", "p", "surname", "name")
-        if "patronymic" not in self.found and (w := next((w for w in words if w not in self.taken() and _is_patronymic(w)), None)):
-            self.found["patronymic"] = (w, 0.8)
-        if "surname" not in self.found and self.strategy == "scan" and 1 <= len(words) <= 8:
-            self.by_position(placed)
-
-    def by_position(self, placed: list[tuple[int, str]]) -> None:
-        """Few words and no labels: the lines are surname, name and, by its suffix, patronymic."""
-        groups: dict[int, list[str]] = {}
-        for i, w in placed:
-            groups.setdefault(i, []).append(w)
-        aside = next((i for i, ws in groups.items() if any(map(_is_patronymic, ws))), None)
-        if aside is not None:
-            self.found.setdefault("patronymic", (next(filter(_is_patronymic, groups[aside])), 0.75))
-        rest = [ws for i, ws in groups.items() if i != aside]
-        if rest:
-            self.found["surname"], self.strategy = (rest[0][0], 0.4), "positional"
-        if len(rest) > 1:
-            self.found.setdefault("name", (rest[1][0], 0.35))
-
-
-_ANCHORS = "anchors array<struct<part:string,word:string,dist:int,raw_word:string>>"
-_SCHEMA = f"scan_id bigint, surname string, name string, patronymic string, confidence int, strategy string, cleaned string, candidates array<string>, {_ANCHORS}"
-
-
-def _fold(kinds: frozenset[str]) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for scan, clean, lines, matches in zip(*(batch.column(c).to_pylist() for c in ("scan_id", "clean", "lines", "matches")), strict=True):
-                page = Page(lines, {(m["w"], m["kind"]): (m["match"], m["dist"]) for m in matches or []}, kinds)
-                page.read()
-                get = lambda p, page=page: page.found.get(p, ("", 0.0))
-                parts = [get(p) for p in ("surname", "name", "patronymic")]
-                rows.append([scan, *(_title(w) for w, _ in parts), math.floor(100 * sum(s for _, s in parts) / 3 + 0.5), page.strategy, clean, page.candidates, [{"part": k, "word": w, "dist": d, "raw_word": raw} for k, (w, d, raw) in sorted(page.anchors.items())]])
-            anchor = pa.struct([("part", pa.string()), ("word", pa.string()), ("dist", pa.int32()), ("raw_word", pa.string())])
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(anchor)]
-            names = ["scan_id", "surname", "name", "patronymic", "confidence", "strategy", "cleaned", "candidates", "anchors"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-    return run
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _first(values: Column) -> Column:
+    return F.get(values, F.lit(0))
+
+
+def _behind(line: Column, label: str) -> Column:
+    """The words after the first occurrence of label."""
+    at = F.instr(line, label)
+    return F.when(at > 0, T.cyr_words(F.substr(line, at + len(label)))).otherwise(F.array().cast("array<string>"))
+
+
+def _lines_where(is_anchor: Callable[[Column], Column]) -> Column:
+    """Numbers of the lines that are anchors."""
+    return F.filter(F.transform("lines", lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull())
+
+
+def _is_name_line(line: Column) -> Column:
+    return line.rlike(T.whole(_NAME)) & ~F.contains(line, F.lit(_SURNAME))
+
+
+def _at_labels(label: str, is_anchor: Callable[[Column], Column], kind: str, without: Callable[[Column, Column], Column]) -> Column:
+    """struct(line, word, dist, raw_word) of the first line with the label that has a word behind or beside it.
+
+    Words behind the label come first, then those of the lines around, the nearest and longest first. Of the first eight the one
+    nearest to the dictionary gives its entry; with none near enough the first of all is taken as it is.
+    """
+    empty = F.array().cast("array<struct<d:int,n:int,at:int,w:string>>")
+
+    def placed(words: Column, distance: int, turn: int) -> Column:
+        return F.transform(words, lambda w, k: F.struct(F.lit(distance).alias("d"), (-F.length(w)).alias("n"), (k + turn * 1_000_000).alias("at"), w.alias("w")))
+
+    def around(i: Column) -> Column:
+        parts = [placed(_behind(F.get("lines", i), label), 0, 0)]
+        for turn, d in enumerate((1, -1, 2, -2, 3, -3), 1):
+            there = (i + d >= 0) & (i + d < F.size("lines")) & ~F.get("label", i + d)
+            parts.append(F.when(there, placed(F.get("words", i + d), abs(d), turn)).otherwise(empty))
+        return F.array_sort(F.filter(F.concat(*parts), lambda x: ~T.is_label(x["w"]) & without(i, x["w"])))
+
+    def read(i: Column, near: Column) -> Column:
+        hit = lambda w: F.col("hits")[w][kind]
+        tried = F.transform(F.slice(near, 1, CANDIDATES), lambda x, k: F.struct(hit(x["w"])["dist"].alias("dist"), k.alias("k"), hit(x["w"])["match"].alias("word"), x["w"].alias("raw_word")))
+        known = F.array_min(F.filter(tried, lambda x: x["dist"].isNotNull() & (x["dist"] <= NEAR)))
+        first = _first(near)["w"]
+        found = _let(known, lambda b: F.struct(i.alias("line"), F.coalesce(b["word"], first).alias("word"), F.coalesce(b["dist"], F.lit(T.NOT_IN_DICTIONARY)).alias("dist"), F.coalesce(b["raw_word"], first).alias("raw_word")))
+        return F.when(F.size(near) > 0, found)
+
+    return _first(F.filter(F.transform(_lines_where(is_anchor), lambda i: _let(around(i), lambda near: read(i, near))), lambda x: x.isNotNull()))
+
+
+def _taken(found: Column, i: Column, strictly: bool) -> Column:
+    """The word that found excludes on line i: none before its own line."""
+    return F.coalesce(F.when(found["line"] < i if strictly else found["line"] <= i, F.upper(found["word"])), F.lit(""))
+
+
+def _patronymic_at_label() -> Column:
+    """struct(line, word, dist, raw_word, score): of the words around the label the first with the suffix, else the first long one."""
+
+    def read(i: Column, free: Column) -> Column:
+        by_suffix = _first(F.filter(free, T.is_patronymic))
+        w = F.coalesce(by_suffix, _first(F.filter(free, lambda w: (F.length(w) >= 5) & ~T.is_label(w))))
+
+        def corrected(w: Column) -> Column:
+            hit = F.col("hits")[w]["p"]
+            return F.struct(i.alias("line"), F.coalesce(hit["match"], w).alias("word"), F.coalesce(hit["dist"], F.lit(T.NOT_IN_DICTIONARY)).alias("dist"), w.alias("raw_word"), F.when(T.is_patronymic(w), LABELLED_SUFFIX).otherwise(LABELLED_WORD).alias("score"))
+
+        return _let(w, lambda w: F.when(w.isNotNull(), corrected(w)))
+
+    def free(i: Column) -> Column:
+        near = F.concat(*(F.when((i + d >= 0) & (i + d < F.size("lines")), F.get("words", i + d)).otherwise(F.array().cast("array<string>")) for d in (0, 1, -1, 2, -2)))
+        return F.filter(near, lambda w: (w != _taken(F.col("surname_at"), i, False)) & (w != _taken(F.col("name_at"), i, False)))
+
+    return _first(F.filter(F.transform(_lines_where(lambda x: F.contains(x, F.lit(_PATRONYMIC))), lambda i: _let(free(i), lambda f: read(i, f))), lambda x: x.isNotNull()))
+
+
+def _in_text(kind: str, *others: Column) -> Column:
+    """struct(word, score) of the word of the text nearest to the dictionary, the first in reading order of equals, but for others."""
+    hit = lambda w: F.col("hits")[w][kind]
+    near = F.transform("candidates", lambda w, k: F.struct(hit(w)["dist"].alias("dist"), k.alias("k"), hit(w)["match"].alias("word"), w.alias("w")))
+
+    def free(x: Column) -> Column:
+        fit = x["dist"].isNotNull() & (x["dist"] <= NEAR)
+        for o in others:
+            fit = fit & (x["w"] != o)
+        return fit
+
+    return _let(F.array_min(F.filter(near, free)), lambda b: F.when(b.isNotNull(), F.struct(F.upper(b["word"]).alias("word"), T.dist_to_score(b["dist"]).alias("score"))))
+
+
+def _scored(word: Column, score: Column | float) -> Column:
+    return F.when(word.isNotNull(), F.struct(word.alias("word"), (score if isinstance(score, Column) else F.lit(score)).alias("score")))
+
+
+def _word(found: Column) -> Column:
+    return F.coalesce(found["word"], F.lit(""))
+
+
+_ANCHORS = "array<struct<part:string,word:string,dist:int,raw_word:string>>"
+_OUT = ("scan_id", "surname", "name", "patronymic", "confidence", "strategy", "cleaned", "candidates", "anchors")
+
+
+def read_names(pages: DataFrame) -> DataFrame:
+    """The names of pages(scan_id, cleaned, lines, label, words, hits): see extract_fio.
+
+    label says which lines are labels, words holds the words of each line, hits maps a word to its matches: s, mf and p, each
+    struct<match, dist>.
+    """
+    df = once(pages, surname_at=_at_labels(_SURNAME, lambda x: F.contains(x, F.lit(_SURNAME)), "s", lambda i, w: F.lit(True)))
+    df = once(df, name_at=_at_labels(_NAME, _is_name_line, "mf", lambda i, w: w != _taken(F.col("surname_at"), i, True)))
+    df = once(df, patronymic_at=_patronymic_at_label(), candidates=F.flatten(F.filter("words", lambda ws, i: ~F.get("label", i))))
+    anchored = lambda c: _scored(F.upper(c["word"]), T.anchor_score(c["dist"]))
+    df = once(df, sn=F.coalesce(anchored(F.col("surname_at")), _in_text("s")))
+    df = once(df, nm=F.coalesce(anchored(F.col("name_at")), _in_text("mf", _word(F.col("sn")))))
+    sn, nm, pt = F.col("sn"), F.col("nm"), F.col("pt")
+    at = F.col("patronymic_at")
+    by_suffix = _first(F.filter("candidates", lambda w: (w != _word(sn)) & (w != _word(nm)) & T.is_patronymic(w)))
+    df = once(df, pt=F.coalesce(_scored(F.upper(at["word"]), at["score"]), _in_text("p", _word(sn), _word(nm)), _scored(by_suffix, SUFFIX)))
+    anchor = F.col("surname_at").isNotNull() | F.col("name_at").isNotNull() | at.isNotNull()
+    df = once(df, groups=F.when(sn.isNull() & ~anchor & F.size("candidates").between(1, FEW_WORDS), F.filter("words", lambda ws, i: ~F.get("label", i) & (F.size(ws) > 0))))
+    df = once(df, aside=F.array_position(F.transform("groups", lambda ws: F.exists(ws, T.is_patronymic)), F.lit(True)))
+    rest = F.filter("groups", lambda ws, i: i + 1 != F.col("aside"))
+    line = lambda k: F.get(F.get(rest, F.lit(k)), F.lit(0))
+    placed = _first(F.filter(F.get("groups", F.col("aside").cast("int") - 1), T.is_patronymic))
+    df = once(df, s=F.coalesce(sn, _scored(line(0), PLACED_SURNAME)), n=F.coalesce(nm, _scored(line(1), PLACED_NAME)), p=F.coalesce(pt, F.when(F.col("aside") > 0, _scored(placed, PLACED_PATRONYMIC))), anchor=anchor)
+    score = lambda c: F.coalesce(F.col(c)["score"], F.lit(0.0))
+    strategy = F.when(F.col("anchor"), "anchor").when(sn.isNull() & F.col("s").isNotNull(), "positional").otherwise("scan")
+    shown = lambda c, part: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(part).alias("part"), *(F.col(c)[f].alias(f) for f in ("word", "dist", "raw_word"))))).otherwise(F.array().cast(_ANCHORS))
+    anchors = F.concat(shown("name_at", "name"), shown("patronymic_at", "patronymic"), shown("surname_at", "surname")).cast(_ANCHORS)
+    names = {part: T.to_title(_word(F.col(c))) for part, c in (("surname", "s"), ("name", "n"), ("patronymic", "p"))}
+    confidence = T.round_half_up((score("s") + score("n") + score("p")) / 3 * 100).cast("int")
+    return df.select("scan_id", *(c.alias(k) for k, c in names.items()), confidence.alias("confidence"), strategy.alias("strategy"), "cleaned", "candidates", anchors.alias("anchors"))
+
+
+def _matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """scan_id, hits: for words(scan_id, w) the map from each word near the dictionary to its matches.
+
+    The matches are written once, as far as they go: words that are near nothing have none. Up to MATCH_BYTES of them are
+    broadcast to the words. Beyond, words that many scans share would meet in one task, so the matches of the
+    FREQUENT most common ones are broadcast and only the others are joined by a shuffle.
+    """
+    different = checkpointed(words.select("w").distinct())
+    names = fuzzy_find(different, dictionary.where("kind <> 'p'"), NEAR)
+    near = names.union(fuzzy_find(different, dictionary.where("kind = 'p'"), NEAR_PATRONYMIC))
+    hit = lambda c: F.struct(c["match"].alias("match"), c["dist"].alias("dist"))
+    best = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.struct("dist", (F.col("kind") != kinds[0]).alias("later"), "match")))
+    near = near.groupBy("w").agg(best("s").alias("s"), best("m", "f").alias("mf"), best("p").alias("p"))
+    near = checkpointed(near.select("w", F.struct(*(F.when(F.col(k).isNotNull(), hit(F.col(k))).alias(k) for k in ("s", "mf", "p"))).alias("hit")))
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    held = near.agg(F.coalesce(F.sum(200 + size("w") + size("hit.s.match") + size("hit.mf.match") + size("hit.p.match")), F.lit(0))).first()[0]
+    if held <= MATCH_BYTES:
+        met = words.join(F.broadcast(near), "w")
+    else:
+        frequent = [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
+        often = F.col("w").isin(frequent)
+        met = words.where(~often).join(near.where(~often), "w").union(words.where(often).join(F.broadcast(near.where(often)), "w"))
+    return met.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "hit"))).alias("hits"))
 
 
 def extract_fio(scans: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Names of scans(scan_id, full_text): scan_id, surname, name, patronymic, confidence, strategy, cleaned, candidates, anchors.
 
     cleaned is the text as searched, candidates its words outside label lines, anchors what stood at labels. Latin
-    pages have neither.
+    pages have neither. dictionary(kind, ord, entry) holds surnames (s), male (m) and female names (f) and patronymics (p).
     """
-    prepare(scans.sparkSession)
-    cleaned = scans.select("scan_id", T.clean_ocr_text(F.col("full_text")).alias("clean"))
-    # A column of its own that no optimiser rule copies into its users: the clean text is computed once a row.
-    cleaned = cleaned.select("scan_id", F.explode(F.array("clean")).alias("clean"))
-    read = cleaned.select("scan_id", "clean", T.split_lines(F.col("clean")).alias("lines"), T.detect_lang(F.col("clean")).alias("lang"))
-    latin = read.where("lang = 'latin'").select("scan_id", "clean", extract_fio_latin(F.col("lines")).alias("r"))
-    latin = latin.select("scan_id", "r.surname", "r.name", "r.patronymic", F.col("r.confidence").cast("int").alias("confidence"), F.lit("latin").alias("strategy"), F.col("clean").alias("cleaned"), F.array().cast("array<string>").alias("candidates"), F.array().cast(_ANCHORS.partition(" ")[2]).alias("anchors"))
-    cyrillic = read.where("lang = 'cyrillic'").select("scan_id", "clean", "lines")
-    words = cyrillic.select("scan_id", F.explode(F.array_distinct(F.flatten(F.transform("lines", T.cyr_words)))).alias("w"))
-    near = fuzzy_find(words, dictionary, max_dist=3)
-    matches = words.join(near, "w").groupBy("scan_id").agg(F.collect_list(F.struct("w", "kind", "match", "dist")).alias("matches"))
-    kinds = frozenset(r["kind"] for r in dictionary.select("kind").distinct().collect())  # four at most
-    folded = cyrillic.join(matches, "scan_id", "left").mapInArrow(_fold(kinds), _SCHEMA)
-    return folded.union(latin)
+    read = once(scans.select("scan_id", "full_text"), cleaned=T.clean_ocr_text(F.col("full_text"))).drop("full_text")
+    read = once(read, lines=T.split_lines(F.col("cleaned")), lang=T.detect_lang(F.col("cleaned")))
+    latin = once(read.where("lang = 'latin'"), r=extract_fio_latin(F.col("lines")))
+    latin = latin.select("scan_id", "r.surname", "r.name", "r.patronymic", F.col("r.confidence").cast("int").alias("confidence"), F.lit("latin").alias("strategy"), "cleaned", F.array().cast("array<string>").alias("candidates"), F.array().cast(_ANCHORS).alias("anchors"))
+    pages = once(read.where("lang = 'cyrillic'").select("scan_id", "cleaned", "lines"), label=F.transform("lines", T.is_label), words=F.transform("lines", T.cyr_words))
+    # Of label lines only words behind labels, and those around a patronymic's label, are ever looked up.
+    near_label = F.transform("lines", lambda x, i: F.exists(F.slice("lines", F.greatest(i - 1, F.lit(1)), F.lit(5)), lambda y: F.contains(y, F.lit(_PATRONYMIC))))
+    own = F.filter("words", lambda ws, i: ~F.get("label", i) | F.get("near", i))
+    behind = F.transform("lines", lambda x: F.concat(F.when(F.contains(x, F.lit(_SURNAME)), _behind(x, _SURNAME)).otherwise(F.array().cast("array<string>")), F.when(_is_name_line(x), _behind(x, _NAME)).otherwise(F.array().cast("array<string>"))))
+    looked = once(pages.select("scan_id", "lines", "label", "words"), near=near_label)
+    looked = looked.select("scan_id", F.explode(F.array_distinct(F.flatten(F.concat(own, behind)))).alias("w"))
+    folded = read_names(pages.join(_matches(looked, dictionary), "scan_id", "left"))
+    return folded.select(*_OUT).union(latin.select(*_OUT))

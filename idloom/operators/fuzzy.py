@@ -19,7 +19,7 @@ def fuzzy_find(words: DataFrame, dictionary: DataFrame, max_dist: int = 2, segme
 
     words(w); dictionary(kind, ord, entry). Entries farther than max_dist do not count; of equally near ones the
     first in dictionary order wins. By segments: an entry within distance k shares, unchanged, one of its k + 1
-    segments with the word, shifted by at most k. Words and entries too short for that stay blocked by length,
+    segments with the word, shifted by at most as many places as edits can lie on one side of it. Words and entries too short for that stay blocked by length,
     as all do without segments, which is a check on them for small dictionaries.
     """
     w = words.select("w").where("w is not null and w <> ''").distinct()
@@ -34,9 +34,13 @@ def fuzzy_find(words: DataFrame, dictionary: DataFrame, max_dist: int = 2, segme
         probe = sized.where(F.col("n") > k).withColumn("i", at)
         filler = F.rpad(F.lit(""), F.col("n").cast("int"), F.lit("x"))
         start, size = _part(filler, F.col("i"), k)
-        probe = probe.withColumns({"s": start, "z": size}).withColumn("p", F.explode(F.sequence(F.greatest(F.col("s") - k, F.lit(1)), F.col("s") + k)))
-        probe = probe.where(F.col("p") + F.col("z") - 1 <= F.length("w")).select("w", "n", "i", F.substr("w", "p", "z").alias("seg"))
-        pairs = probe.join(left, ["n", "i", "seg"]).select("w", "kind", "ord", "entry").distinct()
+        probe = probe.withColumns({"s": start, "z": size, "more": F.length("w") - F.col("n")})
+        # Before segment i at most i edits are spent, behind it at most k - i, or another segment is shared as well.
+        first = F.greatest(F.lit(1), F.col("s") - F.col("i"), F.col("s") + F.col("more") - (k - F.col("i")))
+        last = F.least(F.length("w") - F.col("z") + 1, F.col("s") + F.col("i"), F.col("s") + F.col("more") + (k - F.col("i")))
+        probe = probe.withColumns({"first": first, "last": last}).where("first <= last").withColumn("p", F.explode(F.sequence("first", "last")))
+        probe = probe.select("w", "n", "i", F.substr("w", "p", "z").alias("seg"))
+        pairs = probe.join(left, ["n", "i", "seg"]).select("w", "kind", "ord", "entry")  # a pair that shares more segments is measured more than once
         short = sized.where(F.col("n") <= k).join(d.withColumn("n", F.length("entry")), "n").select("w", "kind", "ord", "entry")
         pairs = pairs.union(short)
     else:

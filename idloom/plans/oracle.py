@@ -326,3 +326,91 @@ r AS (SELECT DISTINCT image_id, cls, 0::bigint AS n, []::STRUCT(b STRUCT(x1 DOUB
         FROM r JOIN o b ON b.image_id = r.image_id AND b.cls = r.cls AND b.n = r.n + 1))
 SELECT image_id, field, anchor_idx, round(score, 6) AS score FROM r WHERE stays
 """
+
+# Names of pages: words beside labels as rows, ranked; of the lines at labels the first with a word; then the text's words.
+_ALPHABET = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"
+_BYTES = lambda x: f"translate({x}, '{_ALPHABET}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
+_PAGE_WORDS = lambda x: f"list_filter(regexp_extract_all({x}, '[А-ЯЁ\\-]{{3,}}'), lambda v: length(v) <= 30)"
+_PAGE_LABEL = lambda x: _any(x, T.LABELS + T.PLACES, T.WHOLE_LABELS)
+_PAGE_LAST = f"(w IN ({', '.join(f'''{v!r}''' for v in T.PATRONYMIC_WORDS)}) OR (length(w) >= 5 AND {_LAST}))"
+_NAME_LINE = f"{_any('line', ['ИМЯ'], {'ИМЯ'})} AND NOT contains(line, 'ФАМИЛИ')"
+_POINTS = "CASE dist WHEN 0 THEN 1.0::double WHEN 1 THEN 0.75::double WHEN 2 THEN 0.5::double ELSE 0.25::double END"
+_LABEL_POINTS = f"CASE WHEN dist = 99 THEN 0.55::double ELSE least(1.0::double, {_POINTS} + 0.2::double) END"
+
+
+def _beside(name: str, label: str, at: str, hits: str, excluded: str) -> str:
+    """CTEs that end in {name}(scan_id, i, word, dist, raw): the word of the first line with the label that has one."""
+    return f"""
+{name}_at AS (SELECT scan_id, i, line FROM l WHERE {at}),
+{name}_near AS (
+  SELECT scan_id, i, 0 AS d, 0 AS turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT scan_id, i, {_PAGE_WORDS(f"substr(line, instr(line, '{label}') + {len(label)})")} AS ws FROM {name}_at)
+  UNION ALL SELECT a.scan_id, a.i, abs(delta), turn, w.w, w.k FROM {name}_at a CROSS JOIN (VALUES (1, 1), (-1, 2), (2, 3), (-2, 4), (3, 5), (-3, 6)) v(delta, turn) JOIN w ON w.scan_id = a.scan_id AND w.i = a.i + delta WHERE NOT w.label),
+{name}_free AS (SELECT n.*, row_number() OVER (PARTITION BY n.scan_id, n.i ORDER BY d, -length(n.w), turn, k) AS rank FROM {name}_near n {excluded}),
+{name}_known AS (SELECT f.scan_id, f.i, arg_min(struct_pack(word := h.match, dist := h.dist, raw := f.w), h.dist * 100 + f.rank) AS b FROM {name}_free f JOIN {hits} h ON h.w = f.w WHERE f.rank <= 8 AND h.dist <= 2 GROUP BY ALL),
+{name} AS (SELECT f.scan_id, f.i, coalesce(b.word, f.w) AS word, coalesce(b.dist, 99) AS dist, coalesce(b.raw, f.w) AS raw FROM {name}_free f LEFT JOIN {name}_known USING (scan_id, i) WHERE f.rank = 1
+  QUALIFY row_number() OVER (PARTITION BY f.scan_id ORDER BY f.i) = 1)"""
+
+
+def _anywhere(name: str, hits: str, *others: str) -> str:
+    """A CTE of the word of the text nearest to the dictionary, the first of equals, but for those of others."""
+    joins = " ".join(f"LEFT JOIN {o} ON {o}.scan_id = x.scan_id" for o in others)
+    return f"""
+{name} AS (SELECT x.scan_id, h.match AS word, h.dist FROM x JOIN {hits} h ON h.w = x.w {joins} WHERE h.dist <= 2 {"".join(f" AND x.w <> coalesce({o}.word, '')" for o in others)}
+  QUALIFY row_number() OVER (PARTITION BY x.scan_id ORDER BY h.dist, x.i, x.k) = 1)"""
+
+
+_FIO = f"""
+WITH d AS MATERIALIZED ({X.NAMES}), scans AS ({X.SCANS}),
+t AS MATERIALIZED (SELECT scan_id, {_CLEAN} AS cleaned FROM scans),
+c AS (SELECT scan_id, cleaned, {_lines("cleaned")} AS ls FROM t WHERE {_lang("cleaned")} = 'cyrillic'),
+l AS MATERIALIZED (SELECT *, {_PAGE_LABEL("line")} AS label FROM (SELECT scan_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM c)),
+w AS MATERIALIZED (SELECT scan_id, i, label, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT *, {_PAGE_WORDS("line")} AS ws FROM l)),
+seen AS (SELECT w FROM w UNION SELECT unnest({_PAGE_WORDS("substr(line, instr(line, 'ФАМИЛИ') + 6)")}) FROM l WHERE contains(line, 'ФАМИЛИ') UNION SELECT unnest({_PAGE_WORDS("substr(line, instr(line, 'ИМЯ') + 3)")}) FROM l WHERE contains(line, 'ИМЯ')),
+near AS MATERIALIZED (SELECT w, kind, entry AS match, dist FROM (SELECT w, kind, entry, ord, levenshtein({_BYTES("w")}, {_BYTES("entry")}) AS dist FROM seen JOIN d ON abs(length(w) - length(entry)) <= 3)
+  WHERE dist <= 3 QUALIFY row_number() OVER (PARTITION BY w, kind ORDER BY dist, ord) = 1),
+hs AS (SELECT w, match, dist FROM near WHERE kind = 's' AND dist <= 2),
+hm AS (SELECT w, match, dist FROM near WHERE kind IN ('m', 'f') AND dist <= 2 QUALIFY row_number() OVER (PARTITION BY w ORDER BY dist, kind DESC) = 1),
+hp AS (SELECT w, match, dist FROM near WHERE kind = 'p'),
+{_beside("sa", "ФАМИЛИ", "contains(line, 'ФАМИЛИ')", "hs", f"WHERE NOT {_PAGE_LABEL('n.w')}")},
+{_beside("na", "ИМЯ", _NAME_LINE, "hm", f"LEFT JOIN sa ON sa.scan_id = n.scan_id AND sa.i < n.i WHERE NOT {_PAGE_LABEL('n.w')} AND n.w <> coalesce(sa.word, '')")},
+pa_free AS (SELECT a.scan_id, a.i, w.w, {_PAGE_LAST.replace("w ", "w.w ").replace("(w,", "(w.w,").replace("length(w)", "length(w.w)")} AS last, row_number() OVER (PARTITION BY a.scan_id, a.i ORDER BY turn, w.k) AS rank
+  FROM (SELECT scan_id, i FROM l WHERE contains(line, 'ОТЧЕСТВ')) a CROSS JOIN (VALUES (0, 0), (1, 1), (-1, 2), (2, 3), (-2, 4)) v(delta, turn) JOIN w ON w.scan_id = a.scan_id AND w.i = a.i + delta
+  LEFT JOIN sa ON sa.scan_id = a.scan_id AND sa.i <= a.i LEFT JOIN na ON na.scan_id = a.scan_id AND na.i <= a.i WHERE w.w <> coalesce(sa.word, '') AND w.w <> coalesce(na.word, '')),
+pa AS (SELECT f.scan_id, f.i, coalesce(match, f.w) AS word, coalesce(dist, 99) AS dist, f.w AS raw, CASE WHEN last THEN 0.9::double ELSE 0.6::double END AS score
+  FROM (SELECT * FROM pa_free WHERE last OR (length(w) >= 5 AND NOT {_PAGE_LABEL("w")}) QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY i, last DESC, rank) = 1) f LEFT JOIN hp ON hp.w = f.w),
+x AS MATERIALIZED (SELECT scan_id, i, k, w FROM w WHERE NOT label),
+{_anywhere("st", "hs")},
+s1 AS (SELECT scan_id, word, {_LABEL_POINTS} AS score FROM sa UNION ALL SELECT scan_id, word, {_POINTS} FROM st WHERE scan_id NOT IN (SELECT scan_id FROM sa)),
+{_anywhere("nt", "hm", "s1")},
+n1 AS (SELECT scan_id, word, {_LABEL_POINTS} AS score FROM na UNION ALL SELECT scan_id, word, {_POINTS} FROM nt WHERE scan_id NOT IN (SELECT scan_id FROM na)),
+{_anywhere("ptd", "hp", "s1", "n1")},
+pts AS (SELECT x.scan_id, x.w AS word FROM x LEFT JOIN s1 USING (scan_id) LEFT JOIN n1 USING (scan_id) WHERE x.w <> coalesce(s1.word, '') AND x.w <> coalesce(n1.word, '') AND {_PAGE_LAST.replace("w ", "x.w ").replace("(w,", "(x.w,").replace("length(w)", "length(x.w)")}
+  QUALIFY row_number() OVER (PARTITION BY x.scan_id ORDER BY x.i, x.k) = 1),
+p1 AS (SELECT scan_id, coalesce(pa.word, ptd.word, pts.word) AS word, CASE WHEN pa.word IS NOT NULL THEN pa.score WHEN ptd.word IS NOT NULL THEN {_POINTS.replace("dist", "ptd.dist")} ELSE 0.8::double END AS score FROM pa FULL JOIN ptd USING (scan_id) FULL JOIN pts USING (scan_id)),
+few AS (SELECT scan_id, i, arg_min(w, k) AS first, arg_min(w, k) FILTER ({_PAGE_LAST}) AS last FROM x
+  WHERE scan_id NOT IN (SELECT scan_id FROM s1 UNION SELECT scan_id FROM sa UNION SELECT scan_id FROM na UNION SELECT scan_id FROM pa) AND scan_id IN (SELECT scan_id FROM x GROUP BY 1 HAVING count(*) <= 8) GROUP BY ALL),
+aside AS (SELECT scan_id, min(i) AS i, arg_min(last, i) AS last FROM few WHERE last IS NOT NULL GROUP BY 1),
+placed AS (SELECT f.scan_id, f.first, row_number() OVER (PARTITION BY f.scan_id ORDER BY f.i) AS rank FROM few f LEFT JOIN aside USING (scan_id, i) WHERE aside.i IS NULL),
+names AS (SELECT c.scan_id, coalesce(s1.word, a.first, '') AS s, coalesce(n1.word, b.first, '') AS n, coalesce(p1.word, aside.last, '') AS p,
+  coalesce(s1.score, CASE WHEN a.first IS NOT NULL THEN 0.4::double END, 0) AS ss, coalesce(n1.score, CASE WHEN b.first IS NOT NULL THEN 0.35::double END, 0) AS ns, coalesce(p1.score, CASE WHEN aside.last IS NOT NULL THEN 0.75::double END, 0) AS ps,
+  CASE WHEN sa.i IS NOT NULL OR na.i IS NOT NULL OR pa.i IS NOT NULL THEN 'anchor' WHEN a.first IS NOT NULL THEN 'positional' ELSE 'scan' END AS strategy, c.cleaned
+  FROM c LEFT JOIN s1 USING (scan_id) LEFT JOIN n1 USING (scan_id) LEFT JOIN p1 USING (scan_id) LEFT JOIN placed a ON a.scan_id = c.scan_id AND a.rank = 1 LEFT JOIN placed b ON b.scan_id = c.scan_id AND b.rank = 2
+  LEFT JOIN aside ON aside.scan_id = c.scan_id LEFT JOIN sa ON sa.scan_id = c.scan_id LEFT JOIN na ON na.scan_id = c.scan_id LEFT JOIN pa ON pa.scan_id = c.scan_id),
+shown AS (SELECT scan_id, string_agg(part || ':' || word || ':' || dist || ':' || raw, ' ' ORDER BY part) AS anchors FROM (SELECT scan_id, 'surname' AS part, word, dist, raw FROM sa UNION ALL SELECT scan_id, 'name', word, dist, raw FROM na UNION ALL SELECT scan_id, 'patronymic', word, dist, raw FROM pa) GROUP BY 1),
+candidates AS (SELECT scan_id, string_agg(w, ' ' ORDER BY i, k) AS candidates FROM x GROUP BY 1),
+latin AS ({ORACLE_SQL["fio_latin"]}),
+fio AS (SELECT scan_id, {_title("s")} AS surname, {_title("n")} AS name, {_title("p")} AS patronymic, cast(floor((ss + ns + ps) / 3 * 100 + 0.5) AS int) AS confidence, strategy, cleaned, coalesce(candidates, '') AS candidates, coalesce(anchors, '') AS anchors
+  FROM names LEFT JOIN shown USING (scan_id) LEFT JOIN candidates USING (scan_id)
+  UNION ALL SELECT scan_id, surname, name, patronymic, confidence, 'latin', cleaned, '', '' FROM latin JOIN t USING (scan_id))
+"""
+ORACLE_SQL["fio"] = f"{_FIO} SELECT * FROM fio"
+_GAP = lambda p: f"(coalesce(valid, false) AND f.confidence < 40 AND f.{p} = '' AND coalesce(z.{p}, '') <> '')"
+_FILLED = lambda p: f"CASE WHEN model THEN {'''CASE WHEN model THEN 'Модель' END''' if p == 'surname' else repr('')} WHEN {_GAP(p)} THEN z.{p} ELSE f.{p} END"
+_BEST_APP = _BEST.replace("AND 100", "AND 80").replace("BETWEEN 14 AND 100", "BETWEEN 14 AND 80")
+ORACLE_SQL["resolve_passport"] = f"""{_FIO},
+z AS ({ORACLE_SQL["parse_mrz_app"]}), born AS (SELECT scan_id, {_BEST_APP} AS visual_dob FROM scans),
+r AS (SELECT f.scan_id, {", ".join(f"{_FILLED(p)} AS {p}" for p in ("surname", "name", "patronymic"))},
+  CASE WHEN coalesce(valid, false) AND (NOT model OR z.dob <> '') THEN z.dob ELSE visual_dob END AS dob, CASE WHEN model THEN 'onnx' WHEN {" OR ".join(_GAP(p) for p in ("surname", "name", "patronymic"))} THEN 'mrz' ELSE 'fio-dict' END AS strategy, coalesce(valid, false) AS mrz_found
+  FROM (SELECT *, scan_id % 17 = 0 AS model FROM fio) f JOIN born USING (scan_id) LEFT JOIN z ON z.scan_id = f.scan_id)
+SELECT *, CASE WHEN surname || name <> '' AND mrz_found THEN 'done' ELSE 'warn' END AS status FROM r
+"""

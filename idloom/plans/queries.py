@@ -77,7 +77,7 @@ def q_fuzzy_find_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fio(spark: SparkSession, d: str) -> DataFrame:
-    found = fio.extract_fio(_scans(spark, d), X.table(spark, d, "DICTIONARY"))
+    found = fio.extract_fio(_scans(spark, d), X.table(spark, d, "NAMES"))
     shown = F.transform("anchors", lambda a: F.concat_ws(":", a["part"], a["word"], a["dist"].cast("string"), a["raw_word"]))
     return found.withColumn("candidates", F.array_join("candidates", " ")).withColumn("anchors", F.array_join(shown, " "))
 
@@ -90,7 +90,7 @@ def q_fio_latin(spark: SparkSession, d: str) -> DataFrame:
 def q_resolve_passport(spark: SparkSession, d: str) -> DataFrame:
     """The whole way: names from text, zone, visual date, precedence, status."""
     scans = _scans(spark, d)
-    names = fio.extract_fio(scans, X.table(spark, d, "DICTIONARY")).select("scan_id", F.struct("surname", "name", "patronymic", "confidence").alias("fio"))
+    names = fio.extract_fio(scans, X.table(spark, d, "NAMES")).select("scan_id", F.struct("surname", "name", "patronymic", "confidence").alias("fio"))
     zones = M.parse_mrz_app(X.table(spark, d, "MRZ"), "mrz_text", YEAR).select("scan_id", "mrz")
     model = F.when(F.col("scan_id") % 17 == 0, F.struct(F.lit("Модель").alias("surname"), F.lit("").alias("name"), F.lit("").alias("patronymic")))
     dob = V.find_best_dob(T.split_lines(F.col("full_text")), YEAR, 14, 80)

@@ -32,7 +32,7 @@ def test_fio(spark, text, entries, want):
 def test_fuzzy_is_exact(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("АБВ") for _ in range(rng.randint(1, 9)))
-    entries, words = list(dict.fromkeys(word() for _ in range(60))), [word() for _ in range(60)]
+    entries, words = list(dict.fromkeys(word() for _ in range(300))), [word() for _ in range(300)]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -46,15 +46,16 @@ def test_fuzzy_is_exact(spark):
             out.append(min(row[j - 1] + (x != y), row[j] + 1, out[-1] + 1))
         return out
 
-    want = {}
-    for w in words:
-        near = min(((distance(w, e), i, e) for i, e in enumerate(entries)), default=None)
-        if near and near[0] <= 2:
-            want[w] = (near[2], near[0])
     d = spark.createDataFrame([("s", i, e) for i, e in enumerate(entries)], "kind string, ord int, entry string")
     w = spark.createDataFrame([(x,) for x in words], "w string")
-    for segments in (False, True):
-        assert {r.w: (r.match, r.dist) for r in fuzzy.fuzzy_find(w, d, 2, segments).collect()} == want
+    for most in (1, 2, 3):
+        want = {}
+        for x in words:
+            near = min((distance(x, e), i, e) for i, e in enumerate(entries))
+            if near[0] <= most:
+                want[x] = (near[2], near[0])
+        for segments in (False, True):
+            assert {r.w: (r.match, r.dist) for r in fuzzy.fuzzy_find(w, d, most, segments).collect()} == want
 
 
 def test_suppression_keeps_the_best_box(spark):
