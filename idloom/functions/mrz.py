@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idloom.functions.text import WS, text, to_title
+from idloom.functions.text import WS, once, text, to_title
 
 # Latin letter groups and the Cyrillic letter each stands for, the first that fits counts.
 PAIRS = """

@@ -6,7 +6,7 @@ import io
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +74,54 @@ def contrast_stretch(gray: DataFrame, strength: float = 1.0) -> DataFrame:
     return gray.join(ends, "image_id").select("image_id", "y", "x", F.when(F.col("hi") - F.col("lo") < 10, F.col("gray")).otherwise(out).cast("int").alias("gray"))
 
 
+# Stencils over pixel tables (image_id, y, x, gray) of whole images: dealt by image once, all windows then sort within it.
+
+
+def _level(c: Column) -> Column:
+    return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(c + 0.5))).cast("int")
+
+
+def _along(axis: str) -> tuple[Window, Window]:
+    """A window over the pixels of each line along axis, and the same over the whole line."""
+    line = Window.partitionBy("image_id", "y" if axis == "x" else "x").orderBy(axis)
+    return line, line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def gaussian_pixels(pixels: DataFrame, source: str = "gray", out: str = "blurred") -> DataFrame:
+    """pixels with `out`, the 5-tap blur of `source`: along rows, then columns, rounded after each; edges repeat."""
+    df = pixels.repartition("image_id")
+    for axis, value, name in (("x", source, "_row"), ("y", "_row", out)):
+        line, whole = _along(axis)
+        first, last = F.first(value).over(whole), F.last(value).over(whole)
+        taps = [F.coalesce(F.lag(value, 2).over(line), first), F.coalesce(F.lag(value, 1).over(line), first), F.col(value), F.coalesce(F.lead(value, 1).over(line), last), F.coalesce(F.lead(value, 2).over(line), last)]
+        df = df.withColumn(name, _level((taps[0] + 4 * taps[1] + 6 * taps[2] + 4 * taps[3] + taps[4]) / 16))
+    return df.drop("_row")
+
+
+def unsharp_pixels(pixels: DataFrame, amount: float = SHARPEN, out: str = "sharpened") -> DataFrame:
+    """pixels with `out`: gray and its difference to the blur, times amount."""
+    blurred = gaussian_pixels(pixels, out="_blurred")
+    return blurred.withColumn(out, _level(F.col("gray") + amount * (F.col("gray") - F.col("_blurred")))).drop("_blurred")
+
+
+def adaptive_threshold_pixels(pixels: DataFrame, source: str = "gray", out: str = "ink", block: int = BLOCK, offset: float = OFFSET) -> DataFrame:
+    """pixels with `out`: 0 where source is more than offset below the mean of the block around it, else 255.
+
+    The block's sum is taken from prefix sums along rows, then columns: the work for a pixel does not depend on the block. At
+    the edges blocks, and so their areas, are smaller.
+    """
+    half = block // 2
+    df = pixels.repartition("image_id").withColumns({"_s": F.col(source).cast("long"), "_n": F.lit(1).cast("long")})
+    for axis in ("x", "y"):
+        line, whole = _along(axis)
+        upto = line.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"{c}p": F.sum(c).over(upto) for c in ("_s", "_n")})
+        end = lambda c: F.coalesce(F.lead(c, half).over(line), F.last(c).over(whole))  # noqa: B023, E731
+        begin = lambda c: F.coalesce(F.lag(c, half + 1).over(line), F.lit(0))  # noqa: B023, E731
+        df = df.withColumns({c: end(f"{c}p") - begin(f"{c}p") for c in ("_s", "_n")}).drop("_sp", "_np")
+    return df.withColumn(out, F.when(F.col(source) < F.col("_s") / F.col("_n") - offset, 0).otherwise(255)).drop("_s", "_n")
+
+
 # Kernels over one image as a uint8 array (h, w).
 
 
@@ -173,22 +221,52 @@ def letterbox_tensor(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
 
 
 KERNELS: dict[str, Callable[..., np.ndarray]] = {"stretch": stretch, "gaussian5": gaussian5, "unsharp": unsharp, "adaptive_threshold": adaptive_threshold, "preprocess_full": preprocess_full, "preprocess_mrz": preprocess_mrz, "field_tensor": field_tensor, "bottom_strip": bottom_strip, "strip_app": strip_app}
+#: Kernels that glare changes.
+BY_LEVEL = ("preprocess_full", "preprocess_mrz")
+
+
+_IMAGE = "w int, h int, gray binary"
+
+
+def apply_kernels(images: DataFrame, kernels: list[str]) -> DataFrame:
+    """image_id, kernel, w, h, gray: each of the images(image_id, w, h, gray binary[, level]) after each kernel, in one pass.
 
+    Kernels that depend on glare take the image's level, or none. One image at a time, without a shuffle.
+    """
+    prepare(images.sparkSession)
+    named = [c for c in ("image_id", "w", "h", "gray", "level") if c in images.columns]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["gray"], np.uint8).reshape(row["h"], row["w"])
+                made = [KERNELS[k](image, row.get("level") or "none") if k in BY_LEVEL else KERNELS[k](image) for k in kernels]
+                yield pa.RecordBatch.from_pydict({"image_id": [row["image_id"]] * len(made), "kernel": kernels, "w": [m.shape[1] for m in made], "h": [m.shape[0] for m in made], "gray": [m.tobytes() for m in made]}, schema=kept)
+
+    kept = pa.schema([("image_id", pa.int64()), ("kernel", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("gray", pa.binary())])
+    return images.select(*named).mapInArrow(run, f"image_id bigint, kernel string, {_IMAGE}")
 
-def apply_kernel(images: DataFrame, kernel: str, with_level: bool = False) -> DataFrame:
-    """images(image_id, w, h, gray binary[, level]) after a kernel, one image at a time, without a shuffle."""
+
+def pixels_of(images: DataFrame, *by: str) -> DataFrame:
+    """image_id, the columns `by`, y, x, gray: a row for each pixel of images(image_id, w, h, gray binary)."""
     prepare(images.sparkSession)
+    kept = ["image_id", *by]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (w, h, gray) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("w", "h", "gray")), strict=True)):
+                at = np.arange(w * h, dtype=np.int32)
+                own = [batch.column(c).take(pa.array(np.full(w * h, i))) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at // max(1, w)), pa.array(at % max(1, w)), pa.array(np.frombuffer(gray, np.uint8).astype(np.int32))], names=[*kept, "y", "x", "gray"])
+
+    schema = ", ".join(f"{c} {dict(images.dtypes)[c]}" for c in kept)
+    return images.select(*kept, "w", "h", "gray").mapInArrow(run, f"{schema}, y int, x int, gray int")
 
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                image = np.frombuffer(r.gray, np.uint8).reshape(r.h, r.w)
-                out = KERNELS[kernel](image, r.level) if with_level else KERNELS[kernel](image)
-                rows.append((r.image_id, out.shape[1], out.shape[0], out.tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "w", "h", "gray"])
 
-    return images.mapInPandas(run, "image_id bigint, w int, h int, gray binary")
+def images_of(pixels: DataFrame, column: str = "gray") -> DataFrame:
+    """image_id, w, h, gray binary: the inverse of pixels_of for whole images."""
+    every = pixels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", F.col(column).cast("int").alias("v")))).alias("p"))
+    return every.select("image_id", "w", "h", F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")).alias("gray"))
 
 
 def decoded(content: bytes) -> np.ndarray:

@@ -414,3 +414,59 @@ r AS (SELECT f.scan_id, {", ".join(f"{_FILLED(p)} AS {p}" for p in ("surname", "
   FROM (SELECT *, scan_id % 17 = 0 AS model FROM fio) f JOIN born USING (scan_id) LEFT JOIN z ON z.scan_id = f.scan_id)
 SELECT *, CASE WHEN surname || name <> '' AND mrz_found THEN 'done' ELSE 'warn' END AS status FROM r
 """
+
+# Kernels on images of 64 vectors: pixels as rows, neighbours by window frames, resampling by joins.
+_ROUND = lambda x: f"cast(least(255, greatest(0, floor({x} + 0.5))) AS int)"
+_RGB = """
+u AS (SELECT vec_id // 64 AS image_id, vec_id % 64 AS y, generate_subscripts(embedding, 1) - 1 AS x, unnest(embedding)::double AS e FROM embeddings),
+v AS (SELECT image_id, y, x, cast(least(255, greatest(0, floor(40 + (image_id % 4) * 45 + 500 * e))) AS int) AS v FROM u),
+rgb AS MATERIALIZED (SELECT image_id, y, x, v AS r, (v * 3 + x * 4) // 4 AS g, 255 - v AS b, 0.299::double * v + 0.587::double * ((v * 3 + x * 4) // 4) + 0.114::double * (255 - v) AS l FROM v)"""
+
+
+def _blur(name: str, source: str, column: str) -> str:
+    """CTEs that end in {name}(image_id, y, x, gray): the 5-tap blur; window frames are cut at the edges, so the edge's weight is added."""
+    def one(out: str, table: str, value: str, line: str, axis: str) -> str:
+        window = f"(PARTITION BY image_id, {line} ORDER BY {axis}"
+        part = lambda k: f"coalesce({'lag' if k < 0 else 'lead'}({value}, {abs(k)}) OVER {window}), {'first' if k < 0 else 'last'}_value({value}) OVER {window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+        return f"{out} AS MATERIALIZED (SELECT image_id, y, x, {_ROUND(f'(({part(-2)} + 4 * {part(-1)} + 6 * {value} + 4 * {part(1)} + {part(2)}) / 16.0::double)')} AS gray FROM {table})"
+    return one(f"{name}_rows", source, column, "y", "x") + ",\n" + one(name, f"{name}_rows", "gray", "x", "y")
+
+
+def _ink(name: str, source: str, offset: int) -> str:
+    box = lambda value, line, axis: f"sum({value}) OVER (PARTITION BY image_id, {line} ORDER BY {axis} RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)"
+    return f"""{name}_rows AS (SELECT image_id, y, x, gray, {box("gray", "y", "x")} AS s, {box("1", "y", "x")} AS n FROM {source}),
+{name} AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN gray < {box("s", "x", "y")}::double / ({box("n", "x", "y")})::double - {offset} THEN 0 ELSE 255 END AS gray FROM {name}_rows)"""
+
+
+def _sharp(name: str, blurred: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT g.image_id, g.y, g.x, {_ROUND('g.gray + 0.35::double * (g.gray - s.gray)')} AS gray FROM gray g JOIN {blurred} s USING (image_id, y, x))"
+
+
+def _resized(name: str, source: str, size: str) -> str:
+    """CTEs that end in {name}(image_id, y, x, gray): source resampled to size(image_id, h, w, nh, nw), pixel centres aligned."""
+    axis = lambda a, n, m: f"SELECT image_id, i AS {a}, least(greatest((i + 0.5::double) * {m} / {n} - 0.5::double, 0), {m} - 1) AS p FROM {size}, unnest(range({n})) t(i)"
+    return f"""{name}_y AS (SELECT *, cast(floor(p) AS bigint) AS p0, p - floor(p) AS f FROM ({axis("y", "nh", "h")})),
+{name}_x AS (SELECT *, cast(floor(p) AS bigint) AS p0, p - floor(p) AS f FROM ({axis("x", "nw", "w")})),
+{name} AS MATERIALIZED (SELECT a.image_id, a.y, b.x, {_ROUND("(q00.gray * (1 - b.f) + q01.gray * b.f) * (1 - a.f) + (q10.gray * (1 - b.f) + q11.gray * b.f) * a.f")} AS gray
+  FROM {name}_y a JOIN {name}_x b USING (image_id) JOIN {size} z USING (image_id)
+  {" ".join(f"JOIN {source} q{i}{j} ON q{i}{j}.image_id = a.image_id AND q{i}{j}.y = least(a.p0 + {i}, z.h - 1) AND q{i}{j}.x = least(b.p0 + {j}, z.w - 1)" for i in (0, 1) for j in (0, 1))})"""
+
+
+_ENDS = lambda name, source: f"{name}_ends AS (SELECT image_id, min(gray) AS lo, max(gray) AS hi FROM {source} GROUP BY 1), {name} AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN hi - lo < 10 THEN gray ELSE cast(floor((gray - lo)::double / (hi - lo) * 255 + 0.5) AS int) END AS gray FROM {source} JOIN {name}_ends USING (image_id))"
+_GRAY = "gray AS MATERIALIZED (SELECT image_id, y, x, cast(floor(l + 0.5) AS int) AS gray FROM rgb), dims AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM gray GROUP BY 1)"
+_STRIPPED = lambda first: f"SELECT image_id, y - ({first}) AS y, x, gray FROM gray JOIN dims USING (image_id) WHERE y >= {first}"
+_KERNELS_SQL = f"""
+WITH {_RGB}, {_GRAY}, {_blur("gaussian5", "gray", "gray")}, {_sharp("unsharp", "gaussian5")}, {_ENDS("stretch", "gray")}, {_ink("adaptive_threshold", "gray", 10)},
+{_blur("soft", "unsharp", "gray")}, {_ink("preprocess_full", "soft", 10)},
+bottom_strip AS MATERIALIZED ({_STRIPPED("h - cast(floor(h * 0.35::double + 0.5) AS bigint)")}), strip_app AS ({_STRIPPED("cast(floor(h * 0.78::double + 0.5) AS bigint)")}),
+{_ENDS("strip_wide", "bottom_strip")}, {_blur("strip_soft", "strip_wide", "gray")},
+strip_size AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w, 3 * (max(y) + 1) AS nh, 3 * (max(x) + 1) AS nw FROM strip_soft GROUP BY 1), {_resized("preprocess_mrz", "strip_soft", "strip_size")},
+first_size AS (SELECT image_id, h, w, 31 AS nh, cast(floor(w * (31::double / h)) AS bigint) AS nw FROM dims),
+crop_size AS (SELECT image_id, h, w, greatest(1, CASE WHEN nw > 200 THEN cast(floor(h * (200::double / w)) AS bigint) ELSE nh END) AS nh, greatest(1, least(nw, 200)) AS nw FROM first_size),
+{_resized("crop", "gray", "crop_size")},
+field_tensor AS (SELECT d.image_id, y.i AS y, x.i AS x, coalesce(c.gray, k.gray) AS gray FROM dims d, unnest(range(31)) y(i), unnest(range(200)) x(i) LEFT JOIN crop c ON c.image_id = d.image_id AND c.y = y.i AND c.x = x.i JOIN gray k ON k.image_id = d.image_id AND k.y = d.h - 1 AND k.x = d.w - 1)
+"""
+_EACH = ("stretch", "gaussian5", "unsharp", "adaptive_threshold", "preprocess_full", "preprocess_mrz", "field_tensor", "bottom_strip", "strip_app")
+ORACLE_SQL["kernels"] = f"""{_KERNELS_SQL}, every AS ({" UNION ALL ".join(f"SELECT '{k}' AS kernel, image_id, y, x, gray FROM {k}" for k in _EACH)})
+SELECT image_id, kernel, cast(max(x) + 1 AS int) AS w, cast(max(y) + 1 AS int) AS h, cast(sum(gray) AS bigint) AS total, cast(sum(gray * (y * 1000 + x + 1)) AS bigint) AS placed FROM every GROUP BY ALL"""
+ORACLE_SQL["pixel_kernels"] = f"""{_KERNELS_SQL} SELECT image_id, y, x, b.gray AS blurred, s.gray AS sharpened, i.gray AS ink FROM gaussian5 b JOIN unsharp s USING (image_id, y, x) JOIN preprocess_full i USING (image_id, y, x)"""

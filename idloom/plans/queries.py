@@ -169,16 +169,35 @@ def q_contrast(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("image_id").agg(F.sum("gray").alias("total"), F.min("gray").alias("lo"), F.max("gray").alias("hi"))
 
 
+#: Vectors that are the lines of one image.
+LINES = 64
+
+
+def _scan_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Colour images of 64 vectors each, the last one lower, some of them bright or dark."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id"), F.floor(F.col("vec_id") / LINES).alias("image_id"), F.posexplode("embedding").alias("x", "v"))
+    shade = (F.col("image_id") % 4) * 45
+    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(40 + shade + 500 * F.col("v").cast("double")))).cast("int")
+    return e.select("image_id", (F.col("vec_id") % LINES).cast("int").alias("y"), "x", v.alias("r"), ((v * 3 + F.col("x") * 4) / 4).cast("int").alias("g"), (255 - v).alias("b"))
+
+
+def _checked(made: DataFrame) -> DataFrame:
+    """Two sums over each image, one by place."""
+    place = F.col("y").cast("long") * 1000 + F.col("x") + 1
+    return images.pixels_of(made, "kernel").groupBy("image_id", "kernel").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"), F.sum(F.col("gray").cast("long")).alias("total"), F.sum(F.col("gray") * place).alias("placed"))
+
+
 def q_kernels(spark: SparkSession, d: str) -> DataFrame:
-    """Every whole-image kernel over 8 x 8 images made of the vectors."""
-    gray = images.gray_pixels(_pixels(spark, d)).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.expr("y * 8 + x").alias("i"), "gray"))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["gray"]), 2, "0")), "")
-    whole = gray.select("image_id", F.lit(8).alias("w"), F.lit(8).alias("h"), F.unhex(hexed).alias("gray"))
-    out = None
-    for k in images.KERNELS:
-        part = images.apply_kernel(whole, k).select("image_id", F.lit(k).alias("kernel"), "w", "h", F.crc32("gray").alias("crc"))
-        out = part if out is None else out.union(part)
-    return out
+    """Every whole-image kernel over images made of the vectors."""
+    gray = images.images_of(images.gray_pixels(_scan_pixels(spark, d)))
+    return _checked(images.apply_kernels(gray, list(images.KERNELS)))
+
+
+def q_pixel_kernels(spark: SparkSession, d: str) -> DataFrame:
+    """Blur, sharpening and ink of the same images as pixel tables."""
+    gray = images.unsharp_pixels(images.gaussian_pixels(images.gray_pixels(_scan_pixels(spark, d))))
+    inked = images.adaptive_threshold_pixels(images.gaussian_pixels(gray, "sharpened", "soft"), "soft", "ink")
+    return inked.select("image_id", "y", "x", "blurred", "sharpened", "ink")
 
 
 def q_fit_max_dim(spark: SparkSession, d: str) -> DataFrame:
