@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from idloom.session import prepare
 
@@ -198,28 +200,48 @@ def preprocess_mrz(gray: np.ndarray, level: str = "none") -> np.ndarray:
     return resize(g, g.shape[0] * UPSCALE, g.shape[1] * UPSCALE)
 
 
-def field_tensor(gray: np.ndarray, corner: int | None = None) -> np.ndarray:
-    """A crop fitted into 31 x 200, padded on the right and below with the colour of its last pixel."""
-    h, w = gray.shape
+def field_tensor(image: np.ndarray) -> np.ndarray:
+    """A crop, gray or in colour, fitted into 31 x 200 as gray, padded on the right and below with the luma of its last pixel."""
+    h, w = image.shape[:2]
     nh, nw = CROP_H, int(w * (CROP_H / h))
     if nw > CROP_W:
         nw, nh = CROP_W, int(h * (CROP_W / w))
-    out = np.full((CROP_H, CROP_W), gray[-1, -1] if corner is None else corner, np.uint8)
-    out[: max(1, nh), : max(1, nw)] = resize(gray, max(1, nh), max(1, nw))
+    nh, nw = max(1, nh), max(1, nw)
+    last = image[-1:, -1:]
+    out = np.full((CROP_H, CROP_W), (to_gray(last) if image.ndim == 3 else last)[0, 0], np.uint8)
+    small = resize_colours(image, nh, nw)
+    out[:nh, :nw] = to_gray(small) if image.ndim == 3 else small
     return out
 
 
+def resize_colours(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear, each channel by itself; an image of that size stays as it is."""
+    if image.shape[:2] == (h, w):
+        return image
+    return resize(image, h, w) if image.ndim == 2 else np.dstack([resize(image[:, :, c], h, w) for c in range(image.shape[2])])
+
+
 def letterbox_tensor(rgb: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """An image fitted into side x side in colour, centred on gray."""
     h, w = rgb.shape[:2]
     r = min(side / w, side / h)
     nw, nh = int(np.floor(w * r + 0.5)), int(np.floor(h * r + 0.5))
     left, top = int(np.floor((side - nw) / 2 - 0.1 + 0.5)), int(np.floor((side - nh) / 2 - 0.1 + 0.5))
     out = np.full((side, side, 3), PAD, np.uint8)
-    for c in range(3):
-        out[top : top + nh, left : left + nw, c] = resize(rgb[:, :, c], nh, nw)
+    out[top : top + nh, left : left + nw] = resize_colours(rgb, nh, nw)
     return out
 
 
+def glare_of(rgb: np.ndarray) -> tuple[float, float, str, str]:
+    """Hotspot ratio, mean brightness, level and feedback of an image; one without pixels is ok, of brightness 128."""
+    if not rgb.size:
+        return 0.0, 128.0, "none", "ok"
+    bright = rgb.astype(float) @ np.array(LUMA)
+    ratio, mean = float((bright >= HOTSPOT).mean()), float(bright.mean())
+    level = "strong" if ratio >= STRONG else "mild" if ratio >= MILD else "none"
+    return ratio, mean, level, f"glare_{level}" if level != "none" else "too_dark" if mean < DARK else "ok"
+
+
 KERNELS: dict[str, Callable[..., np.ndarray]] = {"stretch": stretch, "gaussian5": gaussian5, "unsharp": unsharp, "adaptive_threshold": adaptive_threshold, "preprocess_full": preprocess_full, "preprocess_mrz": preprocess_mrz, "field_tensor": field_tensor, "bottom_strip": bottom_strip, "strip_app": strip_app}
 #: Kernels that glare changes.
 BY_LEVEL = ("preprocess_full", "preprocess_mrz")
@@ -270,10 +292,120 @@ def images_of(pixels: DataFrame, column: str = "gray") -> DataFrame:
 
 
 def decoded(content: bytes) -> np.ndarray:
-    """A binary PPM or PGM file as an array; other formats come through Spark's own image source."""
+    """A binary PPM or PGM or an uncompressed BMP file as an array (h, w[, 3]), red first; other formats come through Spark's image source."""
+    if content[:2] == b"BM":
+        start = int.from_bytes(content[10:14], "little")
+        w, h = (int.from_bytes(content[k : k + 4], "little", signed=True) for k in (18, 22))
+        depth, packed = int.from_bytes(content[28:30], "little") // 8, int.from_bytes(content[30:34], "little")
+        if depth not in (3, 4) or packed:
+            raise ValueError("of BMP files only those of 24 and 32 bits without compression are read")
+        line = (w * depth + 3) // 4 * 4
+        rows = np.frombuffer(content, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * depth]
+        return (rows if h < 0 else rows[::-1]).reshape(abs(h), w, depth)[:, :, 2::-1]
     f = io.BytesIO(content)
     kind, size = f.readline().split()[0], f.readline().split()
     f.readline()
     w, h = map(int, size)
     data = np.frombuffer(f.read(), np.uint8)
     return data.reshape(h, w, 3) if kind == b"P6" else data.reshape(h, w)
+
+
+def rgb_of(image: dict) -> np.ndarray:
+    """The pixels (h, w, 3), red first, of a struct of Spark's image source, which holds gray, BGR or BGRA bytes."""
+    data = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+    return np.repeat(data, 3, axis=2) if image["nChannels"] == 1 else data[:, :, 2::-1]
+
+
+def _each(df: DataFrame, column: str, kept: list[str], make: Callable[[np.ndarray, dict], dict], schema: str) -> DataFrame:
+    """make(pixels, row) for each image struct of df, beside the columns `kept`: one image at a time, in batches bounded by bytes."""
+    prepare(df.sparkSession)
+    out = StructType([*df.select(*kept).schema.fields, *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[column] is not None:
+                    yield pa.RecordBatch.from_pylist([{c: row[c] for c in kept} | make(rgb_of(row[column]), row)], schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
+_PREPARED = "w int, h int, hotspot_ratio double, mean_brightness double, level string, feedback string, full binary, mrz_w int, mrz_h int, mrz binary"
+
+
+def prepare_images(images: DataFrame, column: str = "image", keep: list[str] | None = None, max_dim: int = MAX_DIM) -> DataFrame:
+    """The columns `keep` and w, h, glare, feedback, full and mrz of Spark's image structs, as read_images gives them.
+
+    A larger side is scaled to max_dim. Glare, measured in colour, decides how the gray page (full) and its bottom
+    strip (mrz, three times its size) are prepared for recognition. Null images are left out.
+    """
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        h, w = rgb.shape[:2]
+        k = min(1.0, max_dim / max(w, h, 1))
+        rgb = resize_colours(rgb, int(np.floor(h * k + 0.5)), int(np.floor(w * k + 0.5)))
+        ratio, mean, level, feedback = glare_of(rgb)
+        gray = to_gray(rgb)
+        full, mrz = preprocess_full(gray, level), preprocess_mrz(gray, level)
+        return {"w": gray.shape[1], "h": gray.shape[0], "hotspot_ratio": ratio, "mean_brightness": mean, "level": level, "feedback": feedback, "full": full.tobytes(), "mrz_w": mrz.shape[1], "mrz_h": mrz.shape[0], "mrz": mrz.tobytes()}
+
+    return _each(images, column, keep or [], make, _PREPARED)
+
+
+def letterbox_tensors(images: DataFrame, column: str = "image", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep`, tensor (floats 0 to 255 of 1 x 640 x 640 x 3: rows, columns, red green blue), r, dw, dh."""
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        h, w = rgb.shape[:2]
+        r = min(SIDE / w, SIDE / h)
+        nw, nh = np.floor(w * r + 0.5), np.floor(h * r + 0.5)
+        return {"tensor": letterbox_tensor(rgb).ravel().astype(np.float32), "r": r, "dw": float(SIDE - nw) / 2, "dh": float(SIDE - nh) / 2}
+
+    return _each(images, column, keep or [], make, "tensor array<float>, r double, dw double, dh double")
+
+
+def field_tensors(images: DataFrame, boxes: DataFrame, column: str = "image") -> DataFrame:
+    """image_id, field, tensor (floats 0 to 255 of 1 x 31 x 200 x 1) of the boxes(image_id, field, x1, y1, x2, y2) of images(image_id, image).
+
+    A box without area counts as one pixel; beyond the image there is none, so a box's part outside is black, as on a canvas.
+    """
+    crops = boxes.groupBy("image_id").agg(F.collect_list(F.struct("field", "x1", "y1", "x2", "y2")).alias("crops"))  # a field each
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        made = []
+        for b in row["crops"]:
+            x1, y1 = int(b["x1"]), int(b["y1"])
+            w, h = max(1, int(b["x2"]) - x1), max(1, int(b["y2"]) - y1)
+            crop = np.zeros((h, w, 3), np.uint8)
+            part = rgb[max(0, y1) : max(0, y1 + h), max(0, x1) : max(0, x1 + w)]
+            top, left = max(0, -y1), max(0, -x1)
+            crop[top : top + part.shape[0], left : left + part.shape[1]] = part
+            made.append({"field": b["field"], "tensor": field_tensor(crop).ravel().astype(np.float32)})
+        return {"made": made}
+
+    done = _each(images.join(crops, "image_id").select("image_id", column, "crops"), column, ["image_id"], make, "made array<struct<field:string,tensor:array<float>>>")
+    return done.select("image_id", F.inline("made"))
+
+
+def frame_feedback(files: DataFrame) -> DataFrame:
+    """session_id, ts, frame_id, feedback of image files (path, content) named session/milliseconds.ext: batch or stream.
+
+    Glare is measured at a quarter of the size. Files of other names are left out.
+    """
+    prepare(files.sparkSession)
+    name = lambda k: F.regexp_extract("path", r"/(\d+)/(\d+)\.\w+$", k)
+    named = files.where(name(1) != "").select(name(1).cast("long").alias("session_id"), name(2).cast("long").alias("frame_id"), "content")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for content in batch.column(2).to_pylist():
+                image = decoded(content)
+                rgb = image if image.ndim == 3 else np.repeat(image[:, :, None], 3, axis=2)
+                h, w = (max(1, int(np.floor(n / 4 + 0.5))) for n in rgb.shape[:2])
+                told.append(glare_of(resize_colours(rgb, h, w))[3] if rgb.size else "ok")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string())], names=["session_id", "frame_id", "feedback"])
+
+    told = named.mapInArrow(run, "session_id bigint, frame_id bigint, feedback string")
+    return told.select("session_id", F.timestamp_millis("frame_id").alias("ts"), "frame_id", "feedback")

@@ -419,8 +419,9 @@ SELECT *, CASE WHEN surname || name <> '' AND mrz_found THEN 'done' ELSE 'warn'
 _ROUND = lambda x: f"cast(least(255, greatest(0, floor({x} + 0.5))) AS int)"
 _RGB = """
 u AS (SELECT vec_id // 64 AS image_id, vec_id % 64 AS y, generate_subscripts(embedding, 1) - 1 AS x, unnest(embedding)::double AS e FROM embeddings),
-v AS (SELECT image_id, y, x, cast(least(255, greatest(0, floor(40 + (image_id % 4) * 45 + 500 * e))) AS int) AS v FROM u),
-rgb AS MATERIALIZED (SELECT image_id, y, x, v AS r, (v * 3 + x * 4) // 4 AS g, 255 - v AS b, 0.299::double * v + 0.587::double * ((v * 3 + x * 4) // 4) + 0.114::double * (255 - v) AS l FROM v)"""
+v AS (SELECT image_id, y, x, image_id % 5 > 2 AS flat, cast(least(255, greatest(0, floor([-20, 85, 130, 175, 122][image_id % 5 + 1] + 500 * e))) AS int) AS v FROM u),
+c AS (SELECT image_id, y, x, v AS r, CASE WHEN flat THEN v ELSE (v * 3 + x * 4) // 4 END AS g, CASE WHEN flat THEN v ELSE 255 - v END AS b FROM v),
+rgb AS MATERIALIZED (SELECT *, 0.299::double * r + 0.587::double * g + 0.114::double * b AS l FROM c)"""
 
 
 def _blur(name: str, source: str, column: str) -> str:
@@ -444,12 +445,12 @@ def _sharp(name: str, blurred: str) -> str:
 
 def _resized(name: str, source: str, size: str) -> str:
     """CTEs that end in {name}(image_id, y, x, gray): source resampled to size(image_id, h, w, nh, nw), pixel centres aligned."""
-    axis = lambda a, n, m: f"SELECT image_id, i AS {a}, least(greatest((i + 0.5::double) * {m} / {n} - 0.5::double, 0), {m} - 1) AS p FROM {size}, unnest(range({n})) t(i)"
-    return f"""{name}_y AS (SELECT *, cast(floor(p) AS bigint) AS p0, p - floor(p) AS f FROM ({axis("y", "nh", "h")})),
-{name}_x AS (SELECT *, cast(floor(p) AS bigint) AS p0, p - floor(p) AS f FROM ({axis("x", "nw", "w")})),
-{name} AS MATERIALIZED (SELECT a.image_id, a.y, b.x, {_ROUND("(q00.gray * (1 - b.f) + q01.gray * b.f) * (1 - a.f) + (q10.gray * (1 - b.f) + q11.gray * b.f) * a.f")} AS gray
-  FROM {name}_y a JOIN {name}_x b USING (image_id) JOIN {size} z USING (image_id)
-  {" ".join(f"JOIN {source} q{i}{j} ON q{i}{j}.image_id = a.image_id AND q{i}{j}.y = least(a.p0 + {i}, z.h - 1) AND q{i}{j}.x = least(b.p0 + {j}, z.w - 1)" for i in (0, 1) for j in (0, 1))})"""
+    axis = lambda a, n, m: f"SELECT image_id, i AS {a}, least(greatest((i + 0.5::double) * {m} / {n} - 0.5::double, 0), {m} - 1) AS p, {m} - 1 AS last FROM {size}, unnest(range({n})) t(i)"
+    placed = "*, cast(floor(p) AS bigint) AS p0, least(cast(floor(p) AS bigint) + 1, last) AS p1, p - floor(p) AS f"
+    return f"""{name}_y AS (SELECT {placed} FROM ({axis("y", "nh", "h")})), {name}_x AS (SELECT {placed} FROM ({axis("x", "nw", "w")})),
+{name}_grid AS MATERIALIZED (SELECT a.image_id, a.y, b.x, a.f AS fy, b.f AS fx, a.p0 AS y0, a.p1 AS y1, b.p0 AS x0, b.p1 AS x1 FROM {name}_y a JOIN {name}_x b USING (image_id)),
+{name}_list AS MATERIALIZED (SELECT image_id, max(x) + 1 AS w, list(gray ORDER BY y, x) AS g FROM {source} GROUP BY 1),
+{name} AS MATERIALIZED (SELECT image_id, y, x, {_ROUND("(g[y0 * w + x0 + 1] * (1 - fx) + g[y0 * w + x1 + 1] * fx) * (1 - fy) + (g[y1 * w + x0 + 1] * (1 - fx) + g[y1 * w + x1 + 1] * fx) * fy")} AS gray FROM {name}_grid JOIN {name}_list USING (image_id))"""
 
 
 _ENDS = lambda name, source: f"{name}_ends AS (SELECT image_id, min(gray) AS lo, max(gray) AS hi FROM {source} GROUP BY 1), {name} AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN hi - lo < 10 THEN gray ELSE cast(floor((gray - lo)::double / (hi - lo) * 255 + 0.5) AS int) END AS gray FROM {source} JOIN {name}_ends USING (image_id))"
@@ -470,3 +471,15 @@ _EACH = ("stretch", "gaussian5", "unsharp", "adaptive_threshold", "preprocess_fu
 ORACLE_SQL["kernels"] = f"""{_KERNELS_SQL}, every AS ({" UNION ALL ".join(f"SELECT '{k}' AS kernel, image_id, y, x, gray FROM {k}" for k in _EACH)})
 SELECT image_id, kernel, cast(max(x) + 1 AS int) AS w, cast(max(y) + 1 AS int) AS h, cast(sum(gray) AS bigint) AS total, cast(sum(gray * (y * 1000 + x + 1)) AS bigint) AS placed FROM every GROUP BY ALL"""
 ORACLE_SQL["pixel_kernels"] = f"""{_KERNELS_SQL} SELECT image_id, y, x, b.gray AS blurred, s.gray AS sharpened, i.gray AS ink FROM gaussian5 b JOIN unsharp s USING (image_id, y, x) JOIN preprocess_full i USING (image_id, y, x)"""
+ORACLE_SQL["prepared_images"] = f"""{_KERNELS_SQL},
+m AS (SELECT image_id, avg(CASE WHEN l >= 245 THEN 1.0::double ELSE 0 END) AS hot, avg(l) AS mean FROM rgb GROUP BY 1),
+told AS (SELECT *, CASE WHEN hot >= 0.04 THEN 'strong' WHEN hot >= 0.01 THEN 'mild' ELSE 'none' END AS level FROM m),
+{_ink("mild", "soft", 7)},
+pages AS (SELECT image_id, y, x, CASE level WHEN 'strong' THEN g.gray WHEN 'mild' THEN m.gray ELSE f.gray END AS gray FROM told JOIN gray g USING (image_id) JOIN mild m USING (image_id, y, x) JOIN preprocess_full f USING (image_id, y, x)),
+strips AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN level <> 'strong' THEN s.gray WHEN hi - lo < 10 THEN b.gray ELSE {_ROUND("b.gray * (1 - 0.6::double) + floor((b.gray - lo)::double / (hi - lo) * 255 + 0.5) * 0.6::double")} END AS gray
+  FROM told JOIN bottom_strip b USING (image_id) JOIN strip_soft s USING (image_id, y, x) JOIN strip_wide_ends USING (image_id)),
+{_resized("zones", "strips", "strip_size")},
+made AS (SELECT 'full' AS kernel, * FROM pages UNION ALL SELECT 'mrz', * FROM zones)
+SELECT image_id, round(any_value(hot) + 1e-9, 6) AS hotspot_ratio, round(any_value(mean) + 1e-9, 6) AS mean_brightness, any_value(level) AS level,
+  any_value(CASE WHEN level <> 'none' THEN 'glare_' || level WHEN mean < 55 THEN 'too_dark' ELSE 'ok' END) AS feedback,
+  kernel, cast(max(x) + 1 AS int) AS w, cast(max(y) + 1 AS int) AS h, cast(sum(gray) AS bigint) AS total, cast(sum(gray * (y * 1000 + x + 1)) AS bigint) AS placed FROM made JOIN told USING (image_id) GROUP BY image_id, kernel"""

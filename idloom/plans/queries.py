@@ -176,9 +176,19 @@ LINES = 64
 def _scan_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Colour images of 64 vectors each, the last one lower, some of them bright or dark."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id"), F.floor(F.col("vec_id") / LINES).alias("image_id"), F.posexplode("embedding").alias("x", "v"))
-    shade = (F.col("image_id") % 4) * 45
-    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(40 + shade + 500 * F.col("v").cast("double")))).cast("int")
-    return e.select("image_id", (F.col("vec_id") % LINES).cast("int").alias("y"), "x", v.alias("r"), ((v * 3 + F.col("x") * 4) / 4).cast("int").alias("g"), (255 - v).alias("b"))
+    kind = F.col("image_id") % 5  # dark, two without glare, strong and mild
+    base = F.get(F.array(*map(F.lit, (-20, 85, 130, 175, 122))), kind.cast("int"))
+    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(base + 500 * F.col("v").cast("double")))).cast("int")
+    g, b = ((v * 3 + F.col("x") * 4) / 4).cast("int"), 255 - v
+    return e.select("image_id", (F.col("vec_id") % LINES).cast("int").alias("y"), "x", v.alias("r"), F.when(kind > 2, v).otherwise(g).alias("g"), F.when(kind > 2, v).otherwise(b).alias("b"))
+
+
+def _scan_images(spark: SparkSession, d: str) -> DataFrame:
+    """The same as the structs that Spark's image source gives: blue, green and red bytes."""
+    p = _scan_pixels(spark, d)
+    every = p.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", "b", "g", "r"))).alias("p"))
+    hexed = F.array_join(F.transform("p", lambda s: F.concat(*(F.lpad(F.hex(s[c]), 2, "0") for c in "bgr"))), "")
+    return every.select("image_id", F.struct(F.lit("").alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(hexed).alias("data")).alias("image"))
 
 
 def _checked(made: DataFrame) -> DataFrame:
@@ -200,6 +210,15 @@ def q_pixel_kernels(spark: SparkSession, d: str) -> DataFrame:
     return inked.select("image_id", "y", "x", "blurred", "sharpened", "ink")
 
 
+def q_prepared_images(spark: SparkSession, d: str) -> DataFrame:
+    """From image structs to glare, feedback and the images for recognition."""
+    made = images.prepare_images(_scan_images(spark, d), keep=["image_id"])
+    pages = made.select("image_id", F.lit("full").alias("kernel"), "w", "h", F.col("full").alias("gray"))
+    zones = made.select("image_id", F.lit("mrz").alias("kernel"), F.col("mrz_w").alias("w"), F.col("mrz_h").alias("h"), F.col("mrz").alias("gray"))
+    told = made.select("image_id", F.round(F.col("hotspot_ratio") + 1e-9, 6).alias("hotspot_ratio"), F.round(F.col("mean_brightness") + 1e-9, 6).alias("mean_brightness"), "level", "feedback")
+    return told.join(_checked(pages.union(zones)), "image_id")
+
+
 def q_fit_max_dim(spark: SparkSession, d: str) -> DataFrame:
     parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 4000 + 10).cast("int").alias("w"), (F.col("p_size") * 97).cast("int").alias("h"))
     return D.letterbox(images.fit_max_dim(parts)).select("image_id", "w", "h", F.round("r", 9).alias("r"), "dw", "dh")

@@ -9,12 +9,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Spark puts into one Arrow batch, unless the session says otherwise: rows may hold images or texts of any size.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package: by path on one machine, as an added archive on several."""
+    """Let Python workers of this session import this package, by path on one machine, as an added archive on several, and hand
+    them small Arrow batches."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, ARROW_BYTES)
     sc = spark.sparkContext
     root = str(PACKAGE.parent)
     env = sc.environment

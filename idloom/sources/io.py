@@ -20,6 +20,12 @@ def read_scans(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return raw.select("scan_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("full_text", "mrz_text")))
 
 
+def read_image_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """Image files as they arrive in folders under path: path, content (and Spark's other columns of binary files)."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
+
+
 def read_images(spark: SparkSession, path: str, fmt: str = "image") -> DataFrame:
     """Spark's image structs, or with fmt binaryFile the files' bytes."""
     return spark.read.format(fmt).load(path)
