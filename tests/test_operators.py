@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from idloom.operators import detections, fio, fuzzy, images, roster
+from idloom.operators import detections, fio, fuzzy, roster
 from idloom.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -66,18 +66,6 @@ def test_suppression_keeps_the_best_box(spark):
     assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in detections.best_box(best).select("image_id", "field", "conf").collect()}
 
 
-def test_kernels():
-    import numpy as np
-
-    flat = np.full((40, 60), 100, np.uint8)
-    assert (images.gaussian5(flat) == 100).all() and (images.stretch(flat) == 100).all() and (images.adaptive_threshold(flat) == 255).all()
-    ramp = np.tile(np.arange(60, dtype=np.uint8), (40, 1))
-    assert images.stretch(ramp).max() == 255 and images.bottom_strip(ramp).shape == (14, 60) and images.strip_app(ramp).shape == (9, 60)
-    assert images.preprocess_mrz(ramp).shape == (42, 180) and images.field_tensor(ramp).shape == (31, 200)
-    assert images.letterbox_tensor(np.dstack([ramp] * 3)).shape == (640, 640, 3)
-    assert images.to_gray(np.array([[[255, 255, 255]]], np.uint8))[0, 0] == 255
-
-
 def test_roster_has_two_rows(spark):
     schema = "id bigint, arrival_date string, surname string, name string, patronymic string, phone string, specialty string, custom_specialty string, ocr_status string"
     one = spark.createDataFrame([(1, "2024-01-02", "A", None, None, None, "__custom__", "x", "done")], schema)
@@ -97,9 +85,6 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     table = spark.createDataFrame([("05.03.2024", 1), ("", 1)], "arrival_date string, no int")
     io.write_roster(table, str(tmp_path / "roster"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "roster")).select("arrival", "no").collect()} == {("05.03.2024", 1), ("undated", 1)}
-    (tmp_path / "image.ppm").write_bytes(b"P6\n2 1\n255\n" + bytes([255, 0, 0, 10, 20, 30]))
-    content = io.read_images(spark, str(tmp_path / "image.ppm"), "binaryFile").first().content
-    assert images.decoded(bytes(content)).tolist() == [[[255, 0, 0], [10, 20, 30]]]
 
 
 def test_suppression_equals_brute_force(spark):
@@ -126,6 +111,34 @@ def test_suppression_equals_brute_force(spark):
     assert {(r.image_id, r.anchor_idx, names[r.field]) for r in got} == kept
 
 
+def test_page_fields_try_each_pattern_once(spark):
+    from idloom.plans import queries
+
+    plan = queries.q_visual_passport(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 8 and plan.count("regexp_extract_all(") == 2 and plan.count("regexp_extract(") == 1
+
+
+def test_names_need_no_python(spark):
+    from idloom.plans import queries
+
+    found = queries.q_fio(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    anchors = [a.split(":") for r in found.collect() for a in r.anchors.split()]
+    assert {a[2] for a in anchors if len(a) == 4} >= {"0", "1", "99"}
+
+
+def test_frequent_words_beyond_the_broadcast(spark, monkeypatch):
+    """The way that shuffles matches, and broadcasts those of frequent words only, gives the same names."""
+    from idloom.plans import fixtures
+
+    scans, names = fixtures.table(spark, SF, "SCANS"), fixtures.table(spark, SF, "NAMES")
+    few = sorted(map(repr, fio.extract_fio(scans, names).collect()))
+    monkeypatch.setattr(fio, "MATCH_BYTES", 0)
+    monkeypatch.setattr(fio, "FREQUENT", 5)
+    assert sorted(map(repr, fio.extract_fio(scans, names).collect())) == few
+
+
 def test_mrz_plan_reads_lines_once(spark):
     from idloom.plans import queries
 
@@ -149,6 +162,7 @@ def test_queries_match_sql(spark):
     from idloom.plans.queries import QUERIES
 
     db = duckdb.connect()
+    db.execute("set temp_directory = ''")
     for t in ("customer", "part", "events", "embeddings", "documents"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
