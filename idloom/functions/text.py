@@ -76,7 +76,7 @@ def cyr_words_visual(c: Column) -> Column:
 
 
 def latin_words(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(c, F.lit(r"[A-Z\-]{3,}"), F.lit(0)), lambda w: (F.length(w) <= 30) & ~is_latin_label(w))
+    return F.filter(F.regexp_extract_all(c, F.lit(r"[A-Z\-]{3,}"), F.lit(0)), lambda w: (F.length(w) <= 30) & ~w.rlike("|".join(LATIN_LABELS)))  # capitals: no need to fold them
 
 
 def whole(word: str, ascii_boundaries: bool = False) -> str:

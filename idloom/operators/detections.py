@@ -34,6 +34,27 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
+#: Pixels of a side of the cells in which overlapping boxes meet.
+CELL = 64.0
+
+
+def overlaps(boxes: DataFrame, least: float = OVERLAP, cell: float = CELL) -> DataFrame:
+    """image_id, cls, first, second, iou of the boxes(image_id, cls, anchor_idx, x1, y1, x2, y2) that overlap at least so far.
+
+    Boxes meet in the cells of a grid that they touch, and a pair counts in the one cell that holds the upper left corner of what
+    they share: boxes far apart are never compared, and no pair is compared twice.
+    """
+    if least <= 0:
+        raise ValueError("boxes that share nothing are not looked for")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    placed = boxes.where("x2 > x1 and y2 > y1").select("image_id", "cls", F.struct("anchor_idx", "x1", "y1", "x2", "y2").alias("box"), "x1", "x2", "y1", "y2").withColumn("cx", cells("x1", "x2")).withColumn("cy", cells("y1", "y2"))
+    key = ["image_id", "cls", "cx", "cy"]
+    a, b = (placed.select(*key, F.col("box").alias(n)) for n in "ab")
+    home = lambda c, axis: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell) == F.col(axis)
+    pairs = a.join(b, key).where((F.col("a.anchor_idx") < F.col("b.anchor_idx")) & home("x1", "cx") & home("y1", "cy")).withColumn("iou", iou("a", "b"))
+    return pairs.where(F.col("iou") >= least).select("image_id", "cls", F.col("a.anchor_idx").alias("first"), F.col("b.anchor_idx").alias("second"), "iou")
+
+
 def _kept(boxes: pd.DataFrame) -> pd.DataFrame:
     boxes = boxes.sort_values(["score", "anchor_idx"], ascending=[False, True], kind="stable")
     x1, y1, x2, y2 = (boxes[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))

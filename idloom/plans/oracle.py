@@ -228,16 +228,6 @@ o AS (SELECT session_id, frame_id, coalesce(surname, '') || '|' || coalesce(name
   FROM g JOIN z USING (scan_id) WHERE shot = 1 AND told <> 'glare_strong' AND confidence IS NOT NULL), {_VOTE}"""
 
 ORACLE_SQL["staff_count"] = f"SELECT count(*) AS staff FROM ({ORACLE_SQL['staff']})"
-_DASH = lambda c: f"coalesce(nullif({c}, ''), '—')"
-ORACLE_SQL["diagnostic"] = f"""
-WITH z AS ({ORACLE_SQL["parse_mrz_app"]}), m AS ({X.MRZ}), s AS ({X.SCANS})
-SELECT scan_id, concat_ws(chr(10), 'strategy: mrz', {", ".join(f"'{k}: ' || {_DASH(k)}" for k in ("surname", "name", "patronymic", "dob"))},
-  'confidence: ' || CASE WHEN valid THEN '100' ELSE '0' END || '%', 'mrz: ' || CASE WHEN valid THEN 'found' ELSE 'not found' END,
-  'candidates: ' || coalesce(nullif(array_to_string(list_filter([surname, name], lambda x: x <> ''), ', '), ''), '(none)'),
-  'mrz text: ' || coalesce(nullif(trim(mrz_text), ''), '(empty)'), 'text: ' || coalesce(nullif(substr(trim(coalesce(full_text, '')), 1, 1000), ''), '(empty)')) AS report
-FROM z JOIN m USING (scan_id) LEFT JOIN s USING (scan_id)
-"""
-
 # Fields of pages: each line beside its neighbours; of the lines at labels, the first that gives a value.
 _WHOLE = "[А-ЯЁ\\-]"
 
@@ -483,3 +473,25 @@ made AS (SELECT 'full' AS kernel, * FROM pages UNION ALL SELECT 'mrz', * FROM zo
 SELECT image_id, round(any_value(hot) + 1e-9, 6) AS hotspot_ratio, round(any_value(mean) + 1e-9, 6) AS mean_brightness, any_value(level) AS level,
   any_value(CASE WHEN level <> 'none' THEN 'glare_' || level WHEN mean < 55 THEN 'too_dark' ELSE 'ok' END) AS feedback,
   kernel, cast(max(x) + 1 AS int) AS w, cast(max(y) + 1 AS int) AS h, cast(sum(gray) AS bigint) AS total, cast(sum(gray * (y * 1000 + x + 1)) AS bigint) AS placed FROM made JOIN told USING (image_id) GROUP BY image_id, kernel"""
+
+ORACLE_SQL["overlaps"] = f"""
+WITH u AS (SELECT vec_id, k, embedding[4 * k + 1]::double AS a, embedding[4 * k + 2]::double AS b, embedding[4 * k + 3]::double AS c, embedding[4 * k + 4]::double AS d FROM embeddings, unnest(range(16)) t(k)),
+best AS MATERIALIZED (SELECT vec_id // 125 AS image_id, cast(vec_id * 16 + k AS int) AS anchor_idx, 1 AS cls, 320 + 900 * a AS x1, 320 + 900 * b AS y1, 340 + 900 * a + 90 * abs(c) AS x2, 340 + 900 * b + 90 * abs(d) AS y2 FROM u)
+SELECT a.image_id, a.cls, a.anchor_idx AS first, b.anchor_idx AS second, round({_INTER} / {_UNION}, 6) AS iou FROM best a JOIN best b ON a.image_id = b.image_id AND a.cls = b.cls AND a.anchor_idx < b.anchor_idx
+WHERE {_UNION} > 0 AND {_INTER} / {_UNION} >= 0.5"""
+_DASH = lambda c: f"coalesce(nullif({c}, ''), '—')"
+_SHOWN_NAMES = lambda t, wide: ", ".join(f"'{label:<{wide}}' || {_DASH(f'{t}.{c}')}" for c, label in (("surname", "Фамилия:"), ("name", "Имя:"), ("patronymic", "Отчество:")))
+_TEXT_OF = lambda c, most="": f"coalesce(nullif({f'substr({_TRIMMED(c)}, 1, {most})' if most else _TRIMMED(c)}, ''), '(пусто)')"
+_TRIMMED = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
+_ANCHOR = lambda part, body: f"(SELECT '\"{part}\":' || {body} FROM {part[0]}a g WHERE g.scan_id = r.scan_id)"
+_NAMED_ANCHOR = "'{\"word\":\"' || g.word || '\",\"dist\":' || g.dist || ',\"rawWord\":\"' || g.raw || '\"}'"
+_LAST_ANCHOR = "'{\"word\":\"' || g.raw || '\"' || CASE WHEN g.dist < 99 THEN ',\"dict\":\"' || g.word || '\"' ELSE '' END || '}'"
+_ANCHORS = f"'{{' || concat_ws(',', {_ANCHOR('surname', _NAMED_ANCHOR)}, {_ANCHOR('name', _NAMED_ANCHOR)}, {_ANCHOR('patronymic', _LAST_ANCHOR)}) || '}}'"
+ORACLE_SQL["diagnostic"] = f"""{ORACLE_SQL["resolve_passport"].rpartition("SELECT *, CASE")[0]}, texts AS (SELECT s.scan_id, coalesce(full_text, '') AS page, coalesce(mrz_text, '') AS zone FROM scans s LEFT JOIN ({X.MRZ}) z USING (scan_id))
+SELECT scan_id, concat_ws(chr(10), '═══ Стратегия: ' || r.strategy || ' ═══', {_SHOWN_NAMES("r", 10)}, 'Дата рожд.: ' || {_DASH("r.dob")}, 'Confidence FIO: ' || f.confidence || '%', '',
+  CASE WHEN mrz_found THEN 'MRZ: ✓ найдена' ELSE 'MRZ: ✗ не найдена' END, CASE WHEN r.strategy = 'onnx' OR f.strategy = 'latin' THEN '' ELSE 'Метки найдены: ' || {_ANCHORS} END, CASE WHEN r.strategy = 'onnx' THEN '' ELSE 'Стратегия FIO: ' || f.strategy END, '',
+  '── Кандидаты OCR (' || CASE WHEN r.strategy = 'onnx' OR f.candidates = '' THEN 0 ELSE len(string_split(f.candidates, ' ')) END || ' слов) ──', CASE WHEN r.strategy = 'onnx' OR f.candidates = '' THEN '(нет)' ELSE replace(f.candidates, ' ', ', ') END, '',
+  '── MRZ OCR (' || length(zone) || ' симв.) ──', {_TEXT_OF("zone")}, '', '── Full OCR (' || length(page) || ' симв.) ──', {_TEXT_OF("page", "1000")}) AS report,
+  concat_ws(chr(10), CASE WHEN mrz_found THEN 'MRZ: ✓ найдена' ELSE 'MRZ: ✗ не найдена' END || ' (стратегия: ' || r.strategy || ')', {_SHOWN_NAMES("r", 12)}, '', '── MRZ OCR (' || length(zone) || ' симв.) ──', {_TEXT_OF("zone")}, '', '── Полный OCR (' || length(page) || ' симв.) ──', {_TEXT_OF("page")}) AS card,
+  concat_ws(chr(10), 'Кроп вручную · FIO confidence: ' || f.confidence || '%', {_SHOWN_NAMES("f", 10)}, '', '── OCR текст (' || length(page) || ' симв.) ──', {_TEXT_OF("page", "500")}) AS region
+FROM r JOIN fio f USING (scan_id) JOIN texts USING (scan_id)"""

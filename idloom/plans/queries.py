@@ -87,15 +87,20 @@ def q_fio_latin(spark: SparkSession, d: str) -> DataFrame:
     return latin.select("scan_id", fio.extract_fio_latin(T.split_lines(T.clean_ocr_text(F.col("full_text")))).alias("r")).select("scan_id", "r.*")
 
 
-def q_resolve_passport(spark: SparkSession, d: str) -> DataFrame:
-    """The whole way: names from text, zone, visual date, precedence, status."""
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scans with names from text, zone, visual date and, for some, what a model read; and what precedence makes of them."""
     scans = _scans(spark, d)
-    names = fio.extract_fio(scans, X.table(spark, d, "NAMES")).select("scan_id", F.struct("surname", "name", "patronymic", "confidence").alias("fio"))
-    zones = M.parse_mrz_app(X.table(spark, d, "MRZ"), "mrz_text", YEAR).select("scan_id", "mrz")
+    found = fio.extract_fio(scans, X.table(spark, d, "NAMES")).select("scan_id", F.struct("surname", "name", "patronymic", "confidence", "strategy", "candidates", "anchors").alias("fio"))
+    zones = M.parse_mrz_app(X.table(spark, d, "MRZ"), "mrz_text", YEAR).select("scan_id", "mrz", "mrz_text")
     model = F.when(F.col("scan_id") % 17 == 0, F.struct(F.lit("Модель").alias("surname"), F.lit("").alias("name"), F.lit("").alias("patronymic")))
     dob = V.find_best_dob(T.split_lines(F.col("full_text")), YEAR, 14, 80)
-    joined = scans.withColumn("visual_dob", dob).join(names, "scan_id", "left").join(zones, "scan_id", "left").withColumn("model", model)
-    done = merge.resolve_passport(joined)
+    joined = scans.withColumn("visual_dob", dob).join(found, "scan_id", "left").join(zones, "scan_id", "left").withColumn("model", model)
+    return joined, merge.resolve_passport(joined)
+
+
+def q_resolve_passport(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: names from text, zone, visual date, precedence, status."""
+    done = _resolved(spark, d)[1]
     return done.withColumn("status", merge.ocr_status(F.col("surname"), F.col("name"), F.col("mrz_found")))
 
 
@@ -143,6 +148,14 @@ def q_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(over >= D.OVERLAP).select("image_id", "cls", F.col("a.anchor_idx").alias("first"), F.col("b.anchor_idx").alias("second"), F.round(over, 6).alias("iou"))
 
 
+def q_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of boxes that cover each other, of 2,000 boxes an image: sixteen of each vector."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(F.expr("transform(sequence(0, 15), k -> slice(embedding, 4 * k + 1, 4))")).alias("k", "v"))
+    at = lambda i: F.col("v")[i].cast("double")
+    boxes = e.select(F.floor(F.col("vec_id") / 125).alias("image_id"), (F.col("vec_id") * 16 + F.col("k")).cast("int").alias("anchor_idx"), F.lit(1).alias("cls"), (320 + 900 * at(0)).alias("x1"), (320 + 900 * at(1)).alias("y1"), (340 + 900 * at(0) + 90 * F.abs(at(2))).alias("x2"), (340 + 900 * at(1) + 90 * F.abs(at(3))).alias("y2"))
+    return D.overlaps(boxes, 0.5).withColumn("iou", F.round("iou", 6))
+
+
 def q_nms(spark: SparkSession, d: str) -> DataFrame:
     return D.nms(_best(spark, d)).select("image_id", "field", "anchor_idx", F.round("score", 6).alias("score"))
 
@@ -261,13 +274,17 @@ def q_staff_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_diagnostic(spark: SparkSession, d: str) -> DataFrame:
-    """The report on each scan whose zone was searched."""
-    zones = M.parse_mrz_app(X.table(spark, d, "MRZ"), "mrz_text", YEAR).join(_scans(spark, d), "scan_id", "left")
-    z = F.col("mrz")
-    names = {k: z[k] for k in ("surname", "name", "patronymic", "dob")}
-    candidates = F.filter(F.array(z["surname"], z["name"]), lambda x: x != "")
-    report = merge.diagnostic_text(F.lit("mrz"), names, F.when(z["valid"], 100).otherwise(0), z["valid"], candidates, F.col("mrz_text"), T.text("full_text"))
-    return zones.select("scan_id", report.alias("report"))
+    """The three reports on each scan: of the reading, on the person's card, and as if its page had been read by hand."""
+    names = {k: F.col(k) for k in ("surname", "name", "patronymic", "dob")}
+    joined, _ = _resolved(spark, d)
+    read = merge.resolve_passport(joined, keep=["fio", "mrz_text", "full_text"])
+    searched = F.col("strategy") != "onnx"
+    cyrillic = searched & (F.col("fio.strategy") != "latin")
+    candidates = F.when(searched, F.col("fio.candidates")).otherwise(F.array().cast("array<string>"))
+    report = merge.diagnostic_text(F.col("strategy"), names, F.col("fio.confidence"), F.col("mrz_found"), F.when(cyrillic, merge.anchors_json(F.col("fio.anchors"))), F.when(searched, F.col("fio.strategy")), candidates, F.col("mrz_text"), F.col("full_text"))
+    card = merge.card_text(F.col("strategy"), names, F.col("mrz_found"), F.col("mrz_text"), F.col("full_text"))
+    region = merge.region_text({k: F.col(f"fio.{k}") for k in ("surname", "name", "patronymic")}, F.col("fio.confidence"), F.col("full_text"))
+    return read.select("scan_id", report.alias("report"), card.alias("card"), region.alias("region"))
 
 
 def q_scan_frames(spark: SparkSession, d: str) -> DataFrame:
