@@ -93,11 +93,12 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, dept
 
 def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of a non-decreasing map from margin to probability: pooled adjacent violators."""
-    order = np.argsort(margin, kind="stable")
+    each, place = np.unique(margin, return_inverse=True)  # rows of one margin are one point
+    right, total = np.bincount(place, y * weight, len(each)), np.bincount(place, weight, len(each))
     pools: list[list[float]] = []  # sum of weighted labels, weight, least and greatest margin
-    for m, t, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        pools.append([t * w, w, m, m])
-        while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
+    for m, t, w in zip(each.tolist(), right.tolist(), total.tolist(), strict=True):
+        pools.append([t, w, m, m])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             a = pools.pop()
             pools[-1] = [pools[-1][0] + a[0], pools[-1][1] + a[1], pools[-1][2], a[3]]
     at = np.array([v for s, w, lo, hi in pools for v in (lo, hi)])
