@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idloom.llm.common import binary_column, blocks, documents, map_arrow, prepare, scratch
-from idloom.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
+from idloom.llm.tokens import CACHE_BYTES, TEXT_BYTES, encoder, tokenizer_path, with_end
 
 #: Rank offsets are broadcast up to this many bytes (16 for each task and size) and joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
@@ -93,10 +93,10 @@ def _slots(bins: list[tuple[int, list[int]]], size: int) -> dict[int, tuple[np.n
 _PIECE = ("doc_id", "piece", "start", "length", "ids", "part", "rank")
 
 
-def _pieces(path: str, end_id: int, size: int):
+def _pieces(path: str, end_id: int, size: int, cache: int):
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        enc = encoder(path)
+        enc = encoder(path, cache)
         for batch in batches:
             for b in blocks(batch, TEXT_BYTES):
                 ids, ends = with_end(*enc.arrays(b.column(1)), end_id)
@@ -135,19 +135,20 @@ def _place(slots: dict[int, tuple[np.ndarray, ...]], width: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, cache: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian 32-bit), sequence_id, offset.
 
     A null or empty text is the end id alone. Documents longer than size are cut into pieces of that size, the
     first of which may be shorter; nothing else is cut or dropped. Rows that share a doc_id, or have none, are
     packed like any other; extra columns are ignored. Within a sequence the offsets have no gap. An empty table gives no rows.
+    cache bounds the ids of words that a worker keeps, in bytes (twice).
     """
     spark = docs.sparkSession
     prepare(spark)
     width = 2 if encoder(tokenizer).code == "H" else 4
     path = scratch(spark, "pieces")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, rank bigint"
-    map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, end_id, size), schema).write.option("compression", "zstd").parquet(path)
+    map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, end_id, size, cache), schema).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(schema).parquet(path)
     counts = pieces.groupBy("length", "part").count()
     total = counts.groupBy("length").agg(F.sum("count").alias("n"))

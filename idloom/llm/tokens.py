@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of segments and their ids in each of a worker's two generations; longer segments than SEGMENT_CHARS are not kept.
-CACHE_BYTES, SEGMENT_CHARS = 40 << 20, 64
+CACHE_BYTES, SEGMENT_CHARS = 80 << 20, 64
 #: Texts are encoded in blocks of about this much.
 TEXT_BYTES = 2 << 20
 _ENTRY = 190  # bytes of a dictionary's entry, a string and a bytes object without their contents
@@ -153,12 +153,12 @@ class SegmentCoder:
 class Encoder(SegmentCoder):
     """Ids by a tokenizer file. A byte-level tokenizer's key is a segment less its leading blank, or BARE and the segment."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        super().__init__("H" if self.library.get_vocab_size() <= 1 << 16 else "I")
+        super().__init__("H" if self.library.get_vocab_size() <= 1 << 16 else "I", cache)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm, added = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec.get("added_tokens", [])
@@ -271,10 +271,11 @@ def _latin(word: str) -> bool:
     return max(word) < "ɐ" and "İ" not in word
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
+def encoder(path: str, cache: int = CACHE_BYTES) -> Encoder:
+    """This worker's encoder for a tokenizer file; its cache is as large as the last caller says."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = cache
     return _encoders[path]
 
 
