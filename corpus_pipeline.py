@@ -13,6 +13,10 @@ from idloom.llm.pii import mask_pii
 from idloom.llm.tokens import tokenizer_path
 
 
+#: Bytes of words that a worker of the last stage keeps (twice): half of what packing alone takes, beside the heaps of earlier stages.
+CACHE_BYTES = 40 << 20
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or less sure of one than calibrated, go.
 
@@ -53,7 +57,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Repeated rows and rows without a doc_id are packed like any other; an empty table gives no rows.
     """
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, cache=CACHE_BYTES)
 
 
 STAGES = [
