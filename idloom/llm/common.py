@@ -18,24 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from idloom import session
+from idloom.session import prepare  # noqa: F401  (the operators take it from here)
 
-#: What Spark puts into one Arrow batch, unless the session says otherwise: rows may hold texts of any length.
-ARROW_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: While an operator writes its scratch tables, Spark deletes the shuffle files of each query as it ends.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about this much text.
 BLOCK_BYTES = 1 << 20
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package and hand them small Arrow batches."""
-    session.prepare(spark)
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, ARROW_BYTES)
-
-
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
