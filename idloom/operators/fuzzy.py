@@ -22,7 +22,10 @@ def fuzzy_find(words: DataFrame, dictionary: DataFrame, max_dist: int = 2, segme
     segments with the word, shifted by at most as many places as edits can lie on one side of it. Words and entries too short for that stay blocked by length,
     as all do without segments, which is a check on them for small dictionaries.
     """
-    w = words.select("w").where("w is not null and w <> ''").distinct()
+    # As many parts as a shuffle has, however few the words: what they cost is the entries that they are measured against. Dealt in
+    # turn, as Spark drops a repartitioning by w as the same as that of distinct(), and joins its small parts into one.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = words.select("w").where("w is not null and w <> ''").distinct().repartition(parts)
     d = dictionary.select("kind", "ord", "entry").where("entry is not null and entry <> ''")
     k = max_dist
     sized = w.withColumn("n", F.explode(F.sequence(F.greatest(F.length("w") - k, F.lit(1)), F.length("w") + k)))

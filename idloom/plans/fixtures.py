@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from idloom.session import dealt
+
 #: Years are counted from here, so that results do not change with the calendar.
 AS_OF_YEAR = 2026
 
@@ -109,5 +111,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _NAMES[name]
     for t in _TABLES:
         if f"FROM {t}" in sql or f"JOIN {t}" in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
     return spark.sql(sql)

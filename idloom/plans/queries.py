@@ -11,6 +11,7 @@ from idloom.functions import visual as V
 from idloom.operators import detections as D
 from idloom.operators import fio, fuzzy, images, merge, roster
 from idloom.plans import fixtures as X
+from idloom.session import dealt
 from idloom.streaming import stability as W
 
 YEAR = X.AS_OF_YEAR
@@ -51,7 +52,7 @@ def q_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_latin_words(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(T.latin_words(F.upper(F.regexp_replace(T.text("text"), "ß", "SS")))).alias("w"))
+    docs = dealt(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", F.explode(T.latin_words(F.upper(F.regexp_replace(T.text("text"), "ß", "SS")))).alias("w"))
     return docs.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(T.is_latin_patronymic(F.col("w"))).alias("patronymics"), F.max("w").alias("last_word"))
 
 

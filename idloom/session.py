@@ -49,3 +49,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")  # a single machine, as in tests
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, a plain scan, on all cores: fewer splits than the session has cores are dealt out anew. More splits stay as they are,
+    so that only inputs of a few files are ever shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
