@@ -22,6 +22,8 @@ from idloom.session import prepare  # noqa: F401  (the operators take it from he
 
 #: While an operator writes its scratch tables, Spark deletes the shuffle files of each query as it ends.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a scratch table that a task writes at least, where their number is bounded beforehand.
+TASK_ROWS = 20_000
 #: Rows of Arrow batches are regrouped so that one numpy pass sees about this much text.
 BLOCK_BYTES = 1 << 20
 
@@ -50,12 +52,16 @@ _tidy_before: dict[str, str | None] = {}
 _tidy_lock = threading.Lock()
 
 
-def saved(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy") -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy", most: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: its lineage is cut and no step runs twice.
 
-    Inside clearing() the table goes at the end, unless it is kept.
+    Inside clearing() the table goes at the end, unless it is kept. most: df has no more rows than that, so few rows
+    are written by as many tasks as there are cores and not by one for each shuffle partition. A local file system without Hadoop's native
+    library starts several processes for each file.
     """
     path = scratch(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_ROWS)))
     df.write.option("compression", compression).parquet(path)
     paths = _clearing.get()
     if paths is not None and not keep:
@@ -131,10 +137,27 @@ def training_window(most: int = TRAIN_CHARS) -> Column:
     return F.substr("text", (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(most))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow, after which a worker gives back the memory that Arrow keeps for later batches."""
+#: What tasks of each kind keep in their worker.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """A dictionary for what tasks of one kind keep in their worker until a task of another kind begins there."""
+    return _kept.setdefault(kind, {})
+
+
+def _begin(kind: str) -> None:
+    for other, things in _kept.items():
+        if other != kind:
+            things.clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, kind: str = "hashes") -> DataFrame:
+    """df.mapInArrow, after which a worker gives back the memory that Arrow keeps for later batches, and before which
+    it gives up what tasks of another kind have kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(kind)
         yield from fn(batches)
         pa.default_memory_pool().release_unused()
 
@@ -185,7 +208,7 @@ _BASE = 0x9E6C63D0876A9A47
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = kept("hashes")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,14 +37,14 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_union_find, "u bigint, v bigint")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges with u > v. Least neighbours are written before they are joined,
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over n edges with u > v. Least neighbours are written before they are joined,
     so that Spark can split the edges of a root with many children."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+    low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", most=2 * n)
     large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = saved(large.union(edges.join(low, "u").select("u", F.col("m").alias("v"))).where("u > v").distinct(), "kept")
-    least = saved(kept.groupBy("u").agg(F.min("v").alias("m")), "least")
+    kept = saved(large.union(edges.join(low, "u").select("u", F.col("m").alias("v"))).where("u > v").distinct(), "kept", most=2 * n)
+    least = saved(kept.groupBy("u").agg(F.min("v").alias("m")), "least", most=2 * n)
     hung = kept.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -57,11 +57,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
     now = saved(_contract(now).distinct(), "edges")
+    n = now.count()
     for _ in range(most_rounds):
-        if now.isEmpty():
+        if not n:
             break
-        before, now = now, saved(_contract(_stars(now)).distinct(), "edges")
-        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
+        before, now = now, saved(_contract(_stars(now, n)).distinct(), "edges", most=2 * n)
+        last, n = n, now.count()
+        if n == last and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
     else:
         raise RuntimeError("components: not settled")

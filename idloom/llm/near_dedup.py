@@ -101,10 +101,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full, _linked(percent), "a bigint, b bigint")
 
 
-def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (node, comp) after links (a, b) have joined components."""
+def _relabel(nodes: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """The n nodes (node, comp) after links (a, b) have joined components."""
     ends = links.join(nodes.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(nodes.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    roots = saved(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()).withColumnRenamed("node", "comp"), "roots")
+    roots = saved(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()).withColumnRenamed("node", "comp"), "roots", most=n)
     return saved(nodes.join(roots, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
@@ -141,13 +141,13 @@ def _centres(here: DataFrame, weight: DataFrame, t: int = 0) -> DataFrame:
     return here.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct(rank, "node")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
 
 
-def _star_pairs(here: DataFrame, weight: DataFrame, t: int) -> DataFrame:
-    """Each member of a bucket of several groups with the bucket's centre, if that is of another group."""
-    return here.join(saved(_centres(here, weight, t), "centres"), "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+def _star_pairs(here: DataFrame, weight: DataFrame, t: int, n: int) -> DataFrame:
+    """Each member of a bucket of several groups, of n buckets, with the bucket's centre, if that is of another group."""
+    return here.join(saved(_centres(here, weight, t), "centres", most=n), "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
-def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a bucket from two groups that can be linked, after round 0 has tried all pairs with first centres.
+def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Every pair of a bucket, of n buckets, from two groups that can be linked, after round 0 has tried all pairs with first centres.
 
     Members are described by their differences from the bucket's first centre. Two members that are near it are in
     its group, so one of each pair is far, and then the costs of both sum to more than 0: they must share `need`
@@ -156,11 +156,11 @@ def _rest_pairs(here: DataFrame, weight: DataFrame, sets: DataFrame, percent: in
     Both ends' costs are bounded by the least ones of the near and of the far members of that centre.
     """
     whole = 2 * (100 + percent)
-    family = here.join(saved(_centres(here, weight), "centres"), "key").where("node <> c.node").select("c.node", "node", "comp").toDF("c", "node", "comp").distinct()
+    family = here.join(saved(_centres(here, weight), "centres", most=n), "key").where("node <> c.node").select("c.node", "node", "comp").toDF("c", "node", "comp").distinct()
     full = family.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("x")), "node").join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("y")), "c").select("c", "node", "comp", "x", "y")
     apart = saved(map_batches(full, _differences(percent), "c bigint, node bigint, comp bigint, cost bigint, near boolean, h bigint"), "differences")
     common = apart.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c", "h", "df")
-    common = saved(common, "common")
+    common = saved(common, "common", most=apart.count())
     member = apart.join(common, ["c", "h"]).groupBy("c", "node", "comp", "cost", "near").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
     member = saved(member.withColumn("u", F.size("own").cast("long")).withColumn("reach", whole * F.col("u") - F.col("cost")), "members")
     least = member.groupBy("c").agg(F.min(F.expr("if(near, cost, null)")).alias("least_near"), F.min(F.expr("if(near, null, cost)")).alias("least_far"))
@@ -201,21 +201,23 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     profile = saved(map_batches(text, _profile(shingle, bands, rows), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>", PROFILE_BYTES), "profiles")
     real = profile.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy(SET).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes", most=profile.count())
+    n = classes.count()
     known = classes.select(*SET, "node", "rep")
     member = saved(profile.drop("bands").join(known, SET, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members", keep=True)
 
     reps = classes.select("node", F.explode("bands").alias("key"))
-    shared = saved(reps.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "shared")
+    shared = saved(reps.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "shared", most=n * bands)
+    n_shared = shared.count()
     sized = saved(reps.join(shared, "key").select("key", "node", "size"), "buckets")
     buckets = sized.select("key", "node")
-    weight = saved(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    weight = saved(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights", most=n)
     several = saved(member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
     same = saved(member.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct(), "same")
     ends = same.select("a").union(same.select("b")).toDF("node").union(weight.select("node")).distinct()
     nodes = saved(ends.select("node", F.col("node").alias("comp")), "labels")
     if not same.isEmpty():
-        nodes = _relabel(nodes, same)
+        nodes = _relabel(nodes, same, n)
     wanted = saved(weight.join(known, "node").select(*SET, "node", "rep"), "wanted")
     ids = wanted.select(F.col("rep").alias("doc_id"))
     if wanted.count() * 16 <= BROADCAST_BYTES:
@@ -226,16 +228,16 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int,
     tried: DataFrame | None = None
     for t in range(star_rounds + 1):
         mixed = buckets.join(nodes, "node")
-        open_keys = saved(mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open-keys")
+        open_keys = saved(mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "open-keys", most=n_shared)
         here = saved(mixed.join(open_keys, "key"), "open")
         if here.isEmpty():
             break
-        pairs = (_star_pairs(here, weight, t) if t < star_rounds else _rest_pairs(here, weight, sets, percent)).distinct()
+        pairs = (_star_pairs(here, weight, t, n_shared) if t < star_rounds else _rest_pairs(here, weight, sets, percent, n_shared)).distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"))
+            nodes = _relabel(nodes, saved(_verify(pairs, sets, percent), "links"), n)
             tried = pairs if tried is None else tried.union(pairs)
-    top = saved(nodes.join(known.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "components")
+    top = saved(nodes.join(known.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id")), "components", most=n)
     return member, saved(nodes.join(top, "comp").select("node", "component_id"), "named", keep=True)
 
 

@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, cache:
     width = 2 if encoder(tokenizer).code == "H" else 4
     path = scratch(spark, "pieces")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, rank bigint"
-    map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, end_id, size, cache), schema).write.option("compression", "zstd").parquet(path)
+    map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, end_id, size, cache), schema, "tokens").write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(schema).parquet(path)
     counts = pieces.groupBy("length", "part").count()
     total = counts.groupBy("length").agg(F.sum("count").alias("n"))

@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     prepare(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, _write(tokenizer, end_id, shard_size), SHARD_SCHEMA).write.parquet(path)
+    map_arrow(ordered, _write(tokenizer, end_id, shard_size), SHARD_SCHEMA, "tokens").write.parquet(path)
 
 
 def _read(batches):

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from idloom.llm.common import kept
+
 #: Bytes of segments and their ids in each of a worker's two generations; longer segments than SEGMENT_CHARS are not kept.
 CACHE_BYTES, SEGMENT_CHARS = 80 << 20, 64
 #: Texts are encoded in blocks of about this much.
@@ -33,7 +35,7 @@ BARE = "\x01"
 # A line break between lines, and a mark between a word and a blank, are segments of their own.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 BREAK, MARK = rf"([{_LETTERS}.,;:!?])\n([{_LETTERS}])", rf"([{_LETTERS}])([.,;:!?]) "
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept("tokens")
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
@@ -272,7 +274,7 @@ def _latin(word: str) -> bool:
 
 
 def encoder(path: str, cache: int = CACHE_BYTES) -> Encoder:
-    """This worker's encoder for a tokenizer file; its cache is as large as the last caller says."""
+    """This worker's encoder for a tokenizer file; its cache is as large as the last caller says. Tasks that use it are of kind "tokens"."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     _encoders[path].most = cache

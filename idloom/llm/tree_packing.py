@@ -154,7 +154,7 @@ def pack_first_fit(docs: DataFrame, tokenizer: str, end_id: int, size: int = 204
     width = "<u2" if encoder(tokenizer).code == "H" else "<u4"
     types = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
     with clearing(spark):
-        cut = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _cut(tokenizer, end_id, size), f"uid bigint, {types}")
+        cut = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _cut(tokenizer, end_id, size), f"uid bigint, {types}", "tokens")
         cut = saved(cut, "cut", keep=True, compression="zstd")
     rests = cut.where(F.col("length") < size)
     groups = max(1, -(-rests.count() // group))
