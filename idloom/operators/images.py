@@ -131,8 +131,14 @@ def _u8(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
 
 
+def luma_of(rgb: np.ndarray) -> np.ndarray:
+    """luma() of an array (h, w, 3), summed in the same order: a matrix product sums in another, which moves halves of a level."""
+    r, g, b = (rgb[:, :, c].astype(float) for c in range(3))
+    return LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
+
+
 def to_gray(rgb: np.ndarray, rounded: bool = True) -> np.ndarray:
-    g = rgb.astype(float) @ np.array(LUMA)
+    g = luma_of(rgb)
     return _u8(g) if rounded else g.astype(np.uint8)
 
 
@@ -236,7 +242,7 @@ def glare_of(rgb: np.ndarray) -> tuple[float, float, str, str]:
     """Hotspot ratio, mean brightness, level and feedback of an image; one without pixels is ok, of brightness 128."""
     if not rgb.size:
         return 0.0, 128.0, "none", "ok"
-    bright = rgb.astype(float) @ np.array(LUMA)
+    bright = luma_of(rgb)
     ratio, mean = float((bright >= HOTSPOT).mean()), float(bright.mean())
     level = "strong" if ratio >= STRONG else "mild" if ratio >= MILD else "none"
     return ratio, mean, level, f"glare_{level}" if level != "none" else "too_dark" if mean < DARK else "ok"

@@ -86,6 +86,25 @@ def test_pixel_tables_equal_kernels(spark):
     assert {(r.image_id, r.kernel): bytes(r.gray) for r in levels} == {(i, k): (g if k == "preprocess_full" else images.gaussian5(g)).tobytes() for i, g in both.items() for k in ("preprocess_full", "gaussian5")}
 
 
+def test_gray_of_halves_equals_pixel_tables(spark):
+    """Colours whose luma is a whole or half level, with those at the hotspot's level: arrays round them as columns do."""
+    r, g, b = np.meshgrid(*[np.arange(256)] * 3, indexing="ij")
+    thousandths = 299 * r + 587 * g + 114 * b
+    at = np.vstack([np.argwhere(thousandths % 500 == 0)[::5], np.argwhere(thousandths == 1000 * images.HOTSPOT)])
+    at = at[: len(at) // 64 * 64].reshape(-1, 64, 3)
+    rgb = images.rgb_of({"height": at.shape[0], "width": 64, "nChannels": 3, "data": at[:, :, ::-1].astype(np.uint8).tobytes()})
+    rows = [(1, y, x, *map(int, rgb[y, x])) for y in range(rgb.shape[0]) for x in range(rgb.shape[1])]
+    pixels = spark.createDataFrame(rows, "image_id bigint, y int, x int, r int, g int, b int")
+    for rounded in (True, False):
+        gray = np.zeros(rgb.shape[:2], int)
+        for p in images.gray_pixels(pixels, rounded).collect():
+            gray[p.y, p.x] = p.gray
+        assert (images.to_gray(rgb, rounded) == gray).all()
+    told = images.image_glare(pixels).first()
+    ratio, mean, *named = images.glare_of(rgb)
+    assert ratio == told.hotspot_ratio and abs(mean - told.mean_brightness) < 1e-9 and named == [told.level, told.feedback]
+
+
 def png(rgb):
     """A PNG file of an array (h, w, 3)."""
     def part(kind, data):
